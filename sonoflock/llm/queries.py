@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoflock.llm import decontam, exact_dedup, mixing
+from sonoflock.llm import decontam, exact_dedup, mixing, token_files
 from sonoflock.llm.common import LOWER, UPPER, table
 
 
@@ -12,6 +12,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.roundtrip(table(spark, sf_dir, "documents"), token_files.default_tokenizer())
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,6 +26,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_files": op2_token_files,
     "op8_decontaminate": op8_decontaminate,
     "op9_source_mix": op9_source_mix,
 }
