@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoflock.llm import decontam, exact_dedup, mixing, token_files
+from sonoflock.llm import decontam, exact_dedup, hpylm, mixing, token_files
 from sonoflock.llm.common import LOWER, UPPER, table
 
 
@@ -16,6 +16,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.roundtrip(table(spark, sf_dir, "documents"), token_files.default_tokenizer())
 
 
+def op3_hpy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,6 +31,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
+    "op3_hpy_score": op3_hpy_score,
     "op8_decontaminate": op8_decontaminate,
     "op9_source_mix": op9_source_mix,
 }
