@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoflock.llm import decontam, exact_dedup, hpylm, jaccard, mixing, token_files
+from sonoflock.llm import decontam, exact_dedup, hpylm, jaccard, langid, mixing, token_files
 from sonoflock.llm.common import LOWER, UPPER, table
 
 
@@ -20,6 +20,11 @@ def op3_hpy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
     "op3_hpy_score": op3_hpy_score,
+    "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
     "op9_source_mix": op9_source_mix,
