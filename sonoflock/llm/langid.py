@@ -40,13 +40,11 @@ def letters() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all texts in a row, and where each text's features start (and the end)."""
-    joined = " ".join(texts).lower() if all(len(t.lower()) == len(t) for t in texts) else None
-    parts = [joined] if joined is not None else [" ".join(t.lower() for t in texts)]
-    code = np.frombuffer(parts[0].encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t) if joined is not None else len(t.lower()) for t in texts], np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths + 1)])  # a blank after each text
-    code = np.where(letters()[code], code, BLANK).astype(np.uint32) if len(code) else code
-    code = np.append(code, BLANK).astype(np.uint32)
+    # a text begins with a blank of its own; the next one's ends it
+    lowered = [" " + t.lower() for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in lowered])])
+    code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.append(np.where(letters()[code], code, BLANK), BLANK).astype(np.uint32)
     a, b, c = code, np.append(code[1:], BLANK), np.append(code[2:], [BLANK, BLANK])[: len(code)]
     mult = np.uint32(0x9E3779B1)
     h1 = a * mult
@@ -55,7 +53,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ids = np.stack([(h >> np.uint32(7)) % np.uint32(FEATURES) for h in (h1, h2 + np.uint32(1), h3 + np.uint32(2))], 1)
     use = np.stack([a != BLANK, (a != BLANK) | (b != BLANK), b != BLANK], 1)
     counts = use.sum(axis=1)
-    starts = np.concatenate([[0], np.cumsum(counts)])[np.minimum(first, len(code))]
+    starts = np.concatenate([[0], np.cumsum(counts)])[first]
     return ids[use], starts
 
 
