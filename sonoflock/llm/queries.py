@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoflock.llm import decontam, exact_dedup, hpylm, jaccard, langid, mixing, token_files
+from sonoflock.llm import decontam, exact_dedup, hpylm, jaccard, langid, mixing, token_files, toxicity
 from sonoflock.llm.common import LOWER, UPPER, table
 
 
@@ -20,6 +20,11 @@ def op3_hpy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -41,6 +46,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
     "op3_hpy_score": op3_hpy_score,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
