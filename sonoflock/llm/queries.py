@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoflock.llm import decontam, exact_dedup, hpylm, jaccard, langid, mixing, token_files, toxicity
+from sonoflock.llm import decontam, exact_dedup, hpylm, html_text, jaccard, langid, mixing, token_files, toxicity
 from sonoflock.llm.common import LOWER, UPPER, table
 
 
@@ -42,6 +42,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
@@ -51,6 +55,7 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
     "op9_source_mix": op9_source_mix,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE_SQL = {
