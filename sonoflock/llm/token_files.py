@@ -26,6 +26,7 @@ give no files. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -47,6 +48,7 @@ from sonoflock.llm.common import materialise, scratch_path
 END_ID = 2
 FRAME_IDS = 16_384
 FILE_IDS = 32_000_000
+CHUNKS_KEPT = 300_000
 SKIPPABLE, SEEK_SKIPPABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: One document in the table: has an id, doc_id, frame, first id within the frame, ids.
 DOC = np.dtype([("known", "<u1"), ("doc_id", "<i8"), ("frame", "<u4"), ("first", "<u4"), ("n", "<u4")])
@@ -144,6 +146,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], np.uint32)
+        self.known: dict[int, bytes] = {}
+        # bytes of each token: the vocabulary writes a byte as one character
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def whole(self, text: str) -> np.ndarray:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -155,6 +165,29 @@ class Encoder:
             texts = column.slice(words.first_row, words.texts)
             yield from self._piece(words, [x or "" for x in texts.to_pylist()])
 
+    def _chunks(self, names: list[int], raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+        """The ids of different chunks, known ones from before."""
+        found = [self.known.get(x) for x in names]
+        missing = [k for k, x in enumerate(found) if x is None]
+        if len(self.known) > CHUNKS_KEPT:
+            self.known.clear()
+        # chunks that begin with white space and end without are cut where they are joined
+        joined = [k for k in missing if raw[starts[k]] in b" \t\n\v\f\r" and raw[ends[k] - 1] not in b" \t\n\v\f\r"]
+        for i in range(0, len(joined), 8192):
+            some = joined[i : i + 8192]
+            parts = [raw[starts[k] : ends[k]] for k in some]
+            ids = np.array(self._ids(b"".join(parts).decode()), np.uint32)
+            cuts = 4 * np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x) for x in parts]), side="left") + 4
+            flat, at = ids.tobytes(), 0
+            for k, cut in zip(some, cuts.tolist(), strict=True):
+                found[k] = self.known[names[k]] = flat[at:cut]
+                at = cut
+        for k in missing:
+            if found[k] is None:
+                ids = self._ids(raw[starts[k] : ends[k]].decode())
+                found[k] = self.known[names[k]] = np.array(ids, np.uint32).tobytes()
+        return found
+
     def _piece(self, words: textbytes.Words, texts: list[str]) -> Iterator[np.ndarray]:
         # a chunk is a word with the white space before it; the first of a text starts with the
         # text; white space at the end of a text is a chunk
@@ -168,14 +201,12 @@ class Encoder:
         starts, ends = np.concatenate([starts, last[tail]]), np.concatenate([ends, words.offsets[1:][tail]])
         order = np.argsort(text_of, kind="stable")
         starts, ends, text_of = starts[order], ends[order], text_of[order]
-        _, first, which = np.unique(
+        names, first, which = np.unique(
             textbytes.span_hashes(words.data, starts, ends), return_index=True, return_inverse=True
         )
-        raw = words.data.tobytes()
-        chunks = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+        found = self._chunks(names.tolist(), words.data.tobytes(), starts[first].tolist(), ends[first].tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         at = np.concatenate([[0], np.cumsum(sizes)])
         # the ids of all chunks in order, then cut by text
         n = sizes[which]
@@ -189,6 +220,12 @@ class Encoder:
                 yield np.concatenate([ids[cut[k] : cut[k + 1]], self.end])
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(path, end_id)
+
+
 def write(
     docs: DataFrame,
     tokenizer: str,
@@ -211,7 +248,7 @@ def write(
             return part, number, w.path, len(w.docs), w.n_ids
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, end_id)
+            encoder = encoder or encoder_of(tokenizer, end_id)
             ids = encoder.encode(batch.column("text"))
             for doc_id, row in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 if writer and writer.n_ids and writer.n_ids + len(row) > file_ids:
