@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoflock.llm import decontam, exact_dedup, hpylm, html_text, jaccard, langid, mixing, token_files, toxicity
+from sonoflock.llm import decontam, exact_dedup, hpylm, html_text, jaccard, langid, mixing, substring, token_files, toxicity
 from sonoflock.llm.common import LOWER, UPPER, table
 
 
@@ -20,6 +20,10 @@ def op3_hpy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
     "op3_hpy_score": op3_hpy_score,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_jaccard_join": op7_jaccard_join,
