@@ -273,6 +273,11 @@ def write(
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def one_by_one(files: DataFrame) -> DataFrame:
+    """About a file for each task; a number given isn't lowered for the few bytes of the rows."""
+    return files.repartition(max(1, min(files.count(), 100_000)), "path")
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files themselves."""
 
@@ -292,7 +297,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = manifest.select("path", "start").repartition("path")
+    spread = one_by_one(manifest.select("path", "start"))
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -313,7 +318,7 @@ def lookup(manifest: DataFrame, doc_ids: Iterable[int]) -> DataFrame:
                     ["doc_id", "ids"],
                 )
 
-    return manifest.select("path").repartition("path").mapInArrow(load, "doc_id long, ids array<long>")
+    return one_by_one(manifest.select("path")).mapInArrow(load, "doc_id long, ids array<long>")
 
 
 def roundtrip(docs: DataFrame, tokenizer: str, **params) -> DataFrame:
