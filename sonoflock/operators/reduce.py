@@ -67,7 +67,7 @@ def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
     return nearest(vectors, vectors, k)
 
 
-def geodesics(graph: DataFrame, landmarks: DataFrame, most_rounds: int = 30) -> DataFrame:
+def geodesics(graph: DataFrame, landmarks: DataFrame, most_rounds: int = 200) -> DataFrame:
     """For M14: (landmark, snippet_id, d): shortest ways along the graph from some landmarks, by
     rounds of relaxation, each a join of the frontier with the edges."""
     both = graph.select(F.col("query_id").alias("a"), F.col("snippet_id").alias("b"), "distance")
