@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sonoflock.functions import labels as L
 from sonoflock.functions import text as T
 from sonoflock.functions import vectors as V
-from sonoflock.operators import acquisition, feeds, label_state, reduce, search, segment, stats, taxonomy, training, upsert
+from sonoflock.operators import acquisition, feeds, label_state, platform, reduce, search, segment, stats, taxonomy, training, upsert
 from sonoflock.plans.bindings import PREDICTIONS_SQL, predictions, read, vectors, view, with_views
 from sonoflock.plans.shared import shared_folder
 from sonoflock.sources import tables
@@ -734,3 +734,182 @@ def collapsed_texts(spark, sf):
 def last_assistant_message(spark, sf):
     rows = read(spark, sf, "conversations").where("role = 'assistant'")
     return rows.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+
+
+# --- access, listings and state of the platform ---------------------------------------------
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 0.3 ELSE 0.7 END::DOUBLE AS threshold, 15 AS k, 0.5::DOUBLE AS w_uncertainty FROM orders")
+def default_parameters(spark, sf):
+    rows = read(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 1, 0.7).alias("threshold"), F.lit(None).cast("int").alias("k"),
+        *[F.lit(None).cast("double").alias(c) for c in ("w_uncertainty", "w_diversity", "w_density")],
+    )
+    return platform.with_defaults(rows).select("id", "threshold", "k", "w_uncertainty")
+
+
+@query(
+    """SELECT c_custkey AS dataset_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 7 ELSE c_nationkey END AS set_id,
+coalesce((CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 7 ELSE c_nationkey END) IN (SELECT r_regionkey FROM region WHERE r_regionkey < 4), false) AS ready FROM customer"""
+)
+def resolved_snippet_sets(spark, sf):
+    customers = read(spark, sf, "customer")
+    requests = customers.select(F.col("c_custkey").alias("dataset_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 7).alias("snippet_set_id"))
+    datasets = customers.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("default_snippet_set_id"))
+    sets = read(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.when(F.col("r_regionkey") < 4, "ready").otherwise("pending").alias("status"))
+    return platform.resolved_sets(requests, datasets, sets).select("dataset_id", "set_id", "ready")
+
+
+@query("SELECT o_orderkey AS id, c_nationkey AS parent_checkpoint_id FROM orders JOIN customer ON o_custkey = c_custkey")
+def job_lineage(spark, sf):
+    checkpoints = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("parent_checkpoint_id"))
+    return platform.lineage(view(spark, sf, "jobs"), checkpoints).select("id", "parent_checkpoint_id")
+
+
+@query("SELECT s_suppkey AS dataset_id, c_name AS version FROM supplier JOIN customer ON c_custkey = s_suppkey * 3")
+def active_checkpoints(spark, sf):
+    states = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("dataset_id"), (F.col("s_suppkey") * 3).alias("active_model_checkpoint_id"))
+    checkpoints = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("version"), F.lit("AVAILABLE").alias("status"))
+    return platform.active_checkpoints(states, checkpoints).select("dataset_id", "version")
+
+
+@query("SELECT c_nationkey AS team_id, c_custkey AS user_id, c_name AS username FROM customer")
+def team_members(spark, sf):
+    customers = read(spark, sf, "customer")
+    memberships = customers.select(F.col("c_nationkey").alias("team_id"), F.col("c_custkey").alias("user_id"))
+    users = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.lit(True).alias("is_active"))
+    return platform.team_members(memberships, users).select("team_id", "user_id", "username")
+
+
+@query(
+    """SELECT DISTINCT conv_id, CASE WHEN conv_id % 3 = 0 THEN conv_id % 5 = 2 ELSE conv_id % 25 IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 10 = 2) END AS may_read FROM conversations"""
+)
+def readable_conversations(spark, sf):
+    c = F.col("conv_id")
+    rows = read(spark, sf, "conversations").select("conv_id", F.when(c % 3 != 0, c % 25).alias("team_id"), (c % 5).alias("creator_id")).distinct()
+    members = read(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("team_id"), (F.col("s_suppkey") % 10).alias("user_id"))
+    return platform.may_read(rows, members, 2, False).select("conv_id", "may_read")
+
+
+@query("SELECT p_partkey AS taxonomy_id FROM part WHERE p_size > 5 AND (p_partkey % 25 IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR p_partkey % 4 = 0)")
+def available_taxonomies(spark, sf):
+    k = F.col("p_partkey")
+    rows = read(spark, sf, "part").select(k.alias("taxonomy_id"), (k % 25).alias("team_id"), (k % 4 == 0).alias("is_global"), F.when(F.col("p_size") > 5, "active").otherwise("draft").alias("status"))
+    teams = read(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("team_id"))
+    return platform.available_taxonomies(rows, teams, False).select("taxonomy_id")
+
+
+@query(
+    """SELECT taxon_id, CASE ns WHEN 'gbif' THEN s_name WHEN 'envo' THEN split_part(taxon_id, ':', 2) END AS name, CASE ns WHEN 'gbif' THEN CASE WHEN s_name IS NOT NULL THEN 'species' END WHEN 'envo' THEN 'concept' END AS rank
+FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'gbif' WHEN 1 THEN 'envo' ELSE 'other' END AS ns, concat(CASE p_partkey % 3 WHEN 0 THEN 'gbif' WHEN 1 THEN 'envo' ELSE 'other' END, ':', p_partkey) AS taxon_id FROM part)
+LEFT JOIN supplier ON s_suppkey = p_partkey"""
+)
+def resolved_taxa(spark, sf):
+    k = F.col("p_partkey")
+    ns = F.when(k % 3 == 0, "gbif").when(k % 3 == 1, "envo").otherwise("other")
+    ids = read(spark, sf, "part").select(F.concat_ws(":", ns, k.cast("string")).alias("taxon_id"))
+    known = read(spark, sf, "supplier").select(F.concat(F.lit("gbif:"), "s_suppkey").alias("taxon_id"), F.col("s_name").alias("name"), F.lit("species").alias("rank"))
+    return platform.resolve_taxa(ids, known)
+
+
+def wssed_labels(spark, sf):
+    return read(spark, sf, "events").select(
+        F.col("event_id").alias("snippet_id"), (F.round("value", 6) % 1).alias("predicted_label"), F.when(F.col("event_id") % 4 == 0, "accepted").alias("user_label")
+    )
+
+
+@query("SELECT event_id AS snippet_id, round(round(value, 6) % 1, 6) AS p FROM events WHERE round(value, 6) % 1 >= 0.5 AND event_id % 4 <> 0 ORDER BY round(value, 6) % 1 DESC, event_id LIMIT 25")
+def open_suggestions(spark, sf):
+    return platform.open_suggestions(wssed_labels(spark, sf), 0.5, 25).select("snippet_id", r6(F.col("predicted_label"), "p"))
+
+
+@query("SELECT id, status FROM jobs ORDER BY created_at DESC, id DESC LIMIT 50", "jobs")
+def newest_jobs(spark, sf):
+    return platform.newest(view(spark, sf, "jobs")).select("id", "status")
+
+
+@query(
+    """, j AS (SELECT snippet_id, arg_max(action, (created_at, id)) AS user_label FROM feedback GROUP BY 1)
+SELECT event_id AS snippet_id, coalesce(j.user_label, CASE WHEN event_id % 4 = 0 THEN 'accepted' END) AS user_label FROM events LEFT JOIN j ON event_id = j.snippet_id""",
+    "feedback",
+)
+def judged_labels(spark, sf):
+    judgements = view(spark, sf, "feedback").select("id", "snippet_id", F.col("action").alias("user_label"), "created_at")
+    return platform.judged(wssed_labels(spark, sf), judgements).select("snippet_id", "user_label")
+
+
+@query(
+    "SELECT snippet_id, label, source, user_id FROM al_labels UNION SELECT DISTINCT snippet_id, taxon_id, 'user', user_id FROM annotations", "al_labels", "annotations"
+)
+def mirrored_annotations(spark, sf):
+    return platform.mirrored(view(spark, sf, "al_labels"), view(spark, sf, "annotations"))
+
+
+@query(
+    """, v AS (SELECT * FROM feedback WHERE (model_checkpoint_id, snippet_id) IN (SELECT vec_id % 4, vec_id FROM embeddings)), w AS (SELECT * FROM v WHERE action IN ('ACCEPT', 'MODIFY') AND label IS NOT NULL)
+SELECT snippet_id, label, source, user_id FROM al_labels l WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.snippet_id = l.snippet_id AND w.user_id IS NOT DISTINCT FROM l.user_id)
+UNION ALL SELECT snippet_id, label, 'user', user_id FROM w""",
+    "feedback", "al_labels",
+)
+def submitted_feedback(spark, sf):
+    new = view(spark, sf, "feedback")
+    known = vectors(spark, sf).select((F.col("snippet_id") % 4).alias("model_checkpoint_id"), "snippet_id")
+    return platform.submitted(new.limit(0), view(spark, sf, "al_labels"), new, known)[1]
+
+
+@query(
+    """, x AS (SELECT snippet_id, user_id, CASE label WHEN 'sp0' THEN 'gbif:0' WHEN 'sp1' THEN 'gbif:1' WHEN 'sp2' THEN 'custom:c2' END AS taxon_id FROM feedback)
+SELECT DISTINCT * FROM x WHERE taxon_id IS NOT NULL""",
+    "feedback",
+)
+def canonical_labels(spark, sf):
+    species = spark.createDataFrame([("sp0", "gbif:0"), ("sp1", "gbif:1")], "species string, taxon_id string")
+    codes = spark.createDataFrame([("sp1", "custom:c1"), ("sp2", "custom:c2")], "code string, taxon_id string")
+    return platform.canonical(view(spark, sf, "feedback"), species, codes)
+
+
+@query("SELECT concat('t', n_regionkey) AS taxonomy_id, count(*) AS n, 'draft' AS status FROM nation GROUP BY 1")
+def frozen_taxonomies(spark, sf):
+    labels = read(spark, sf, "nation").select(F.col("n_regionkey").alias("conv_id"), F.col("n_nationkey").alias("place"), F.col("n_name").alias("label"))
+    out = platform.frozen(labels, F.concat(F.lit("t"), F.col("conv_id").cast("string")))
+    return out.select("taxonomy_id", F.json_array_length(F.get_json_object("tree", "$.nodes")).cast("long").alias("n"), "status")
+
+
+@query(
+    """SELECT o_custkey AS dataset_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS active_model_checkpoint_id FROM orders GROUP BY 1"""
+)
+def registered_checkpoints(spark, sf):
+    new = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("dataset_id"), F.lit("f").alias("family"), F.col("o_orderkey").cast("string").alias("version"), F.col("o_orderdate").alias("created_at"))
+    states = read(spark, sf, "customer").limit(0).select(F.col("c_custkey").alias("dataset_id"), F.lit("f").alias("family"), F.col("c_custkey").alias("active_model_checkpoint_id"))
+    return platform.registered(new.limit(0), states, new)[1].select("dataset_id", "active_model_checkpoint_id")
+
+
+@query("SELECT DISTINCT 7::BIGINT AS user_id, team_id FROM datasets JOIN supplier ON id = s_suppkey WHERE team_id IS NOT NULL", "datasets")
+def invitation_grants(spark, sf):
+    invitations = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("dataset_id"))
+    return platform.invitation_grants(invitations, view(spark, sf, "datasets"), 7)[0]
+
+
+@query(
+    """SELECT j.id, CASE WHEN e.event_id IS NULL THEN status WHEN e.event_type = 'error' THEN 'FAILED' ELSE 'TRAINING' END AS status, CASE WHEN e.event_type = 'error' THEN ts END AS completed_at
+FROM jobs j LEFT JOIN events e ON j.id = e.event_id""",
+    "jobs",
+)
+def merged_job_status(spark, sf):
+    remote = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "FAILED").otherwise(F.col("event_type")).alias("remote_status"), F.col("ts").alias("seen_at"))
+    return platform.merged_status(view(spark, sf, "jobs").withColumn("completed_at", F.lit(None).cast("timestamp")), remote)
+
+
+@query("SELECT vec_id AS snippet_id, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[3]::DOUBLE, 6) AS z, concat('sp', label) AS labels FROM embeddings")
+def projection_points(spark, sf):
+    rows = vectors(spark, sf).withColumn("model_checkpoint_id", F.lit(1))
+    points = platform.projection_points(rows.drop("label"), rows.select("model_checkpoint_id", "snippet_id", F.col("label").alias("labels")))
+    return points.select("snippet_id", r6(F.col("x").cast("double"), "x"), r6(F.col("z").cast("double"), "z"), "labels")
+
+
+@query("SELECT s.id AS snippet_id, r.file_name, round(embedding[1]::DOUBLE, 6) AS first FROM snippets s JOIN recordings r ON s.recording_id = r.id JOIN embeddings ON s.recording_id = vec_id WHERE snippet_set_id = 1", "snippets", "recordings")
+def set_embeddings(spark, sf):
+    snippets = view(spark, sf, "snippets")
+    of = snippets.select(F.col("id").alias("snippet_id"), "recording_id").join(vectors(spark, sf).withColumnRenamed("snippet_id", "recording_id"), "recording_id").select("snippet_id", "vector").dropDuplicates(["snippet_id"])
+    out = platform.embeddings(snippets, view(spark, sf, "recordings"), of, 1)
+    return out.select("snippet_id", "file_name", r6(F.element_at("vector", 1).cast("double"), "first"))
