@@ -5,9 +5,10 @@ Documents of equal sets are one class; what follows works on one set for each cl
 
 In each run, a set of n shingles chooses those whose salted hash is below choose / n of the
 range: about `choose` of them, and the same ones as a similar set does. Sets meet in the
-bucket of a chosen token. A bucket with more than `small` members is split by a second token
-that its members have chosen, and so on, down to `depth` tokens: sets that share a passage
-only part ways, similar sets stay together. Runs are repeated with new salts until a pair at
+bucket of a chosen token. A bucket with more than `small` members is split by further tokens
+that its members have chosen, and so on, down to `depth` tokens; of the ways on from a path a
+share of `follow` is sampled, the same for all. Sets that share a passage only part ways,
+similar sets stay together. Runs are repeated with new salts until a pair at
 the threshold is missed with a chance of no more than 1 - `recall`, even where it has to be
 followed to full depth: the tokens that both choose are nearly Poisson distributed.
 
@@ -41,13 +42,27 @@ from sonoflock.llm import textbytes
 from sonoflock.llm.common import materialise
 
 WORDS, THRESHOLD = 5, 0.8
-CHOOSE, DEPTH, SMALL, BLOCK, LEAST = 6, 3, 32, 256, 6
+CHOOSE, DEPTH, SMALL, BLOCK, LEAST, FOLLOW = 6, 3, 32, 2500, 6, 0.6
 SKETCH = "doc_id long, key binary, n int, pool array<long>"
 
 
-def runs_for(recall: float, choose: int = CHOOSE, depth: int = DEPTH, threshold: float = THRESHOLD) -> int:
-    common = choose * threshold
-    miss = sum(math.exp(-common) * common**k / math.factorial(k) for k in range(depth))
+def runs_for(
+    recall: float, choose: int = CHOOSE, depth: int = DEPTH, threshold: float = THRESHOLD, follow: float = FOLLOW
+) -> int:
+    """Runs after which a pair at the threshold, followed to full depth, has met in one with the
+    chance `recall`. Sets with k tokens in common meet if one of the paths of `depth` of them is
+    followed; the chance is estimated by trials from a fixed seed."""
+    common, rng, trials = choose * threshold, np.random.default_rng(1), 2000
+    miss = 0.0
+    for k in range(4 * choose):
+        alive = np.ones((trials, k), bool)  # whether a path ends at each token
+        for _ in range(depth - 1):
+            # a path to token j goes on from one to an earlier token i
+            step = np.zeros((trials, k), bool)
+            for j in range(k):
+                step[:, j] = (alive[:, :j] & (rng.random((trials, j)) < follow)).any(axis=1)
+            alive = step
+        miss += math.exp(-common) * common**k / math.factorial(k) * (1 - alive.any(axis=1).mean())
     return max(1, min(8, math.ceil(math.log(1 - recall) / math.log(miss))))
 
 
@@ -110,7 +125,7 @@ def sketches(docs: DataFrame, width: int, choose: int, runs: int) -> DataFrame:
     return docs.mapInArrow(sketch, SKETCH)
 
 
-def leaves(classes: DataFrame, depth: int, small: int) -> DataFrame:
+def leaves(classes: DataFrame, depth: int, small: int, follow: float) -> DataFrame:
     """(path, size, key): the buckets that aren't split further, of two members or more."""
     pools = classes.select("key", "pool")
     level = classes.select(F.explode("pool").alias("path"), F.col("path").alias("last"), "key")
@@ -129,50 +144,60 @@ def leaves(classes: DataFrame, depth: int, small: int) -> DataFrame:
             large.join(pools.hint("merge"), "key")
             .select("path", "last", "key", F.explode("pool").alias("token"))
             .where("token > last and (token & 7) = (last & 7)")
+            .where(F.pmod(F.xxhash64("token", "path"), F.lit(1000)) < int(1000 * follow))
             .select(F.xxhash64("path", "token").alias("path"), F.col("token").alias("last"), "key")
         )
     return out
 
 
-def incidence(lists: list[np.ndarray], shared_only: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows and columns of the ones of a members x values matrix, values in one list left out."""
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    values, column, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    if not shared_only:
-        return row, column, len(values)
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
+    """The sizes of the intersections of each list on the left with each on the right (lists
+    without repeats), by products of slices of 0-1 matrices; values of one list are left out."""
+    same = left is right
+    every = left if same else [*left, *right]
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    values, column, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
     often = count > 1
-    keep = often[column]
-    return row[keep], (np.cumsum(often) - 1)[column[keep]], int(often.sum())
-
-
-def overlaps(lists: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
-    """The sizes of all intersections of two of the lists (each without repeats)."""
-    row, column, width = incidence(lists)
-    out = np.zeros((len(lists), len(lists)), np.float32)
+    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for a in range(0, width, chunk):
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(often.sum()), chunk):
         i, j = np.searchsorted(column, [a, a + chunk])
-        m = np.zeros((len(lists), min(chunk, width - a)), np.float32)
+        m = np.zeros((len(every), chunk), np.float32)
         m[row[i:j], column[i:j] - a] = 1
-        out += m @ m.T
+        out += m @ m.T if same else m[: len(left)] @ m[len(left) :].T
     return out
 
 
-def pairs_here(path: int, sides: np.ndarray, paths: list[np.ndarray], n: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of a cell are to be looked at here: of two different members, of sizes that
-    allow the threshold, of both sides of the cell, and not met before by a smaller path."""
-    m = len(n)
-    ok = np.minimum.outer(n, n) >= threshold * np.maximum.outer(n, n) - 1e-9
-    ok[np.arange(m), np.arange(m)] = False
-    if len(np.unique(sides)) > 1:
-        ok &= sides[:, None] != sides[None, :]
+def pairs_here(
+    path: int, left: np.ndarray, right: np.ndarray, paths: list[np.ndarray], n: np.ndarray, threshold: float
+) -> np.ndarray:
+    """Which pairs of a cell (members on the left x on the right) are to be looked at here: of
+    two members, of sizes that allow the threshold, and not met before by a smaller path."""
+    a, b = n[left].astype(np.float32)[:, None], n[right].astype(np.float32)[None, :]
+    ok = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-4
+    ok &= left[:, None] != right[None, :]
     if ok.any():
         earlier = [p[p < path] for p in paths]
-        ok &= overlaps(earlier) == 0
+        ok &= cross(earlier, left, right) == 0
     return ok
 
 
+def sides_of(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The members on the left and on the right: all and all in a cell of one block."""
+    side = cell.column("side").to_numpy()
+    if (side == side[0]).all():
+        every = np.arange(len(side))
+        return every, every
+    return np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
+
+
+def cross(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    first = [values[i] for i in left]
+    return overlaps(first, first if left is right else [values[i] for i in right])
+
+
 def cells(leaf: DataFrame, block: int) -> DataFrame:
     """(cell, path, side, key): leaves cut into blocks, two blocks at a time."""
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -211,6 +236,7 @@ def links(
     recall: float = 0.999,
     choose: int = CHOOSE,
     depth: int = DEPTH,
+    follow: float = FOLLOW,
     small: int = SMALL,
     block: int = BLOCK,
     least: int = LEAST,
@@ -219,7 +245,7 @@ def links(
     """members (doc_id, key), classes (key, rep, copies, n) and found (key, root, n_links):
     for each class with links a class that it is linked to, at some steps, and the number of
     documents of other classes linked to it; a class can have several rows."""
-    runs = runs_for(recall, choose, depth, threshold)
+    runs = runs_for(recall, choose, depth, threshold, follow)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = materialise(sketches(read, width, choose, runs), "sketches")
     members = sketched.select("doc_id", "key")
@@ -234,7 +260,7 @@ def links(
         ),
         "classes",
     )
-    leaf = materialise(leaves(classes, depth, small), "leaves")
+    leaf = materialise(leaves(classes, depth, small, follow), "leaves")
     paths = leaf.groupBy("key").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     known = materialise(paths.join(classes.hint("merge"), "key"), "known")
 
@@ -244,12 +270,15 @@ def links(
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         keep = [rows.schema.empty_table().select(["cell", "path", "side", "key"])]
         for cell in by_cell(rows):
-            n, sides = cell.column("n").to_numpy(), cell.column("side").to_numpy()
-            ok = pairs_here(cell.column("path")[0].as_py(), sides, lists(cell.column("paths")), n, threshold)
+            n, (left, right) = cell.column("n").to_numpy(), sides_of(cell)
+            ok = pairs_here(cell.column("path")[0].as_py(), left, right, lists(cell.column("paths")), n, threshold)
             if ok.any():
-                ok &= overlaps(lists(cell.column("pool"))) >= np.minimum(least, 0.6 * np.minimum.outer(n, n) * runs)
-                if ok.any():
-                    keep.append(cell.filter(pa.array(ok.any(axis=1))).select(["cell", "path", "side", "key"]))
+                enough = np.minimum(least, 0.6 * runs * np.minimum(n[left][:, None], n[right][None, :]))
+                ok &= cross(lists(cell.column("pool")), left, right) >= enough
+                near = np.zeros(len(n), bool)
+                near[left[ok.any(axis=1)]] = near[right[ok.any(axis=0)]] = True
+                if near.any():
+                    keep.append(cell.filter(pa.array(near)).select(["cell", "path", "side", "key"]))
         return pa.concat_tables(keep)
 
     cut = cells(leaf, block)
@@ -285,19 +314,22 @@ def links(
             sets = [np.frombuffer(x, np.uint32) for x in cell.column("set").to_pylist()]
             n = np.array([len(x) for x in sets])
             copies, keys = cell.column("copies").to_numpy(), cell.column("key").to_pylist()
-            sides = cell.column("side").to_numpy()
-            ok = pairs_here(cell.column("path")[0].as_py(), sides, lists(cell.column("paths")), n, threshold)
-            common = overlaps(sets)
-            ok &= common >= threshold * (np.add.outer(n, n) - common) - 1e-6
-            label = np.arange(len(n))
+            left, right = sides_of(cell)
+            ok = pairs_here(cell.column("path")[0].as_py(), left, right, lists(cell.column("paths")), n, threshold)
+            common = cross(sets, left, right)
+            ok &= common >= threshold * (n[left][:, None] + n[right][None, :] - common) - 1e-4
+            label, n_links = np.arange(len(n)), np.zeros(len(n), np.int64)
+            n_links[left] += ok @ copies[right]
+            if left is not right:
+                n_links[right] += copies[left] @ ok
             while True:
-                new = np.minimum(label, np.where(ok, label[None, :], len(n)).min(axis=1))
-                new = new[new]
+                new = label.copy()
+                new[left] = np.minimum(new[left], np.where(ok, label[right][None, :], len(n)).min(axis=1))
+                new[right] = np.minimum(new[right], np.where(ok, new[left][:, None], len(n)).min(axis=0))
                 if (new == label).all():
                     break
                 label = new
-            n_links = ok @ copies
-            out += [(keys[i], keys[label[i]], int(n_links[i])) for i in np.flatnonzero(ok.any(axis=1)).tolist()]
+            out += [(keys[i], keys[label[i]], int(n_links[i])) for i in np.flatnonzero(n_links).tolist()]
         kinds = [pa.binary(), pa.binary(), pa.int64()]
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True)]
         return pa.table(columns, ["key", "root", "n_links"])
