@@ -8,11 +8,13 @@ the words it spells are read besides the ones as written. A word without such tr
 path only, itself, and needs no search. The model of characters is counted over all documents.
 
 The classifier reads which words and beginnings of words (4 to 6 bytes) a text holds. It knows
-the log ratio of the chances of each in toxic and in other texts, for those that are clearly
+the smoothed log ratio of the chances of each in toxic and in other texts, for those that are
 more frequent in toxic ones; the sum over a text is turned into a probability by logistic
-regression. It is fitted on at most about `per_class` labelled training rows of either class,
-drawn by a hash of doc_id. What is collected is bounded by that sample and by the model's
-alphabet.
+regression. By which factor, and by how many standard errors if at all, a feature must be more
+frequent is chosen by cross-validation: the log loss of training rows under models of the other
+folds decides, and the logistic regression is fitted on the sums that these models give. It is
+fitted on at most about `per_class` labelled training rows of either class, drawn by a hash of
+doc_id. What is collected is bounded by that sample and by the model's alphabet.
 
 Defined results: null text is empty; a text without any known feature has the probability of
 such a text; rows without a label are scored like others; without training rows of both
@@ -43,6 +45,9 @@ SYMBOLS = 28  # blank, a to z, any other letter
 #: What isn't part of a word: ASCII other than letters.
 NOT_LETTER = textbytes.separators((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 PREFIXES = (4, 5, 6)
+FOLDS = 5  # of training rows; equal texts are in one fold
+#: What cross-validation chooses from, the strictest first: factors, and standard errors.
+RULES = [(factor, errors) for errors in (5, 4, 3, 2, 0) for factor in (32, 16, 8, 4)]
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
@@ -233,17 +238,20 @@ class Model:
     bias: float
     fitted: bool = True
 
-    def sums(self, column: pa.Array) -> np.ndarray:
-        out = np.zeros(len(column))
+    def hits(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, index of a known feature), each once in a text."""
         if not len(self.features):
-            return out
-        for row, texts, t, f in features(column, self.channel):
+            return
+        for row, _, t, f in features(column, self.channel):
             at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
             hit = self.features[at] == f
-            pairs = np.unique(t[hit].astype(np.int64) * len(self.features) + at[hit])  # each once in a text
-            out[row : row + texts] = np.bincount(
-                pairs // len(self.features), self.ratios[pairs % len(self.features)], texts
-            )
+            pairs = np.unique(t[hit].astype(np.int64) * len(self.features) + at[hit])
+            yield row + pairs // len(self.features), pairs % len(self.features)
+
+    def sums(self, column: pa.Array) -> np.ndarray:
+        out = np.zeros(len(column))
+        for t, at in self.hits(column):
+            np.add.at(out, t, self.ratios[at])
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -278,23 +286,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[D
     return docs.join(F.broadcast(drawn), "doc_id").select("text", "toxic"), n1, n0
 
 
+def rates(tox: np.ndarray, clean: np.ndarray, rows1: int, rows0: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each feature the smoothed log ratio, and by how many standard errors it is more frequent
+    in toxic rows; -inf for features that fewer than `least` toxic rows have."""
+    p1, p0 = (tox + 0.5) / (rows1 + 1), (clean + 0.5) / (rows0 + 1)
+    error = np.sqrt(p1 * (1 - p1) / max(rows1, 1) + p0 * (1 - p0) / max(rows0, 1))
+    return np.log(p1 / p0), np.where(tox >= least, (p1 - p0) / (error * (1 - p1)), -np.inf)
+
+
+def chosen(ratio: np.ndarray, errors: np.ndarray, rule: tuple[int, int]) -> np.ndarray:
+    return (ratio > np.log(rule[0])) & (errors > rule[1])
+
+
+def log_loss(x: np.ndarray, y: np.ndarray, slope: float, bias: float) -> float:
+    return float(np.mean(np.logaddexp(0, np.where(y == 1, -1, 1) * (slope * x + bias))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, least: int = 4) -> Model:
     """From documents (doc_id, text) and labels (doc_id, toxic)."""
     channel = fit_channel(docs.select("text"))
     spark = docs.sparkSession
     train, n1, n0 = training_rows(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), per_class)
+    train = train.withColumn("fold", F.pmod(F.hash("text"), F.lit(FOLDS)))
     nothing = Model(channel, np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, False)
     if not n1 or not n0:
         return nothing
+    names = [f"{kind}{k}" for kind in ("n", "rows") for k in range(FOLDS)]
 
-    def count(of: DataFrame, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int]:
+    def count(of: DataFrame, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, in how many rows of each fold they are (folds x features), rows of each fold."""
         shared = spark.sparkContext.broadcast((channel, among))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             channel, among = shared.value
             for batch in batches:
-                seen = []
-                for _, _, t, f in features(batch.column("text"), channel):
+                fold = batch.column("fold").to_numpy()
+                seen, folds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for row, _, t, f in features(batch.column("text"), channel):
                     if among is not None:
                         k = np.minimum(np.searchsorted(among, f), len(among) - 1)
                         t, f = t[among[k] == f], f[among[k] == f]
@@ -303,43 +331,70 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, least: int =
                     new = np.ones(len(t), bool)
                     new[1:] = (t[1:] != t[:-1]) | (f[1:] != f[:-1])
                     seen.append(f[new])
-                f, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-                f, n = np.append(f.view(np.int64), 0), np.append(n, 0)
-                rows = np.append(np.zeros(len(n) - 1, np.int64), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n), pa.array(rows)], ["f", "n", "rows"])
-
-        sums = of.select("text").mapInArrow(run, "f long, n long, rows long").groupBy("f")
-        sums = sums.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-        table = sums.where((F.col("n") >= (least if among is None else 1)) | (F.col("rows") > 0)).toArrow().to_pydict()
-        f, n = np.array(table["f"], np.int64).view(np.uint64), np.array(table["n"], np.int64)
+                    folds.append(fold[row + t[new]].astype(np.int64))
+                f, at = np.unique(np.concatenate(seen), return_inverse=True)
+                n = np.bincount(np.concatenate(folds) * len(f) + at, minlength=FOLDS * len(f)).reshape(FOLDS, -1)
+                n = np.concatenate([n, np.zeros((FOLDS, 1), n.dtype)], axis=1)
+                rows = np.zeros_like(n)
+                rows[:, -1] = np.bincount(fold, minlength=FOLDS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(f.view(np.int64), 0)), *map(pa.array, n), *map(pa.array, rows)], ["f", *names]
+                )
+
+        kinds = ", ".join(f"{x} long" for x in ["f", *names])
+        sums = of.select("text", "fold").mapInArrow(run, kinds).groupBy("f").agg(*[F.sum(x).alias(x) for x in names])
+        n, rows = (sum(F.col(x) for x in half) for half in (names[:FOLDS], names[FOLDS:]))
+        table = sums.where((n >= (least if among is None else 1)) | (rows > 0)).toArrow()
+        f = table["f"].to_numpy().view(np.uint64)
+        both = np.array([table[x].to_numpy() for x in names], np.int64).reshape(2, FOLDS, len(f))
         order = np.argsort(f)
-        keep = n[order] > 0
-        return f[order][keep], n[order][keep], int(sum(table["rows"]))
+        order = order[both[0].sum(axis=0)[order] >= (least if among is None else 1)]
+        return f[order], both[0][:, order], both[1].sum(axis=1)
 
     f, tox, rows1 = count(train.where("toxic = 1"), None)
     if not len(f):
         return nothing
     g, n, rows0 = count(train.where("toxic = 0"), f)
-    clean = np.zeros(len(f))
-    clean[np.searchsorted(f, g)] = n
-    p1, p0 = (tox + 0.5) / (rows1 + 1), (clean + 0.5) / (rows0 + 1)
-    ratio = np.log(p1 / p0)
-    # clearly more frequent in toxic texts: by a factor of 16, and by five standard errors
-    error = np.sqrt(p1 * (1 - p1) / max(rows1, 1) + p0 * (1 - p0) / max(rows0, 1))
-    keep = (ratio > np.log(16)) & ((p1 - p0) > min(5.0, 0.5 * np.sqrt(rows1)) * error * (1 - p1))
-    keep &= tox >= least
-    model = Model(channel, f[keep], ratio[keep], 1.0, 0.0)
-    shared = spark.sparkContext.broadcast(model)
+    clean = np.zeros((FOLDS, len(f)), np.int64)
+    clean[:, np.searchsorted(f, g)] = n
+    # for each fold what the other folds say; at the end what all say
+    whole = [x.sum(axis=0) for x in (tox, clean, rows1, rows0)]
+    left = [[w - x[k] for w, x in zip(whole, (tox, clean, rows1, rows0), strict=True)] for k in range(FOLDS)]
+    said = [rates(*x, least) for x in [*left, whole]]
+    some = np.any([chosen(*x, (min(r[0] for r in RULES), min(r[1] for r in RULES))) for x in said], axis=0)
+    wide = Model(channel, f[some], np.zeros(0), 1.0, 0.0)
+    shared = spark.sparkContext.broadcast((wide, [(ratio[some], errors[some]) for ratio, errors in said]))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of each row under each rule: of the other folds' model, then of the whole model."""
+        wide, said = shared.value
         for batch in batches:
-            sums = pa.array(shared.value.sums(batch.column("text")))
+            fold = batch.column("fold").to_numpy()
+            x = np.zeros((2 * len(RULES), batch.num_rows))
+            for t, at in wide.hits(batch.column("text")):
+                for which in range(FOLDS + 1):
+                    mine = slice(None) if which == FOLDS else fold[t] == which
+                    ratio, errors = said[which]
+                    for r, rule in enumerate(RULES):
+                        weight = np.where(chosen(ratio, errors, rule), ratio, 0)
+                        x[r + (which == FOLDS) * len(RULES)] += np.bincount(t[mine], weight[at[mine]], batch.num_rows)
+            sums = pa.array(list(np.ascontiguousarray(x.T)), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([sums, batch.column("toxic")], ["x", "toxic"])
 
-    seen = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(total, "x double, toxic int")
-    seen = seen.toArrow().to_pydict()
-    model.slope, model.bias = logistic(np.array(seen["x"]), (np.array(seen["toxic"]) == 1).astype(float))
-    return model
+    seen = train.select("text", "fold", F.col("toxic").cast("int").alias("toxic"))
+    seen = seen.mapInArrow(total, "x array<double>, toxic int").toArrow().to_pydict()
+    x, y = np.array(seen["x"]).T, (np.array(seen["toxic"]) == 1).astype(float)
+    if x[: len(RULES)].any():
+        lines = [logistic(row, y) for row in x[: len(RULES)]]
+        best = int(np.argmin([log_loss(row, y, *line) for row, line in zip(x, lines, strict=False)]))
+        slope, bias = lines[best]
+    else:  # too few rows to leave out a fold: the strictest rule that knows a feature
+        found = np.flatnonzero(x[len(RULES) :].any(axis=1))
+        best = int(found[0]) if len(found) else 0
+        slope, bias = logistic(x[len(RULES) + best], y)
+    ratio, errors = said[-1]
+    keep = chosen(ratio, errors, RULES[best])
+    return Model(channel, f[keep], ratio[keep], slope, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

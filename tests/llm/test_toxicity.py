@@ -71,6 +71,28 @@ def test_held_out_scores(spark):
     assert {r.doc_id: r.predicted for r in got if r.doc_id in (9000, 9001, 9002, 9003, None)} == {9000: 0, 9001: 0, 9002: 1, 9003: 1, None: 0}
 
 
+def test_rare_evidence_counts(spark):
+    docs, labels = make(900)
+    rare = ["schwachkopf", "ordure", "basura", "vaurien"]
+    for d in range(60):  # each word in 15 documents, 12 or so of them for training
+        docs.append((2000 + d, f"{docs[d][1]} {rare[d % 4]}"))
+        labels.append((2000 + d, 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = toxicity.score(df, toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    assert sum(r.held_out for r in got if r.doc_id >= 2000) >= 5
+    want = dict(labels)
+    assert {r.doc_id: r.predicted for r in got if r.held_out} == {r.doc_id: want[r.doc_id] for r in got if r.held_out}
+
+
+def test_few_rows_are_enough(spark):
+    docs, labels = make(40, 3)
+    docs, labels = zip(*[(d, m) for d, m in zip(docs, labels, strict=True) if not m[1]], strict=True)
+    docs, labels = [*docs, *((100 + d, f"the scum {d}") for d in range(6))], [*labels, *((100 + d, 1) for d in range(6))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = toxicity.score(df, toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    assert all(r.predicted == (r.doc_id >= 100) for r in got)
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "moron")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
