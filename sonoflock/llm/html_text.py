@@ -13,8 +13,14 @@ Tags and class names that say outright what a branch is (nav, footer, ad, commen
 as importance 0. Of what is left, the article is the text: the article or main element if
 there is one, else the body.
 
+Each different page of a host counts once: pages of one text (without what names cut) are copies,
+and say nothing about what is the same on all pages. A host needs five different pages. On hosts
+with fewer, branches of low importance over all rows are cut only if they are bare text, without
+paragraphs or the like, and together hold less than half of the text around them. An article or
+main element that would be cut out whole stays.
+
 The counts are aggregated in two steps, first by (host, node, content), so that a host with a
-third of all pages is no hot key. The table of low branches is as large as the number of
+third of all pages is no hot key. What is sent of a page is the hashes of its places. The table of low branches is as large as the number of
 different places in pages; Spark joins it to the pages by host, and broadcasts it only if its
 size, known as it is written to files, is below the session's threshold.
 
@@ -22,7 +28,7 @@ Text: character references are decoded, white space within a block becomes one s
 are trimmed and joined by two newlines in page order, empty ones are left out.
 
 Defined results: null html is empty and has an empty text; null urls are a host of their own;
-repeated pages count each; pages may be cut off anywhere; empty tables give no rows. Extra
+each row has its text, copies too; pages may be cut off anywhere; empty tables give no rows. Extra
 columns are ignored.
 """
 
@@ -32,8 +38,10 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,8 +201,30 @@ def blocks(node: Node, low: frozenset[int] | set[int]) -> list[str]:
     return out
 
 
-def main_text(html: str | None, low: frozenset[int] | set[int]) -> str:
+def cut_asides(root: Node, weak: set[int]) -> None:
+    """Mark branches of bare text as low, where they are the smaller part of what is around them."""
+    todo: list[tuple[Node, Node]] = [(root, root)]
+    found: dict[int, tuple[Node, list[Node]]] = {}
+    while todo:
+        x, around = todo.pop()
+        if x.low or x.tag in RAW:
+            continue
+        if x.tag in ("article", "main", "body"):
+            around = x
+        elif x.place in weak and not any(y.tag in PLAIN for y in walk(x)):
+            found.setdefault(id(around), (around, []))[1].append(x)
+            continue
+        todo += [(c, around) for c in x.children if isinstance(c, Node)]
+    for around, asides in found.values():
+        if 2 * sum(len(t) for x in asides for t in blocks(x, frozenset())) < sum(map(len, blocks(around, frozenset()))):
+            for x in asides:
+                x.low = True
+
+
+def main_text(html: str | None, low: frozenset[int] | set[int], weak: frozenset[int] | set[int] = frozenset()) -> str:
     root = parse(html or "")
+    if weak:
+        cut_asides(root, weak)
     for tag in ("article", "main", "body"):
         found = []
         for x in walk(root):
@@ -205,6 +235,8 @@ def main_text(html: str | None, low: frozenset[int] | set[int]) -> str:
             gone = {id(y) for x in walk(root) if x.low or x.place in low for y in walk(x) if x.tag not in ("article", "main")}
             found = [x for x in found if id(x) not in inner and id(x) not in gone]
         texts = [t for x in found for t in blocks(x, low)]
+        if not texts and tag != "body":
+            texts = [t for x in found for t in blocks(x, frozenset())]
         if texts:
             return "\n\n".join(texts)
     return "\n\n".join(blocks(root, low))
@@ -214,12 +246,18 @@ def digest(node: Node) -> int:
     return zlib.crc32("\n".join(blocks(node, frozenset())).encode())
 
 
-def places(html: str | None) -> dict[int, tuple[int, int]]:
+def same_text(root: Node) -> int:
+    """A hash that is the same for copies of a page."""
+    text = "\n".join(blocks(root, frozenset())).encode(errors="replace")
+    return int.from_bytes(blake2b(text, digest_size=8).digest(), "big", signed=True)
+
+
+def places(root: Node) -> dict[int, tuple[int, int]]:
     """For each place of a page that can be cut out: hashes of its presentation and content,
     of all elements there taken together. Plain text elements and named boilerplate are left
     out, as their importance decides nothing."""
     out: dict[int, tuple[int, int]] = {}
-    todo = [parse(html or "")]
+    todo = [root]
     while todo:
         x = todo.pop()
         if x.low or x.tag in RAW:
@@ -232,27 +270,45 @@ def places(html: str | None) -> dict[int, tuple[int, int]]:
     return out
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, place, n_pages, importance) from pages (host, html)."""
+def different_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, places, copies): each different page of pages (host, html) once."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (host, place, kind, value)
-                for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)
-                for place, both in places(html).items()
-                for kind, value in enumerate(both)
-            ]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "place", "kind", "value"])
+            texts, packed = [], []
+            for html in batch.column("html").to_pylist():
+                root = parse(html or "")
+                texts.append(same_text(root))
+                packed.append(np.array([(x, *both) for x, both in sorted(places(root).items())], np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(texts, pa.int64()), pa.array(packed, pa.binary())], ["host", "page", "places"]
+            )
+
+    each = pages.mapInArrow(read, "host string, page long, places binary")
+    return each.groupBy("host", "page").agg(F.min("places").alias("places"), F.count(F.lit(1)).alias("copies"))
 
-    seen = pages.mapInArrow(count, "host string, place long, kind int, value long")
-    values = seen.groupBy("host", "place", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
+
+def trees_of(different: DataFrame) -> DataFrame:
+    """(host, place, n_pages, importance, n_rows, row_importance): of different pages, and of all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in batch.column("places").to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in rows]))
+            host, copies = batch.column("host").take(of), batch.column("copies").take(of)
+            place, *both = np.concatenate([np.zeros((0, 3), np.int64), *rows]).T
+            for kind, value in enumerate(both):
+                kinds = np.full(len(of), kind, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [host, pa.array(place), pa.array(kinds), pa.array(value), copies], ["host", "place", "kind", "value", "copies"]
+                )
+
+    seen = different.select("host", "places", "copies").mapInArrow(count, "host string, place long, kind int, value long, copies long")
+    values = seen.groupBy("host", "place", "kind", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("copies").alias("r"))
     shape, content = F.col("kind") == 0, F.col("kind") == 1
 
-    def entropy(which):
-        c, m = F.when(which, F.col("c")), F.sum(F.when(which, F.col("c")))
+    def entropy(which, count):
+        c, m = F.when(which, F.col(count)), F.sum(F.when(which, F.col(count)))
         h = F.log(m) - F.sum(c * F.log(c)) / m
         return F.when(m > 1, F.greatest(h, F.lit(0.0)) / F.log(m)).otherwise(1.0)
 
@@ -260,10 +316,17 @@ def style_trees(pages: DataFrame) -> DataFrame:
     weight = F.pow(F.lit(GAMMA), styles)
     return values.groupBy("host", "place").agg(
         F.sum(F.when(content, F.col("c"))).alias("n_pages"),
-        ((1 - weight) * entropy(shape) + weight * entropy(content)).alias("importance"),
+        ((1 - weight) * entropy(shape, "c") + weight * entropy(content, "c")).alias("importance"),
+        F.sum(F.when(content, F.col("r"))).alias("n_rows"),
+        ((1 - weight) * entropy(shape, "r") + weight * entropy(content, "r")).alias("row_importance"),
     )
 
 
+def style_trees(pages: DataFrame) -> DataFrame:
+    """trees_of the different pages among pages (host, html)."""
+    return trees_of(different_pages(pages))
+
+
 def extract(
     pages: DataFrame,
     id_col: str = "page_id",
@@ -277,15 +340,22 @@ def extract(
     read = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")
     )
-    trees = style_trees(read.select("host", "html"))
-    low = trees.where((F.col("n_pages") >= least_pages) & (F.col("importance") < least_importance))
-    by_host = materialise(low.groupBy("host").agg(F.sort_array(F.collect_set("place")).alias("low")), "low-branches")
+    different = materialise(different_pages(read.select("host", "html")), "different-pages")
+    few = different.groupBy("host").agg((F.count(F.lit(1)) < least_pages).alias("few"))
+    low = (F.col("n_pages") >= least_pages) & (F.col("importance") < least_importance)
+    weak = F.col("few") & (F.col("n_rows") >= least_pages) & (F.col("row_importance") < least_importance)
+    trees = trees_of(different).join(few, "host").where(low | weak)
+
+    def listed(which):
+        return F.sort_array(F.collect_set(F.when(which, F.col("place"))))
+
+    by_host = materialise(trees.groupBy("host").agg(listed(low).alias("low"), listed(weak).alias("weak")), "low-branches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                main_text(html, set(low or ()))
-                for html, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)
+                main_text(html, set(low or ()), set(weak or ()))
+                for html, low, weak in zip(*(batch.column(x).to_pylist() for x in ("html", "low", "weak")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -297,6 +367,6 @@ def extract(
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    joined = read.join(by_host, "host", "left").select("page_id", "url", "html", "low")
+    joined = read.join(by_host, "host", "left").select("page_id", "url", "html", "low", "weak")
     kind = read.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -51,5 +51,21 @@ def test_a_third_of_copies_keeps_its_article(spark):
     assert {r.text for r in html_text.extract(df).collect()} == {want(1)}
 
 
+def test_copies_keep_their_text(spark):
+    inside = "<body><article><div class='body'><p>Story {}</p></div></article><script>track({})</script></body>"
+    plain = "<body><div class='content'><p>Story {}</p></div><script>track({})</script></body>"
+    rows = [(k, f"http://{'ab'[k % 2]}.example.com/{k}", (inside, plain)[k % 2].format(7, k)) for k in range(60)]
+    rows += [(60 + k, f"http://{'ab'[k % 2]}.example.com/x", (inside, plain)[k % 2].format(k, k)) for k in range(4)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Story {7 if k < 60 else k - 60}" for k in range(64)}
+
+
+def test_many_copies_among_different_pages(spark):
+    html = "<body><article><div class='body'><p>Story {}</p></div><div class='zz'>Join our club</div></article></body>"
+    rows = [(k, "http://a.example.com/", html.format(max(k, 90))) for k in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {k: f"Story {max(k, 90)}" for k in range(100)}
+
+
 def test_empty_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
