@@ -84,11 +84,18 @@ class Channel:
                     places.append([(c * n, 0.0)])
                 if spaced:
                     places.append([("", 0.0), (" ", COST_BREAK)])
-            elif n >= 3:
+                continue
+            if n >= 3:
                 places.append([("", 0.0), (" ", COST_LOOK)])
+            elif c == "*" and n == 2:  # each hides a letter, of any kind
+                hidden = [(x, COST_LOOK + (x not in LOOKS_LIKE[c])) for x in map(chr, range(97, 123))]
+                places += [[*hidden, ("", COST_DROP), (" ", COST_BREAK)]] * n
             else:
-                looks = [(x * n if c not in "*" else x, COST_LOOK * n) for x in LOOKS_LIKE.get(c, "")]
+                looks = [(x * n, COST_LOOK * n) for x in LOOKS_LIKE.get(c, "")]
+                looks += [(x, COST_LOOK + COST_REPEAT) for x in LOOKS_LIKE.get(c, "") if n == 2]
                 places.append([*looks, ("", COST_DROP if looks else COST_LOOK), (" ", COST_BREAK)])
+            if spaced:
+                places.append([("", 0.0), (" ", COST_BREAK)])
         return places
 
     def decode(self, token: str, spaced: bool = False) -> str:
@@ -96,10 +103,10 @@ class Channel:
         if (token, spaced) not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            best = {(0, 0): (0.0, "")}
+            best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # paths as chains, from their end
             for choices in [*self.lattice(token, spaced), [(" ", 0.0)]]:
-                new: dict[tuple[int, int], tuple[float, str]] = {}
-                for (a, b), (cost, text) in best.items():
+                new: dict[tuple[int, int], tuple[float, tuple]] = {}
+                for (a, b), (cost, path) in best.items():
                     for string, more in choices:
                         x, y, total = a, b, cost + more
                         for c in string:
@@ -107,9 +114,13 @@ class Channel:
                             total += self.table[x][y][z]
                             x, y = y, z
                         if (x, y) not in new or total < new[x, y][0]:
-                            new[x, y] = (total, text + string)
+                            new[x, y] = (total, (string, path))
                 best = new
-            self.known[token, spaced] = min(best.values())[1].strip()
+            path, spelled = min(best.values(), key=lambda x: x[0])[1], []
+            while path:
+                string, path = path
+                spelled.append(string)
+            self.known[token, spaced] = "".join(reversed(spelled)).strip()
         return self.known[token, spaced]
 
 
@@ -144,8 +155,9 @@ def fit_channel(docs: DataFrame) -> Channel:
 
 
 def disguised(words: textbytes.Words) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Tokens (runs without white space, folded) that show traces of the channel, and runs of
-    tokens of one letter, as (first, end)."""
+    """Tokens (runs without white space, folded) that show traces of the channel: look-alikes
+    beside a letter, signs between letters, letters repeated or apart; and runs of tokens of one
+    letter or look-alike, as (first, end). A sign three times or more stands for nothing."""
     data, start, end = words.data, words.start, words.end
     n = len(data)
     letter, look = _LETTER[data], _LOOK[data]
@@ -153,10 +165,15 @@ def disguised(words: textbytes.Words) -> tuple[np.ndarray, list[tuple[int, int]]
     before[1:], after[:-1] = letter[:-1], letter[1:]
     same = np.zeros(n, bool)
     same[1:] = data[1:] == data[:-1]
-    twin = same.copy()
-    twin[:-1] |= same[1:]
-    digit = (data >= 48) & (data <= 57)
-    inside = look & ~twin & (after | (before & digit))
+    third = np.zeros(n, bool)
+    third[2:] = same[2:] & same[1:-1]
+    many = third.copy()
+    many[:-1] |= third[1:]
+    many[:-2] |= third[2:]
+    inside = look & ~many & (before | after)
+    sign = ~letter & ~textbytes.BLANK[data]
+    inside |= sign & before & after
+    inside[:-1] |= sign[:-1] & same[1:] & before[:-1] & after[1:]
     triple = np.zeros(n, bool)
     triple[2:] = letter[2:] & same[2:] & same[1:-1] & (data[2:] < 0x80)
     ascii_letter = letter & (data < 0x80)
@@ -168,14 +185,15 @@ def disguised(words: textbytes.Words) -> tuple[np.ndarray, list[tuple[int, int]]
 
     n_letters, n_alone = per_token(ascii_letter), per_token(alone)
     odd = (n_letters > 0) & ((per_token(inside) > 0) | (per_token(triple) > 0) | (n_alone >= 3))
-    single = (end - start == 1) & (n_letters == 1)
+    single = (end - start <= 2) & (n_letters + per_token(look) == 1) & (per_token(letter) == n_letters)
+    single &= (end - start == 1) | (per_token(sign & ~look & ((data < 48) | (data > 57))) == 1)  # with a comma or the like
     of = words.text_of()
     runs = []
     k = np.flatnonzero(single)
     if len(k) > 2:
         cut = np.flatnonzero((np.diff(k) > 1) | (np.diff(of[k]) > 0)) + 1
         for part in np.split(k, cut):
-            if len(part) >= 3:
+            if len(part) >= 3 and n_letters[part].any():
                 runs.append((int(part[0]), int(part[-1]) + 1))
     return np.flatnonzero(odd), runs
 

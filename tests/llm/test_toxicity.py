@@ -56,6 +56,28 @@ def test_words_are_restored(channel):
     assert len(odd) == 0 and not runs
 
 
+@pytest.mark.parametrize(
+    ("token", "word"),
+    [
+        ("tra$$h", "trash"), ("m00ron", "moron"), ("m0r00n", "moron"), ("m**on", "moron"), ("tra$#", "trash"), ("tras#", "trash"),
+        ("tra-sh", "trash"), ("mo--ron", "moron"), ("m 0 r 0 n", "moron"), ("$ t u p 1 d", "stupid"), ("7 r a 5 h", "trash"),
+    ],
+)
+def test_doubled_final_and_spaced_look_alikes(channel, token, word):
+    assert toxicity.restore(f"the {token}, and", channel).split()[1].strip(",") == word
+
+
+@pytest.mark.parametrize("token", ["l00ser", "tra$$h", "m**on", "scu**", "tras#", "idio+", "sc-um"])
+def test_disguises_are_searched(token):
+    (tokens,) = textbytes.pieces(pa.array([f"the {token} and, {token}"]), fold=True)
+    assert toxicity.disguised(tokens)[0].tolist() == [1, 3]
+
+
+def test_runs_hold_a_letter():
+    (tokens,) = textbytes.pieces(pa.array(["1 2 3 4 the 1 d 1 0 t and", "a b", "c"]), fold=True)
+    assert toxicity.disguised(tokens)[1] == [(5, 10)]
+
+
 def test_held_out_scores(spark):
     docs, labels = make(600)
     probes = [(9000, None), (9001, ""), (9002, "m0r0n and w o r t h l e s s"), (None, "the and"), (9003, "tra5h stup1d " + "the " * 40000)]
