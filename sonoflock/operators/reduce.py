@@ -82,6 +82,9 @@ def geodesics(graph: DataFrame, landmarks: DataFrame, most_rounds: int = 200) ->
         known = new
         if done:
             break
+    else:
+        edges.unpersist()
+        raise RuntimeError(f"the ways along the graph weren't settled after {most_rounds} rounds")
     edges.unpersist()
     return known
 

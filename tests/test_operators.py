@@ -151,6 +151,14 @@ def test_pca_centres_and_clamps(spark):
     assert len(reduce.pca(frame(spark, x[:3]), 6, 50)[0].first().vector) == 2
 
 
+def test_unsettled_ways_are_an_error(spark):
+    graph = spark.createDataFrame([(k, k + 1, 1.0) for k in range(5)], "query_id long, snippet_id long, distance double")
+    start = spark.createDataFrame([(0,)], "snippet_id long")
+    assert {r.snippet_id: r.d for r in reduce.geodesics(graph, start, 6).collect()} == {k: float(k) for k in range(6)}
+    with pytest.raises(RuntimeError):
+        reduce.geodesics(graph, start, 2)
+
+
 def test_isomap_unrolls_a_curve(spark):
     shared_folder(spark)
     t = np.linspace(0, 2.5, 30)
