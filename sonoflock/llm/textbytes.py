@@ -1,9 +1,9 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow column.
 
 Words are maximal runs of bytes that aren't separators. The separators used are ASCII, so
-that runs of bytes are runs of characters. A word's hash is a polynomial over random values
-of its bytes, by differences of one running sum, and then mixed: about ten simple passes over
-the bytes and no Python object for a word.
+that runs of bytes are runs of characters. Words are hashed eight bytes at a time, all words
+of a piece together: no Python object for a word. Where equal hashes decide a result, the
+operators compare the bytes as well.
 """
 
 from __future__ import annotations
@@ -13,13 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Texts are handled in pieces of so many bytes (a longer text is a piece of its own).
 PIECE = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_rng = np.random.default_rng(20240229)
-_VALUE = _rng.integers(1, _MASK, 256, dtype=np.uint64, endpoint=True)
+_SEED = 0x2545F4914F6CDD1D
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+#: Masks of the first k of eight bytes.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -47,20 +51,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and its inverse, for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, PIECE + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            row = np.full(size, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[name] = np.multiply.accumulate(row)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 @dataclass
 class Words:
     data: np.ndarray  # bytes, folded if asked for
@@ -85,11 +75,42 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span: eight bytes at a time, mixed in between, so that spans of up
+    to eight bytes and equal length never clash; XXH3 for the few longer than LONG."""
+    eights, n = _eights(data), end - start
+    h = mix(n.astype(np.uint64) * np.uint64(_BASE) + np.uint64(_SEED + seed & _MASK))
+    h = mix(h ^ (eights[start] & _HEAD[np.minimum(n, 8)]))
+    todo, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(todo):
+        part = eights[start[todo] + at] & _HEAD[np.minimum(n[todo] - at, 8)]
+        h[todo] = mix(h[todo] * np.uint64(_BASE) ^ part)
+        at += 8
+        todo = todo[n[todo] > at]
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return h
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whether each span has the very bytes of the span whose index `like` gives."""
+    eights, n = _eights(data), end - start
+    same = n == n[like]
+    todo, at = np.flatnonzero(same & (like != np.arange(len(n)))), 0
+    while len(todo):
+        a, b = eights[start[todo] + at], eights[start[like[todo]] + at]
+        differ = ((a ^ b) & _HEAD[np.minimum(n[todo] - at, 8)]) != 0
+        same[todo[differ]] = False
+        at += 8
+        todo = todo[~differ & (n[todo] > at)]
+    return same
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +155,21 @@ def pieces(column: pa.Array, separator: np.ndarray = BLANK, fold: bool = False,
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of `width` consecutive words, by its first word."""
+    """A hash of each run of `width` consecutive words, by its first word: runs of 1, 2, 4 ...
+    words are joined two and two, mixed each time."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out *= np.uint64(_BASE)
-        out += hashes[k : k + n]
-    return mix(out)
+    out, done, power, size = None, 0, hashes, 1
+    while True:
+        if width & size:
+            part = power[done : done + n]
+            out = mix(part + np.uint64(size)) if out is None else mix(out * np.uint64(_BASE) ^ part)
+            done += size
+        if done == width:
+            return out
+        power = mix(power[:-size] * np.uint64(_BASE) ^ power[size:])
+        size *= 2
 
 
 def whole_windows(words: Words, width: int) -> np.ndarray:

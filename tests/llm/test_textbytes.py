@@ -31,3 +31,34 @@ def test_packing(values):
     for kind in (np.uint64, np.int64):
         a = np.array(values, np.uint64).astype(kind)
         assert (unpack(pack(a)) == a).all() and unpack(pack(a)).dtype == kind
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word and its complement, whose polynomial hashes modulo 2^64 are equal for any odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_complements_differ():
+    for n in (8, 16, 64, 1024, 4096):
+        column = pa.array(thue_morse(n))
+        data, offsets = textbytes.buffers(column)
+        h = textbytes.span_hashes(data, offsets[:-1], offsets[1:])
+        assert h[0] != h[1]
+        assert textbytes.same_spans(data, offsets[:-1], offsets[1:], np.array([0, 0])).tolist() == [True, False]
+    words = next(textbytes.pieces(pa.array([" ".join(x) for x in thue_morse(1024)])))
+    for width in (1, 2, 5, 10, 13, 1024):
+        got = textbytes.windows(words.hashes(), width)
+        seen = {}
+        w = [words.word(i) for i in range(len(words.start))]
+        for i, h in enumerate(got.tolist()):
+            assert seen.setdefault(h, w[i : i + width]) == w[i : i + width]
+        assert len(seen) == len({tuple(w[i : i + width]) for i in range(len(got))})
+
+
+@given(st.lists(st.binary(max_size=70), min_size=1, max_size=6), st.data())
+def test_same_spans_compares_bytes(spans, data):
+    like = np.array([data.draw(st.integers(0, len(spans) - 1)) for _ in spans])
+    raw = np.frombuffer(b"".join(spans), np.uint8)
+    at = np.cumsum([0, *map(len, spans)])
+    assert textbytes.same_spans(raw, at[:-1], at[1:], like).tolist() == [s == spans[k] for s, k in zip(spans, like, strict=True)]
