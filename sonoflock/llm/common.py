@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -12,10 +17,12 @@ LOWER = UPPER.lower()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Where the
-    session names none (a local test), one is made and named for the session."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where a local
+    session names none (a test), one is made and named for the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sonoflock-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -35,3 +42,52 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_kept: dict[str, object] = {}
+
+
+def tidy() -> None:
+    """Give memory that arrays have left back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def worker_keeps(name: str, make: Callable[[], object]) -> object:
+    """What make() gives, kept in a worker process from task to task. A process keeps one thing
+    only: what another operator kept there goes."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def lean(f: Callable, keeps: str | None = None) -> Callable:
+    """f, a function for mapInArrow or applyInArrow, that drops what other operators kept in the
+    worker process when it starts and gives memory back when it is done."""
+
+    def before() -> None:
+        if keeps not in _kept:
+            _kept.clear()
+
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def stream(batches):
+            before()
+            yield from f(batches)
+            tidy()
+
+        return stream
+
+    def whole(*args):
+        before()
+        out = f(*args)
+        tidy()
+        return out
+
+    # Spark tells by the number of arguments whether the key, or a second table, is wanted
+    takes = len(inspect.signature(f).parameters)
+    return [lambda a: whole(a), lambda a, b: whole(a, b), lambda a, b, c: whole(a, b, c)][takes - 1]

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 from sonoflock.llm import token_files as tf
+from tests.llm.test_textbytes import thue_morse
 
 TEXTS = [
     "Hello world,  it's  fine\n\n\tnow ",
@@ -24,9 +26,11 @@ TEXTS = [
 ]
 
 
+TOKENIZER = Tokenizer.from_file(tf.default_tokenizer())
+
+
 def plain(text):
-    t = Tokenizer.from_file(tf.default_tokenizer())
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_chunks_encode_like_whole_texts():
@@ -34,6 +38,20 @@ def test_chunks_encode_like_whole_texts():
     assert [x.tolist() for x in got] == [plain(t) for t in TEXTS] * 2
 
 
+def test_chunks_that_a_polynomial_hash_takes_for_equal():
+    texts = [*thue_morse(1024), " ".join(thue_morse(1024))]
+    got = tf.Encoder(tf.default_tokenizer()).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [plain(t) for t in texts]
+
+
+def test_random_signs_and_letters_encode_like_whole_texts():
+    rng = random.Random(2)
+    signs = [*"abZ019 \n\t.,!$()-_'\"éÉ×÷ß", "'s", "'ll", "—", "語", "ö", " ", "  ", "café,", "it's"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(3000)]
+    got = tf.Encoder(tf.default_tokenizer()).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [plain(t) for t in texts]
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(100 - k, t, k) for k, t in enumerate(TEXTS)] + [(None, "no id", 0), (7, "same", 0), (7, "same", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(3)
