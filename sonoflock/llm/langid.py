@@ -5,11 +5,13 @@ isn't a letter being one blank. A text is the mean over its runs of their invers
 frequencies, each at the place of its feature. Document frequencies are counted over all
 training documents. The weights are fitted by follow-the-regularised-leader (per-coordinate
 rates, elastic net: the L1 part makes weights zero, the L2 part keeps them small) on a sample
-of at most about `per_lang` training documents of each language, drawn by a hash of the row;
-a fifth of the sample is kept back to fit the temperature that calibrates probabilities.
+of at most about `per_lang` training documents of each language and `most_rows` in all, drawn
+by a hash of the row; a fifth of the sample is kept back to fit the temperature that calibrates
+probabilities. Its targets are smoothed as for one more row of either kind, so that languages
+that are told apart without error have a temperature too.
 
-What is collected is bounded: document frequencies by the number of features, and the sample
-by `per_lang` times the number of languages, of which there may be `most_langs` at most.
+What is collected is bounded: document frequencies by the number of features, the sample by
+`most_rows`, and the weights by features x `most_langs`; more languages are refused.
 
 Defined results: null text and text without a letter are `und` with score 0; without any
 training row all are `und`; documents of null id or null language are predicted like others
@@ -28,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonoflock.llm.common import lean
+
 FEATURES = 1 << 16
 PIECE = 1 << 19
 BLANK = 32
@@ -128,20 +132,21 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["feature", "n"])
 
-    rows = train.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    rows = train.select("text").mapInArrow(lean(count), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     table = rows.toArrow().to_pydict()
     df = np.zeros(FEATURES + 1, np.int64)
     df[table["feature"]] = table["n"]
     return df[:FEATURES], int(df[FEATURES])
 
 
-def sample(train: DataFrame, per_lang: int, most_langs: int) -> tuple[list[str], list[tuple]]:
+def sample(train: DataFrame, per_lang: int, most_langs: int, most_rows: int) -> tuple[list[str], list[tuple]]:
     """The languages, and (language, features, their counts) of a bounded sample."""
     counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(most_langs + 1).collect()
     if len(counts) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
     if not counts:
         return [], []
+    per_lang = min(per_lang, most_rows // len(counts))
     spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     share = F.lit(0.0)
     for r in counts:
@@ -162,7 +167,7 @@ def sample(train: DataFrame, per_lang: int, most_langs: int) -> tuple[list[str],
             )
 
     drawn = train.where(spread < share).select(F.xxhash64("text", "doc_id").alias("order"), "lang", "text")
-    rows = drawn.mapInArrow(features, "order long, lang string, ids binary, counts binary").toArrow().to_pylist()
+    rows = drawn.mapInArrow(lean(features), "order long, lang string, ids binary, counts binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["order"], r["lang"], r["ids"]))
     return [r.lang for r in counts], [
         (r["lang"], np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in rows
@@ -179,7 +184,7 @@ def ftrl(
     epochs: int = 3,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases after `epochs` passes over rows of (class, features, values)."""
-    z, n = np.zeros((FEATURES + 1, classes)), np.zeros((FEATURES + 1, classes))
+    z, n = np.zeros((FEATURES + 1, classes), np.float32), np.zeros((FEATURES + 1, classes), np.float32)
 
     def weights(i: np.ndarray) -> np.ndarray:
         penalty = np.where(i == FEATURES, 0.0, l1)[:, None]
@@ -201,14 +206,22 @@ def ftrl(
 
 
 def temperature(z: np.ndarray, y: np.ndarray) -> float:
-    """What logits are to be divided by for the least log loss: golden-section search."""
+    """What logits are to be divided by for the least log loss against smoothed targets: golden-
+    section search."""
+    rows, classes = z.shape
+    if classes < 2:
+        return 1.0
+    slip = 1.0 / (rows + 2)
+    target = np.full(z.shape, slip / (classes - 1))
+    target[np.arange(rows), y] = 1 - slip
 
     def loss(log_t: float) -> float:
-        p = softmax(z / np.exp(log_t))
-        return float(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean())
+        x = z / np.exp(log_t)
+        x = x - x.max(axis=1, keepdims=True)
+        return float((target * (np.log(np.exp(x).sum(axis=1, keepdims=True)) - x)).sum(axis=1).mean())
 
-    a, b, g = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
-    for _ in range(40):
+    a, b, g = np.log(1e-3), np.log(1e3), (np.sqrt(5) - 1) / 2
+    for _ in range(50):
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
     return float(np.exp((a + b) / 2))
@@ -220,12 +233,13 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     per_lang: int = 1500,
-    most_langs: int = 500,
+    most_langs: int = 200,
+    most_rows: int = 24_000,
     scale: float = 20.0,
 ) -> Model:
     train = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training(F.col("doc_id")))
-    langs, rows = sample(train, per_lang, most_langs)
+    langs, rows = sample(train, per_lang, most_langs, most_rows)
     rows = [r for r in rows if len(r[1])]
     if not langs or not rows:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), 1.0)
@@ -259,7 +273,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         F.col(id_col).alias("doc_id"), (~in_training(F.col(id_col))).alias("held_out"), F.col(text_col).alias("text")
     )
     kind = read.schema["doc_id"].dataType.simpleString()
-    return read.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return read.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
@@ -272,4 +286,4 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0
             good = [x != "und" and s >= least for x, s in zip(langs, scores, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
