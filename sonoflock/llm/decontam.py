@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoflock.llm import textbytes
-from sonoflock.llm.common import LOWER, UPPER
+from sonoflock.llm.common import LOWER, UPPER, lean
 
 WINDOW = 10
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -239,7 +239,7 @@ def spans(
                     pa.array(n_words),
                     pa.array(starts, pa.list_(pa.int64())),
                     pa.array(ends, pa.list_(pa.int64())),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string())),
                 ],
                 ["doc_id", "n_words", "starts", "ends", "items"],
             )
@@ -247,7 +247,7 @@ def spans(
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
     return read.mapInArrow(
-        scan, f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
+        lean(scan), f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
     )
 
 
@@ -324,4 +324,4 @@ def remove_spans(
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
             yield batch
 
-    return docs.mapInArrow(cut, schema)
+    return docs.mapInArrow(lean(cut), schema)

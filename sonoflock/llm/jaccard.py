@@ -14,10 +14,10 @@ followed to full depth: the tokens that both choose are nearly Poisson distribut
 
 Buckets are then compared by brute force: first by the tokens that two members have chosen
 (a pair at the threshold has `choose` * runs * threshold of them in common, and fewer than
-`least` with a chance of some 1e-4), then exactly by their sets. A pair is looked at only in
+`least` with a chance of some 1e-4), then by their whole sets of 64-bit shingles. A pair is looked at only in
 the first bucket that it meets in, so that each link is counted once, without listing pairs.
-A bucket of more than `block` members is cut into blocks, and two blocks at a time make a
-cell of bounded size; a cell gives one row for each of its members.
+A bucket of more than `block` members, or with very many shingles, is cut into blocks, and two
+blocks at a time make a cell of bounded size; a cell gives one row for each of its members.
 
 Groups are connected components of links, found by rounds of star operations on tables.
 
@@ -35,14 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoflock.llm import textbytes
-from sonoflock.llm.common import materialise
+from sonoflock.llm.common import lean, materialise
 
 WORDS, THRESHOLD = 5, 0.8
-CHOOSE, DEPTH, SMALL, BLOCK, LEAST, FOLLOW = 6, 3, 32, 2500, 6, 0.6
+CHOOSE, DEPTH, SMALL, BLOCK, LEAST, FOLLOW = 6, 3, 32, 2000, 6, 0.6
+#: Shingles of the sets in a block at most (but for a single larger set), about 8 MB.
+BLOCK_SHINGLES = 1_000_000
+#: The run is kept in the lowest bits of a token.
+RUN_BITS = 4
 SKETCH = "doc_id long, key binary, n int, pool array<long>"
 
 
@@ -63,7 +67,10 @@ def runs_for(
                 step[:, j] = (alive[:, :j] & (rng.random((trials, j)) < follow)).any(axis=1)
             alive = step
         miss += math.exp(-common) * common**k / math.factorial(k) * (1 - alive.any(axis=1).mean())
-    return max(1, min(8, math.ceil(math.log(1 - recall) / math.log(miss))))
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+    if runs > 1 << RUN_BITS:
+        raise ValueError(f"a recall of {recall} takes {runs} runs; {1 << RUN_BITS} is the most")
+    return runs
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -112,7 +119,7 @@ def sketches(docs: DataFrame, width: int, choose: int, runs: int) -> DataFrame:
                     h = textbytes.mix(s ^ np.uint64((r + 1) * 0x9FB21C651E98DF25 & ((1 << 64) - 1)))
                     k = np.flatnonzero((h >> np.uint64(11)).astype(np.float64) / 2.0**53 < limit)
                     at.append(t[k])
-                    tokens.append((h[k] & ~np.uint64(7)) | np.uint64(r))
+                    tokens.append(h[k] >> np.uint64(RUN_BITS) << np.uint64(RUN_BITS) | np.uint64(r))
                 at, tokens = np.concatenate(at), np.concatenate(tokens)
                 order = np.argsort(at, kind="stable")
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=texts))]).astype(np.int32)
@@ -122,30 +129,32 @@ def sketches(docs: DataFrame, width: int, choose: int, runs: int) -> DataFrame:
                     ["doc_id", "key", "n", "pool"],
                 )
 
-    return docs.mapInArrow(sketch, SKETCH)
+    return docs.mapInArrow(lean(sketch), SKETCH)
 
 
 def leaves(classes: DataFrame, depth: int, small: int, follow: float) -> DataFrame:
-    """(path, size, key): the buckets that aren't split further, of two members or more."""
+    """(path, size, weight, key): the buckets that aren't split further, of two members or more,
+    with the number of members and of all their shingles."""
     pools = classes.select("key", "pool")
-    level = classes.select(F.explode("pool").alias("path"), F.col("path").alias("last"), "key")
+    level = classes.select(F.explode("pool").alias("path"), "key", "n")  # a path of one token is the token
     out = None
     for k in range(1, depth + 1):
         rows = materialise(level, f"paths-{k}")
-        sizes = materialise(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{k}")
+        sizes = materialise(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1"), f"sizes-{k}")
         met = rows.join(sizes.hint("merge"), "path")
         leaf = met if k == depth else met.where(F.col("size") <= small)
-        leaf = leaf.select("path", "size", "key")
+        leaf = leaf.select("path", "size", "weight", "key")
         out = leaf if out is None else out.unionByName(leaf)
         if k == depth or sizes.where(F.col("size") > small).isEmpty():
             break
-        large = met.where(F.col("size") > small).select("path", "last", "key")
+        last = F.col("last") if k > 1 else F.col("path")
+        large = met.where(F.col("size") > small).select("path", last.alias("last"), "key", "n")
         level = (
             large.join(pools.hint("merge"), "key")
-            .select("path", "last", "key", F.explode("pool").alias("token"))
-            .where("token > last and (token & 7) = (last & 7)")
+            .select("path", "last", "key", "n", F.explode("pool").alias("token"))
+            .where("token > last and (token & {0}) = (last & {0})".format((1 << RUN_BITS) - 1))
             .where(F.pmod(F.xxhash64("token", "path"), F.lit(1000)) < int(1000 * follow))
-            .select(F.xxhash64("path", "token").alias("path"), F.col("token").alias("last"), "key")
+            .select(F.xxhash64("path", "token").alias("path"), F.col("token").alias("last"), "key", "n")
         )
     return out
 
@@ -198,9 +207,14 @@ def cross(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return overlaps(first, first if left is right else [values[i] for i in right])
 
 
+def n_blocks(block: int) -> Column:
+    """Into how many blocks a leaf is cut, by its members and by their shingles."""
+    return F.ceil(F.greatest(F.col("size") / block, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+
+
 def cells(leaf: DataFrame, block: int) -> DataFrame:
     """(cell, path, side, key): leaves cut into blocks, two blocks at a time."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    blocks = n_blocks(block)
     mine = F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")
     # in the cell of one block with itself all are of side 0; a bucket of two blocks or more
     # has a cell for each block and for each two blocks
@@ -240,7 +254,8 @@ def links(
     small: int = SMALL,
     block: int = BLOCK,
     least: int = LEAST,
-    rows_per_task: int = 20_000,
+    rows_per_task: int = 5_000,
+    shingles_per_task: int = 2_000_000,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members (doc_id, key), classes (key, rep, copies, n) and found (key, root, n_links):
     for each class with links a class that it is linked to, at some steps, and the number of
@@ -268,7 +283,7 @@ def links(
         return max(1, -(-n_rows // rows_per_task))
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        keep = [rows.schema.empty_table().select(["cell", "path", "side", "key"])]
+        keep = [rows.schema.empty_table().select(["cell", "path", "side", "key", "n"])]
         for cell in by_cell(rows):
             n, (left, right) = cell.column("n").to_numpy(), sides_of(cell)
             ok = pairs_here(cell.column("path")[0].as_py(), left, right, lists(cell.column("paths")), n, threshold)
@@ -278,15 +293,15 @@ def links(
                 near = np.zeros(len(n), bool)
                 near[left[ok.any(axis=1)]] = near[right[ok.any(axis=0)]] = True
                 if near.any():
-                    keep.append(cell.filter(pa.array(near)).select(["cell", "path", "side", "key"]))
+                    keep.append(cell.filter(pa.array(near)).select(["cell", "path", "side", "key", "n"]))
         return pa.concat_tables(keep)
 
     cut = cells(leaf, block)
-    n_cut = leaf.select(F.sum(F.ceil(F.col("size") / block))).first()[0] or 0
+    n_cut = leaf.select(F.sum(n_blocks(block))).first()[0] or 0
     near = cut.join(known.select("key", "n", "pool", "paths").hint("merge"), "key")
     near = near.withColumn("task", F.pmod("cell", F.lit(tasks(n_cut))))
     kept = materialise(
-        near.groupBy("task").applyInArrow(compare, "cell long, path long, side int, key binary"), "candidates"
+        near.groupBy("task").applyInArrow(lean(compare), "cell long, path long, side int, key binary, n int"), "candidates"
     )
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,8 +309,7 @@ def links(
             for _, texts, t, s in shingle_sets(batch.column("text"), width):
                 keys, n = keys_of(texts, t, s)
                 cut = np.concatenate([[0], np.cumsum(n)])
-                raw = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                sets = [np.unique(raw[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                sets = [s[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
 
     wanted = materialise(
@@ -304,14 +318,14 @@ def links(
     texts = read.join(
         wanted.select(F.col("rep").alias("r")).distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("r")), "left_semi"
     )
-    sets = texts.select("text").mapInArrow(read_sets, "key binary, set binary")
+    sets = texts.select("text").mapInArrow(lean(read_sets), "key binary, set binary")
     sets = sets.where("key is not null").groupBy("key").agg(F.first("set").alias("set"))
     wanted_sets = materialise(wanted.drop("rep").join(sets, "key"), "sets")
 
     def verify(key: tuple, rows: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for cell in by_cell(rows):
-            sets = [np.frombuffer(x, np.uint32) for x in cell.column("set").to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in cell.column("set").to_pylist()]
             n = np.array([len(x) for x in sets])
             copies, keys = cell.column("copies").to_numpy(), cell.column("key").to_pylist()
             left, right = sides_of(cell)
@@ -334,10 +348,11 @@ def links(
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True)]
         return pa.table(columns, ["key", "root", "n_links"])
 
-    final = kept.join(wanted_sets.hint("merge"), "key")
-    n_tasks = max(1, -(-kept.count() // max(1, rows_per_task // 8)))
+    final = kept.drop("n").join(wanted_sets.hint("merge"), "key")
+    members_in, shingles_in = kept.select(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_tasks = max(tasks(members_in), -(-shingles_in // shingles_per_task))
     final = final.withColumn("task", F.pmod("cell", F.lit(n_tasks)))
-    found = materialise(final.groupBy("task").applyInArrow(verify, "key binary, root binary, n_links long"), "links")
+    found = materialise(final.groupBy("task").applyInArrow(lean(verify), "key binary, root binary, n_links long"), "links")
     return members, classes.drop("pool"), found
 
 

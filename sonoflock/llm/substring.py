@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoflock.llm import textbytes
-from sonoflock.llm.common import materialise
+from sonoflock.llm.common import lean, materialise
 from sonoflock.llm.decontam import Automaton
 from sonoflock.llm.packing import pack, small, unpack
 
@@ -169,8 +169,8 @@ def passages(docs: DataFrame, width: int, batch_words: int, shard_bytes: int) ->
             ["d", "o", "at", "n"],
         )
 
-    told = docs.mapInArrow(send, SENT).groupBy("to").applyInArrow(own, SENT)
-    return told.groupBy("to").applyInArrow(put_together, RUNS)
+    told = docs.mapInArrow(lean(send), SENT).groupBy("to").applyInArrow(lean(own), SENT)
+    return told.groupBy("to").applyInArrow(lean(put_together), RUNS)
 
 
 def covered(words: list[bytes], references: list[str], width: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def kept_words(
             yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_p, pa.string())], ["d", "passage"])
 
     origins = named.join(told.hint("merge"), F.col("doc_id") == F.col("o"))
-    cut = origins.select("d", "doc_id", "at", "n", "text").mapInArrow(cut_passages, "d long, passage string")
+    cut = origins.select("d", "doc_id", "at", "n", "text").mapInArrow(lean(cut_passages), "d long, passage string")
     references = cut.groupBy("d").agg(F.collect_set("passage").alias("references"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def kept_words(
     met = named.join(references.hint("merge"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "text", "references")
     rest = read.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<string>").alias("references"))
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    return met.mapInArrow(remove, schema).unionByName(rest.mapInArrow(remove, schema))
+    return met.mapInArrow(lean(remove), schema).unionByName(rest.mapInArrow(lean(remove), schema))
 
 
 def report(docs: DataFrame, **params) -> DataFrame:

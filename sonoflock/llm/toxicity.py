@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonoflock.llm.common import lean
+
 from sonoflock.llm import textbytes
 
 # Look-alikes of letters.
@@ -146,7 +148,7 @@ def fit_channel(docs: DataFrame) -> Channel:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
-    rows = docs.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    rows = docs.mapInArrow(lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     n = np.full(SYMBOLS**3, 0.1)
     n[rows["k"]] += rows["n"]
     n = n.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -360,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, least: int =
                 )
 
         kinds = ", ".join(f"{x} long" for x in ["f", *names])
-        sums = of.select("text", "fold").mapInArrow(run, kinds).groupBy("f").agg(*[F.sum(x).alias(x) for x in names])
+        sums = of.select("text", "fold").mapInArrow(lean(run), kinds).groupBy("f").agg(*[F.sum(x).alias(x) for x in names])
         n, rows = (sum(F.col(x) for x in half) for half in (names[:FOLDS], names[FOLDS:]))
         table = sums.where((n >= (least if among is None else 1)) | (rows > 0)).toArrow()
         f = table["f"].to_numpy().view(np.uint64)
@@ -400,7 +402,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, least: int =
             yield pa.RecordBatch.from_arrays([sums, batch.column("toxic")], ["x", "toxic"])
 
     seen = train.select("text", "fold", F.col("toxic").cast("int").alias("toxic"))
-    seen = seen.mapInArrow(total, "x array<double>, toxic int").toArrow().to_pydict()
+    seen = seen.mapInArrow(lean(total), "x array<double>, toxic int").toArrow().to_pydict()
     x, y = np.array(seen["x"]).T, (np.array(seen["toxic"]) == 1).astype(float)
     if x[: len(RULES)].any():
         lines = [logistic(row, y) for row in x[: len(RULES)]]
@@ -430,5 +432,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")
     )
     kind = read.schema["doc_id"].dataType.simpleString()
-    scored = read.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    scored = read.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
