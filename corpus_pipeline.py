@@ -42,7 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         taken.select(F.col("doc_id").alias("_taken_id"), F.col("source").alias("_taken_source"), "copies"), "taken"
     ).withColumnRenamed("copies", "_taken_copies")
     met = docs["doc_id"].eqNullSafe(taken["_taken_id"]) & docs["source"].eqNullSafe(taken["_taken_source"])
-    return docs.join(taken, met).select(
+    # one row for each document: as large as the corpus, so never broadcast
+    return docs.join(taken.hint("merge"), met).select(
         *[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_taken_copies"))).alias("_copy")
     ).drop("_copy")
 
