@@ -1,28 +1,37 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged: a node of the tree stands for all elements of the same
-place, that is of the same chain of tags (with class and id). For each node the tree counts
-the pages that have it, the different presentations (the sequence of child elements) and the
-different contents. With m pages the importance of presentation and of content is their
-entropy to the base m: 1 where every page differs, 0 where all are the same. A node with l
-presentations has the importance (1 - g**l) * presentation + g**l * content, g = 0.9, and a
-node on one page only has importance 1. Branches of low importance are notices, menus and the
-like, whatever their tags; they are cut out, unless they are what the page is about: the
-article itself, headings, paragraphs, lists, tables and quotations that carry no class or id.
-Tags and class names that say outright what a branch is (nav, footer, ad, comments ...) count
-as importance 0. Of what is left, the article is the text: the article or main element if
-there is one, else the body.
+place, that is of the same chain of tags (with class and id), menus and footers like articles.
+For each node the tree counts the pages that have it, the different presentations (the sequence
+of child elements) and the different contents. With m pages the importance of presentation and
+of content is their entropy to the base m: 1 where every page differs, 0 where all are the
+same. A node with l presentations has the importance (1 - g**l) * presentation + g**l * content,
+g = 0.9, or that of its content if that is higher: a template doesn't make an article less
+important. A node on one page only has importance 1. Plain text elements (paragraphs, headings,
+lists, tables and the like that carry no class or id) stand side by side in one place, so each
+content of theirs counts by itself, and is noise if half of the host's pages have it.
+
+On hosts with `enough` different pages the tree decides: what remains of the body once branches
+of importance below `least_importance` are cut is the text. A branch that its tag or class
+names as layout (nav, header, footer, sidebar, notice ...) must be nearly as different as the
+pages themselves to stay (`named_importance`). On hosts with fewer pages the entropies say
+little: there the names decide, with the tree for what is the same nearly everywhere
+(`sure_importance`), and the article or main element is the text if there is one. What the text
+must not hold however different it is from page to page (forms, adverts, comments, hidden
+parts, scripts) goes by its name everywhere.
 
 Each different page of a host counts once: pages of one text (without what names cut) are copies,
-and say nothing about what is the same on all pages. A host needs five different pages. On hosts
-with fewer, branches of low importance over all rows are cut only if they are bare text, without
-paragraphs or the like, and together hold less than half of the text around them. An article or
-main element that would be cut out whole stays.
+and say nothing about what is the same on all pages. On hosts with fewer than five different
+pages, branches of low importance over all rows are cut only if they are bare text, without
+paragraphs or the like, and together hold less than half of the text around them. Article and
+main elements are never cut; a page whose tree would leave no text is treated as on a small host.
 
 The counts are aggregated in two steps, first by (host, node, content), so that a host with a
-third of all pages is no hot key. What is sent of a page is the hashes of its places. The table of low branches is as large as the number of
-different places in pages; Spark joins it to the pages by host, and broadcasts it only if its
-size, known as it is written to files, is below the session's threshold.
+third of all pages is no hot key. What is sent of a page is the 64-bit hashes of its places and
+contents. The table of branches is as large as the number of different places in pages; Spark
+joins it to the pages by host, and broadcasts it only if its size, known as it is written to
+files, is below the session's threshold. The work on a page follows its length, however deep
+its elements are nested.
 
 Text: character references are decoded, white space within a block becomes one space, blocks
 are trimmed and joined by two newlines in page order, empty ones are left out.
@@ -35,20 +44,21 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoflock.llm.common import materialise
+from sonoflock.llm.common import lean, materialise
 
-LEAST_PAGES, LEAST_IMPORTANCE, GAMMA = 5, 0.2, 0.9
+LEAST_PAGES, ENOUGH, GAMMA = 5, 50, 0.9
+LEAST_IMPORTANCE, NAMED_IMPORTANCE, SURE_IMPORTANCE = 0.9, 0.98, 0.2
 
 # The kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,13 +68,19 @@ BLOCK = set(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li", "summary"} | {"li", "dd", "dt"}
-BOILERPLATE = set("nav header footer aside form head menu dialog button select label fieldset input".split())
-BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-BOILERPLATE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu"
-    " breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget notice notices cookie cookies consent gdpr popup modal"
-    " overlay alert comment comments respond reply replies disqus discussion related recommended share sharing social"
-    " newsletter subscribe signup login search form pagination pager toolbar copyright legal skip hidden".split()
+ROOTS = set("article main body html".split())
+LAYOUT = set("nav header footer aside menu".split())
+LAYOUT_ROLES = set("navigation banner contentinfo complementary menu menubar".split())
+LAYOUT_WORDS = set(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget notice notices"
+    " cookie cookies consent gdpr share sharing social pagination pager toolbar copyright legal skip".split()
+)
+NEVER = set("form head dialog button select label fieldset input".split())
+NEVER_ROLES = set("search form dialog alert alertdialog".split())
+NEVER_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion popup modal overlay alert"
+    " comment comments respond reply replies disqus discussion related recommended newsletter subscribe signup login search form"
+    " hidden".split()
 )
 PLAIN = set("article main body html p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption".split())
 
@@ -83,36 +99,59 @@ class Node:
     tag: str
     place: int  # a hash of the chain of tags, classes and ids
     plain: bool  # no class, no id
-    low: bool  # boilerplate by its name
+    layout: bool = False  # by its name part of the layout
+    cut: bool = False  # goes; at first if its name says that it is never text
     children: list = field(default_factory=list)  # nodes and strings
+    content: int = 0  # a hash of what is in it, 0 if nothing
+    rich: bool = False  # holds plain text elements
+
+    def leaf(self) -> int:
+        """A plain element's place and content."""
+        return hash64(self.place.to_bytes(8, "little") + self.content.to_bytes(8, "little"))
+
+
+def hash64(x: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(x)
 
 
 def element(tag: str, attrs: str, parent: Node) -> Node:
-    mark, low = "", tag in BOILERPLATE
+    mark, layout, never = "", tag in LAYOUT, tag in NEVER
     if attrs:
         for name, *values in ATTR.findall(attrs):
             value = "".join(values).lower()
             if name.lower() == "hidden":
-                low = True
+                never = True
             elif name.lower() == "role":
-                low |= value in BOILERPLATE_ROLES
+                layout |= value in LAYOUT_ROLES
+                never |= value in NEVER_ROLES
             else:
-                low |= tag not in ("html", "body", "article", "main") and not BOILERPLATE_WORDS.isdisjoint(WORDS.findall(value))
+                if tag not in ROOTS:
+                    words = WORDS.findall(value)
+                    layout |= not LAYOUT_WORDS.isdisjoint(words)
+                    never |= not NEVER_WORDS.isdisjoint(words)
                 mark += "." + DIGITS.sub("0", value)
-    return Node(tag, zlib.crc32(f"{parent.place}/{tag}{mark}".encode()), not mark, low)
+    place = hash64(parent.place.to_bytes(8, "little") + f"{tag}{mark}".encode(errors="replace"))
+    return Node(tag, place, not mark, layout, never)
 
 
 def parse(html: str) -> Node:
     """The tree of a page. Tags that HTML lets out are closed where they must end; a tag without
     its end lasts as long as its parent; stray end tags count for nothing."""
-    root = Node("", 0, True, False)
-    stack = [root]
+    root = Node("", 0, True)
+    stack, open_tags = [root], Counter()
     at, n = 0, len(html)
 
+    def leave(k: int) -> None:
+        for x in stack[k:]:
+            open_tags[x.tag] -= 1
+        del stack[k:]
+
     def close(tags: set[str], within: set[str]) -> None:
+        if not any(open_tags[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
-                del stack[k:]
+                leave(k)
                 return
             if stack[k].tag in within:
                 return
@@ -129,9 +168,9 @@ def parse(html: str) -> Node:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k].tag in ("article", "main", "body", "td", "table") and tag not in BLOCK:
                     break
@@ -146,7 +185,7 @@ def parse(html: str) -> Node:
             close({"td", "th"}, {"tr", "table"})
         elif tag == "tr":
             close({"tr"}, {"table"})
-        elif tag in ("body", "html") and any(x.tag == tag for x in stack):
+        elif tag in ("body", "html") and open_tags[tag]:
             continue
         elif tag == "body":
             close({"head"}, {"html"})
@@ -157,6 +196,7 @@ def parse(html: str) -> Node:
             at = end.end() if end else n
         elif tag not in VOID and not m["attrs"].endswith("/"):
             stack.append(node)
+            open_tags[tag] += 1
     return root
 
 
@@ -168,8 +208,17 @@ def walk(node: Node) -> Iterator[Node]:
         todo += [c for c in reversed(x.children) if isinstance(c, Node)]
 
 
-def blocks(node: Node, low: frozenset[int] | set[int]) -> list[str]:
-    """The texts of the blocks of a branch, in page order."""
+def goes(x: Node) -> bool:
+    return x.cut
+
+
+def named(x: Node) -> bool:
+    """Whether a branch goes as far as names say."""
+    return x.cut or x.layout
+
+
+def blocks(node: Node, out_of: Callable[[Node], bool]) -> list[str]:
+    """The texts of the blocks of a branch, in page order, without branches that are out."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -186,10 +235,9 @@ def blocks(node: Node, low: frozenset[int] | set[int]) -> list[str]:
             parts.append(x)
         elif x is None:
             flush()
-        elif x is not node and (x.low or x.tag in RAW or x.place in low):
+        elif x is not node and (x.tag in RAW or out_of(x)):
             if x.tag in BLOCK:
                 flush()
-            continue
         elif x.tag == "br" or x.tag == "wbr":
             parts.append(" " if x.tag == "br" else "")
         else:
@@ -201,73 +249,131 @@ def blocks(node: Node, low: frozenset[int] | set[int]) -> list[str]:
     return out
 
 
+def settle(root: Node) -> None:
+    """Hash the contents of all branches, from the leaves up; scripts and what is never text
+    hold nothing."""
+    for x in reversed(list(walk(root))):  # children before their parents
+        if x.tag in RAW or (x.cut and x.tag not in ROOTS):
+            continue
+        parts = []
+        for c in x.children:
+            if isinstance(c, str):
+                text = " ".join(c.split())
+                if text:
+                    parts.append(text.encode(errors="replace"))
+            else:
+                x.rich |= c.rich or c.tag in PLAIN
+                if c.content:
+                    parts.append(c.content.to_bytes(8, "little"))
+        if parts:
+            x.content = hash64(b"\0".join(parts)) | 1
+
+
 def cut_asides(root: Node, weak: set[int]) -> None:
-    """Mark branches of bare text as low, where they are the smaller part of what is around them."""
+    """Cut branches of bare text, where they are the smaller part of what is around them."""
     todo: list[tuple[Node, Node]] = [(root, root)]
     found: dict[int, tuple[Node, list[Node]]] = {}
     while todo:
         x, around = todo.pop()
-        if x.low or x.tag in RAW:
+        if named(x) or x.tag in RAW:
             continue
         if x.tag in ("article", "main", "body"):
             around = x
-        elif x.place in weak and not any(y.tag in PLAIN for y in walk(x)):
+        elif x.place in weak and not x.rich and x.tag not in PLAIN:
             found.setdefault(id(around), (around, []))[1].append(x)
             continue
         todo += [(c, around) for c in x.children if isinstance(c, Node)]
     for around, asides in found.values():
-        if 2 * sum(len(t) for x in asides for t in blocks(x, frozenset())) < sum(map(len, blocks(around, frozenset()))):
+        if 2 * sum(len(t) for x in asides for t in blocks(x, named)) < sum(map(len, blocks(around, named))):
             for x in asides:
-                x.low = True
+                x.cut = True
+
+
+def outermost(root: Node, tag: str, out_of: Callable[[Node], bool]) -> list[Node]:
+    """The elements of a tag that aren't within another or within a branch that is out."""
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.cut if x.tag in ROOTS else x.tag in RAW or out_of(x):
+            continue
+        if x.tag == tag:
+            found.append(x)
+        else:
+            todo += [c for c in reversed(x.children) if isinstance(c, Node)]
+    return found
+
 
+@dataclass
+class Host:
+    """What the tree of a host says: branches that go, named ones that stay, contents of plain
+    elements that go, bare branches that may go; and whether it is large enough to decide."""
 
-def main_text(html: str | None, low: frozenset[int] | set[int], weak: frozenset[int] | set[int] = frozenset()) -> str:
+    low: frozenset[int] = frozenset()
+    kept: frozenset[int] = frozenset()
+    repeated: frozenset[int] = frozenset()
+    weak: frozenset[int] = frozenset()
+    enough: bool = False
+
+
+def main_text(html: str | None, host: Host) -> str:
     root = parse(html or "")
-    if weak:
-        cut_asides(root, weak)
-    for tag in ("article", "main", "body"):
-        found = []
-        for x in walk(root):
-            if x.tag == tag and not x.low:
-                found.append(x)
-        if tag != "body":  # those within another, and within a branch that goes, aren't roots
-            inner = {id(y) for x in found for y in walk(x) if y is not x}
-            gone = {id(y) for x in walk(root) if x.low or x.place in low for y in walk(x) if x.tag not in ("article", "main")}
-            found = [x for x in found if id(x) not in inner and id(x) not in gone]
-        texts = [t for x in found for t in blocks(x, low)]
-        if not texts and tag != "body":
-            texts = [t for x in found for t in blocks(x, frozenset())]
+    if host.repeated or host.weak:
+        settle(root)
+    if host.weak:
+        cut_asides(root, set(host.weak))
+
+    def out_of(x: Node) -> bool:
+        if x.tag in ROOTS or x.cut:
+            return x.cut
+        if x.place in host.low or (x.layout and not (host.enough and x.place in host.kept)):
+            return True
+        return bool(host.repeated) and x.plain and x.tag in PLAIN and x.leaf() in host.repeated
+
+    if host.enough:
+        text = "\n\n".join(blocks(root, out_of))
+        if text:
+            return text
+    for tag in ("article", "main"):
+        found = outermost(root, tag, out_of)
+        texts = [t for x in found for t in blocks(x, out_of)] or [t for x in found for t in blocks(x, named)]
         if texts:
             return "\n\n".join(texts)
-    return "\n\n".join(blocks(root, low))
-
-
-def digest(node: Node) -> int:
-    return zlib.crc32("\n".join(blocks(node, frozenset())).encode())
+    return "\n\n".join(blocks(root, out_of))
 
 
 def same_text(root: Node) -> int:
     """A hash that is the same for copies of a page."""
-    text = "\n".join(blocks(root, frozenset())).encode(errors="replace")
-    return int.from_bytes(blake2b(text, digest_size=8).digest(), "big", signed=True)
+    return hash64("\n".join(blocks(root, named)).encode(errors="replace"))
 
 
-def places(root: Node) -> dict[int, tuple[int, int]]:
-    """For each place of a page that can be cut out: hashes of its presentation and content,
-    of all elements there taken together. Plain text elements and named boilerplate are left
-    out, as their importance decides nothing."""
-    out: dict[int, tuple[int, int]] = {}
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        if x.low or x.tag in RAW:
+BRANCH, CONTENT, LEAF = 0, 1, 2
+LISTS = ("low", "kept", "repeated", "weak")
+
+
+def unsigned(places: list[int] | None) -> frozenset[int]:
+    return frozenset(x % (1 << 64) for x in places or ())
+
+
+def places(root: Node) -> list[tuple[int, int, int]]:
+    """(kind, place, value) of a page: hashes of the presentation and of the content of each
+    place, of all elements there taken together, and each plain element with its content."""
+    settle(root)
+    branches: dict[int, tuple[int, int]] = {}
+    leaves: set[int] = set()
+    for x in walk(root):
+        if x.tag not in BLOCK or x.tag in ROOTS or not x.content:
             continue
-        todo += [c for c in x.children if isinstance(c, Node)]
-        if x.tag in BLOCK and not (x.plain and x.tag in PLAIN) and x.tag not in ("article", "main", "body", "html"):
-            shape = ",".join(c.tag for c in x.children if isinstance(c, Node))
-            a, b = out.get(x.place, (0, 0))
-            out[x.place] = (zlib.crc32(shape.encode(), a), zlib.crc32(digest(x).to_bytes(4, "big"), b))
-    return out
+        if x.plain and x.tag in PLAIN:
+            leaves.add(x.leaf())
+            continue
+        shape, content = branches.get(x.place, (0, 0))
+        tags = ",".join(c.tag for c in x.children if isinstance(c, Node))
+        branches[x.place] = (
+            hash64(shape.to_bytes(8, "little") + tags.encode(errors="replace")),
+            hash64(content.to_bytes(8, "little") + x.content.to_bytes(8, "little")),
+        )
+    out = [(kind, place, both[kind]) for place, both in branches.items() for kind in (BRANCH, CONTENT)]
+    return sorted(out + [(LEAF, x, 0) for x in leaves])
 
 
 def different_pages(pages: DataFrame) -> DataFrame:
@@ -279,52 +385,58 @@ def different_pages(pages: DataFrame) -> DataFrame:
             for html in batch.column("html").to_pylist():
                 root = parse(html or "")
                 texts.append(same_text(root))
-                packed.append(np.array([(x, *both) for x, both in sorted(places(root).items())], np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), pa.array(texts, pa.int64()), pa.array(packed, pa.binary())], ["host", "page", "places"]
-            )
+                packed.append(np.array(places(root), np.uint64).tobytes())
+            page = pa.array(np.array(texts, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), page, pa.array(packed, pa.binary())], ["host", "page", "places"])
 
-    each = pages.mapInArrow(read, "host string, page long, places binary")
+    each = pages.mapInArrow(lean(read), "host string, page long, places binary")
     return each.groupBy("host", "page").agg(F.min("places").alias("places"), F.count(F.lit(1)).alias("copies"))
 
 
-def trees_of(different: DataFrame) -> DataFrame:
-    """(host, place, n_pages, importance, n_rows, row_importance): of different pages, and of all rows."""
+def seen_places(different: DataFrame) -> DataFrame:
+    """(host, kind, place, value, c, r): how many different pages, and how many rows, have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in batch.column("places").to_pylist()]
             of = pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in rows]))
-            host, copies = batch.column("host").take(of), batch.column("copies").take(of)
-            place, *both = np.concatenate([np.zeros((0, 3), np.int64), *rows]).T
-            for kind, value in enumerate(both):
-                kinds = np.full(len(of), kind, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [host, pa.array(place), pa.array(kinds), pa.array(value), copies], ["host", "place", "kind", "value", "copies"]
-                )
-
-    seen = different.select("host", "places", "copies").mapInArrow(count, "host string, place long, kind int, value long, copies long")
-    values = seen.groupBy("host", "place", "kind", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("copies").alias("r"))
-    shape, content = F.col("kind") == 0, F.col("kind") == 1
+            kind, place, value = np.concatenate([np.zeros((0, 3), np.int64), *rows]).T
+            columns = [batch.column("host").take(of), pa.array(kind.astype(np.int32)), pa.array(place), pa.array(value)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("copies").take(of)], ["host", "kind", "place", "value", "copies"])
+
+    seen = different.select("host", "places", "copies").mapInArrow(
+        lean(count), "host string, kind int, place long, value long, copies long"
+    )
+    return seen.groupBy("host", "kind", "place", "value").agg(F.count(F.lit(1)).alias("c"), F.sum("copies").alias("r"))
+
+
+def trees_of(values: DataFrame) -> DataFrame:
+    """(host, place, n_pages, importance, n_rows, row_importance) of branches: over the different
+    pages, and over all rows."""
+    shape, content = F.col("kind") == BRANCH, F.col("kind") == CONTENT
 
     def entropy(which, count):
         c, m = F.when(which, F.col(count)), F.sum(F.when(which, F.col(count)))
         h = F.log(m) - F.sum(c * F.log(c)) / m
         return F.when(m > 1, F.greatest(h, F.lit(0.0)) / F.log(m)).otherwise(1.0)
 
-    styles = F.sum(F.when(shape, 1).otherwise(0))
-    weight = F.pow(F.lit(GAMMA), styles)
-    return values.groupBy("host", "place").agg(
+    weight = F.pow(F.lit(GAMMA), F.sum(F.when(shape, 1).otherwise(0)))
+
+    def importance(count):
+        mixed = (1 - weight) * entropy(shape, count) + weight * entropy(content, count)
+        return F.greatest(entropy(content, count), mixed)
+
+    return values.where(F.col("kind") != LEAF).groupBy("host", "place").agg(
         F.sum(F.when(content, F.col("c"))).alias("n_pages"),
-        ((1 - weight) * entropy(shape, "c") + weight * entropy(content, "c")).alias("importance"),
+        importance("c").alias("importance"),
         F.sum(F.when(content, F.col("r"))).alias("n_rows"),
-        ((1 - weight) * entropy(shape, "r") + weight * entropy(content, "r")).alias("row_importance"),
+        importance("r").alias("row_importance"),
     )
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
     """trees_of the different pages among pages (host, html)."""
-    return trees_of(different_pages(pages))
+    return trees_of(seen_places(different_pages(pages)))
 
 
 def extract(
@@ -333,7 +445,10 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     least_pages: int = LEAST_PAGES,
+    enough: int = ENOUGH,
     least_importance: float = LEAST_IMPORTANCE,
+    named_importance: float = NAMED_IMPORTANCE,
+    sure_importance: float = SURE_IMPORTANCE,
 ) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), HOST, 1), F.lit("")))
@@ -341,22 +456,33 @@ def extract(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")
     )
     different = materialise(different_pages(read.select("host", "html")), "different-pages")
-    few = different.groupBy("host").agg((F.count(F.lit(1)) < least_pages).alias("few"))
-    low = (F.col("n_pages") >= least_pages) & (F.col("importance") < least_importance)
-    weak = F.col("few") & (F.col("n_rows") >= least_pages) & (F.col("row_importance") < least_importance)
-    trees = trees_of(different).join(few, "host").where(low | weak)
+    hosts = materialise(different.groupBy("host").agg(F.count(F.lit(1)).alias("m")), "hosts")
+    values = materialise(seen_places(different), "seen-places")
+    known, sure = F.col("n_pages") >= enough, F.col("importance") < sure_importance
+    low = (known & (F.col("importance") < least_importance)) | ((F.col("n_pages") >= least_pages) & sure)
+    kept = known & (F.col("importance") >= named_importance)
+    weak = (F.col("m") < least_pages) & (F.col("n_rows") >= least_pages) & (F.col("row_importance") < sure_importance)
+    branches = trees_of(values).join(hosts, "host").where(low | kept | weak)
+    leaves = values.where(F.col("kind") == LEAF).where(F.col("c") >= least_pages).join(hosts, "host").where(F.col("c") * 2 >= F.col("m"))
 
     def listed(which):
         return F.sort_array(F.collect_set(F.when(which, F.col("place"))))
 
-    by_host = materialise(trees.groupBy("host").agg(listed(low).alias("low"), listed(weak).alias("weak")), "low-branches")
+    lists = branches.groupBy("host").agg(listed(low).alias("low"), listed(kept).alias("kept"), listed(weak).alias("weak"))
+    repeated = leaves.groupBy("host").agg(F.sort_array(F.collect_set("place")).alias("repeated"))
+    by_host = hosts.join(lists, "host", "left").join(repeated, "host", "left")
+    by_host = materialise(by_host.withColumn("enough", F.col("m") >= enough).drop("m"), "low-branches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(html, set(low or ()), set(weak or ()))
-                for html, low, weak in zip(*(batch.column(x).to_pylist() for x in ("html", "low", "weak")), strict=True)
-            ]
+            found: dict[bytes, Host] = {}
+            texts = []
+            for k, html in enumerate(batch.column("html").to_pylist()):
+                name = batch.column("host")[k].as_py()
+                if name not in found:
+                    lists = (unsigned(batch.column(x)[k].as_py()) for x in LISTS)
+                    found[name] = Host(*lists, bool(batch.column("enough")[k].as_py()))
+                texts.append(main_text(html, found[name]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"),
@@ -367,6 +493,6 @@ def extract(
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    joined = read.join(by_host, "host", "left").select("page_id", "url", "html", "low", "weak")
+    joined = read.join(by_host, "host", "left").select("page_id", "url", "html", "host", *LISTS, "enough")
     kind = read.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long")

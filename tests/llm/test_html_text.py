@@ -13,14 +13,14 @@ def page(k, copy="same text on all pages"):
 
 
 def want(k):
-    return f'Head {k} & more\n\nOne {k} two\n\nThree "{k}" &\n\nsame text on all pages'
+    return f'Head {k} & more\n\nOne {k} two\n\nThree "{k}" &'
 
 
 def test_text_of_articles(spark):
     rows = [(k, f"http://a.example.com/{k}", page(k)) for k in range(12)]
     rows += [(100, None, None), (101, "http://b.example.com", ""), (102, "x", "plain &lt;text&gt; <b>here</b>"), (None, "", "<p>a<p>b")]
     rows += [(103, "http://b.example.com", page(7)[:400]), (12, rows[0][1], page(0))]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, low int").repartition(3)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, low int, host int").repartition(3)
     got = {r.page_id: r for r in html_text.extract(df).collect()}
     assert len(got) == len(rows)
     assert all(got[k].text == want(k) for k in range(12)) and got[12].text == want(0)
@@ -42,13 +42,46 @@ def test_importance_follows_entropy(spark):
     html = "<body><div class='a'>{}</div><div class='b'>{}</div></body>"
     rows = [("h", html.format(k, k % 2)) for k in range(16)]
     tree = html_text.style_trees(spark.createDataFrame(rows, "host string, html string")).collect()
-    assert sorted(round(r.importance, 6) for r in tree) == [round(0.9 / 4, 6), 0.9]
+    assert sorted(round(r.importance, 6) for r in tree) == [0.25, 1.0]
+    # of 16 pages, 4 presentations and one content: (1 - g**4) / 2 outweighs the content
+    rows = [("h", "<body><div class='a'>" + "x" + "<i></i>" * (k % 4) + "</div></body>") for k in range(16)]
+    rows = [(h, t.replace("</body>", f"<p>{k}</p></body>")) for k, (h, t) in enumerate(rows)]
+    (r,) = html_text.style_trees(spark.createDataFrame(rows, "host string, html string")).collect()
+    assert abs(r.importance - (1 - 0.9**4) / 2) < 1e-9
+
+
+def test_large_hosts_are_decided_by_the_tree(spark):
+    """Menus without a telling tag or name go, named ones too; an article that is called like a
+    menu stays; without the tree both would be wrong."""
+    html = (
+        "<body><div class='k1'><div>Home {m}</div><div>News {m}</div></div><nav>Go {m}</nav><ul><li>Bare list</li></ul>"
+        "<h2>Number {k}</h2><div class='side'><h1>Story {k}</h1><p>Text {k}</p></div><p>Bare notice</p><div class='zz'>Club {m}</div></body>"
+    )
+    rows = [(k, "https://big.example.com/p", html.format(k=k, m=k % 12)) for k in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {k: f"Number {k}\n\nStory {k}\n\nText {k}" for k in range(80)}
+    got = html_text.extract(df, enough=1000).collect()
+    assert all("Home" in r.text and "Story" not in r.text for r in got)
+
+
+def test_deep_and_broken_pages_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    deep = "<div class='a'>" * 20_000 + "x"
+    pages = [deep, "<article>" * 20_000 + "y", "<span>" * 20_000 + "</b>" * 20_000 + "z", "<li><p>" * 20_000 + "w"]
+    for html in pages:
+        root = html_text.parse(html)
+        assert html_text.places(root) is not None and html_text.same_text(root)
+        host = html_text.Host(repeated=frozenset([1]), weak=frozenset([2]), enough=True)
+        assert html_text.main_text(html, host)[-1] in "xyzw"
+    assert time.time() - began < 20
 
 
 def test_a_third_of_copies_keeps_its_article(spark):
     rows = [(k, "http://a.example.com/", page(1)) for k in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r.text for r in html_text.extract(df).collect()} == {want(1)}
+    assert {r.text for r in html_text.extract(df).collect()} == {want(1) + "\n\nsame text on all pages"}
 
 
 def test_copies_keep_their_text(spark):
