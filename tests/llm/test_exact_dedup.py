@@ -32,35 +32,48 @@ def docs():
     return [*out, (None, "only null"), (None, "T3"), (9, texts[9]), (9, texts[9])]
 
 
-@pytest.mark.parametrize("capacity,max_depth", [(1024, 16), (4, 16), (1, 3)])
-def test_matches_brute_force(spark, docs, capacity, max_depth):
+@pytest.mark.parametrize("capacity,hot_rows", [(4096, 10_000), (4, 3), (1, 1)])
+def test_matches_brute_force(spark, docs, capacity, hot_rows):
     df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, h int, keep_id string").repartition(3)
-    got = exact_dedup.dedup(df, capacity=capacity, max_depth=max_depth)
+    got = exact_dedup.dedup(df, capacity=capacity, hot_rows=hot_rows)
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs)
 
 
-def test_overfull_buckets_are_split(spark, docs):
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    index = exact_dedup.build_index(df, capacity=4, max_depth=16).collect()
+@pytest.mark.parametrize("capacity", [1, 4])
+def test_overfull_buckets_are_split_without_end(spark, docs, capacity):
+    rows = exact_dedup.hashed(spark.createDataFrame(docs, "doc_id long, text string"))
+    top, slots, index = exact_dedup.build_index(rows, capacity=capacity)
+    index = index.collect()
     sizes, depth = defaultdict(int), {}
     for r in index:
         sizes[r.bucket] += 1
         depth[r.bucket] = r.depth
         assert r.bucket == (1 << r.depth) | ((r.h % 2**64) >> (64 - r.depth) if r.depth else 0)
-    assert max(sizes.values()) <= 4 and len(set(depth.values())) > 1
+    assert max(sizes.values()) <= capacity and len(set(depth.values())) > 1 and max(depth.values()) == top
+    # no bucket could be given back to a shorter prefix
+    for b, d in depth.items():
+        parent = [n for c, n in sizes.items() if c.bit_length() >= d and c >> (c.bit_length() - d) == b >> 1] if d else [capacity + 1]
+        assert sum(parent) > capacity
     assert len(index) == len({norm(t) for _, t in docs}) and {r.chain for r in index} == {1}
-    # full depth: buckets may hold more, by chains
-    assert {r.depth for r in exact_dedup.build_index(df, capacity=1, max_depth=2).collect()} == {2}
 
 
-def test_collisions_are_chained(spark):
-    rows = [(5, "aa", 1, 1), (5, "bb", 2, 1), (7, "cc", 3, 1)]
-    from unittest import mock
+def test_the_directory_leads_to_the_entries(spark, docs):
+    rows = exact_dedup.hashed(spark.createDataFrame(docs, "doc_id long, text string"))
+    top, slots, index = exact_dedup.build_index(rows, capacity=8)
+    assert exact_dedup.probe(rows, top, slots, index).count() == len(docs)
+    half = slots.where("slot % 2 = 0")
+    assert 0 < exact_dedup.probe(rows, top, half, index).count() < len(docs)
 
-    made = spark.createDataFrame(rows, "h long, text_sha256 string, keep_id long, group_size long")
-    with mock.patch.object(exact_dedup, "entries", lambda *a: made):
-        index = exact_dedup.build_index(None).collect()
-    assert sorted((r.h, r.chain, r.text_sha256) for r in index) == [(5, 1, "aa"), (5, 2, "bb"), (7, 1, "cc")]
+
+def test_collisions_are_chained_and_bytes_decide(spark):
+    rows = [(1, 5, "sa", "aa"), (2, 5, "sb", "bb"), (3, 5, "sa", "aa"), (4, 7, "sc", "cc"), (5, 5, "sb", "bb")]
+    made = spark.createDataFrame(rows, "doc_id long, h long, text_sha256 string, t string")
+    top, slots, index = exact_dedup.build_index(made, capacity=1)
+    assert sorted((r.h, r.chain, r.text_sha256, r.keep_id) for r in index.collect()) == [
+        (5, 1, "sa", 3), (5, 2, "sb", 5), (7, 1, "sc", 4)
+    ]
+    got = exact_dedup.probe(made, top, slots, index).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 3, 2), (2, 5, 2), (3, 3, 2), (4, 4, 1), (5, 5, 2)]
 
 
 def test_empty_table(spark):
