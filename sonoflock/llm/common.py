@@ -5,11 +5,13 @@ from __future__ import annotations
 import ctypes
 import functools
 import inspect
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -40,6 +42,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or a local path, and the path within it."""
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

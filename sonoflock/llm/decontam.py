@@ -5,15 +5,17 @@ through it word by word; the longest match that ends at a word says whether one
 windows ends there, and all words of such a window are hit. Only runs of words that all occur
 in some item can hold a window, so the other words needn't be walked one by one.
 
-The items are broadcast. Their size is checked: items of up to `block_words` words in all are
-one block, and more items make more blocks, each with an automaton of its own, which every
-task builds, uses and drops in turn. Test sets are small beside the corpus; `most_words`
-bounds what is broadcast, and beyond it the operator refuses.
+The items are written to shared files in blocks of about `block_words` words, each with an
+automaton of its own. With one block, as test sets are small beside the corpus, each worker
+process builds the automaton once and keeps it. With more, a task takes `held_bytes` of
+documents at a time through one block after another, so that it never holds two automata,
+however many items there are; an automaton is then built for each block and `held_bytes`.
 
 Defined results: null has no words; an item without words never occurs; an item of fewer
-words than the window is one window as a whole; repeated items count by their ids; a document
-of few or no words is never crashed on; with no items nothing is hit. Extra columns are
-ignored, whatever their names.
+words than the window is one window as a whole; repeated items count by their ids; items of
+null id hit words, count as one item, and aren't named in items_sha256; a document of few or
+no words is never crashed on; with no items nothing is hit. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,16 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoflock.llm import textbytes
-from sonoflock.llm.common import LOWER, UPPER, lean
+from sonoflock.llm.common import LOWER, UPPER, filesystem, lean, scratch_path, worker_keeps
 
 WINDOW = 10
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words before lower-casing.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FOLDED = str.maketrans(UPPER, LOWER)
-DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+BLOCK_WORDS = 200_000
+HELD_BYTES = 1 << 26
 
 
 def item_words(text: str | None) -> list[str]:
@@ -135,14 +142,20 @@ class Matcher:
         words = list(self.automaton.vocabulary)
         column = pa.array(words, pa.large_string())
         data, offsets = textbytes.buffers(column)
-        hashes = textbytes.span_hashes(data, offsets[:-1], offsets[1:])
+        self.seed = 0
+        while True:  # under some seed the item words' hashes all differ
+            hashes = textbytes.span_hashes(data, offsets[:-1], offsets[1:], self.seed)
+            if len(np.unique(hashes)) == len(hashes):
+                break
+            self.seed += 1
         order = np.argsort(hashes)
         self.hashes, self.codes, self.words = hashes[order], order, [w.encode() for w in words]
 
-    def find(self, words: textbytes.Words, hashes: np.ndarray) -> Iterator[tuple[int, int, set[int]]]:
+    def find(self, words: textbytes.Words) -> Iterator[tuple[int, int, set[int]]]:
         """(first word, end, items) of windows that occur, as indexes into words."""
         if not len(self.hashes):
             return
+        hashes = textbytes.span_hashes(words.data, words.start, words.end, self.seed)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         known = self.hashes[at] == hashes
         # runs of known words within one text, of the shortest window's length at least
@@ -160,22 +173,77 @@ class Matcher:
                 yield a + end - length, a + end, items
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, most_words: int) -> list[list]:
-    """The items as lists of (id, words), in blocks of bounded size."""
-    out: list[list] = [[]]
-    size = total = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    for row in rows.toLocalIterator():
-        words = item_words(row.t)
-        total += len(words)
-        if total > most_words:
-            raise ValueError(f"the benchmark has more than {most_words} words")
-        if size and size + len(words) > block_words:
-            out.append([])
-            size = 0
-        out[-1].append((row.id, words))
-        size += len(words)
-    return out
+class Items:
+    """The items on shared files, in blocks."""
+
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
+        rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
+        n_words = rows.select(F.sum(F.regexp_count("t", F.lit(ANY_CASE)))).first()[0] or 0
+        self.n_blocks, self.window = max(1, -(-n_words // block_words)), window
+        self.path = scratch_path(benchmark.sparkSession, "items")
+        block = F.pmod(F.xxhash64("t", "id"), F.lit(self.n_blocks))
+        rows.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(self.path)
+
+    def _block(self, k: int) -> Matcher:
+        fs, name = filesystem(f"{self.path}/block={k}")
+        if fs.get_file_info(name).type == pafs.FileType.NotFound:
+            return Matcher([], self.window)
+        rows = pq.read_table(name, columns=["id", "t"], filesystem=fs, partitioning=None).to_pylist()
+        return Matcher([(r["id"], item_words(r["t"])) for r in rows], self.window)
+
+    @property
+    def kept(self) -> str:
+        return f"items {self.path}"
+
+    def matchers(self) -> Iterator[Matcher]:
+        if self.n_blocks == 1:
+            yield worker_keeps(self.kept, lambda: self._block(0))
+        else:
+            for k in range(self.n_blocks):
+                yield self._block(k)
+
+    def in_turns(self, batches: Iterator[pa.RecordBatch], held_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+        """The batches to be taken through all blocks together."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if self.n_blocks == 1 or sum(b.nbytes for b in held) >= held_bytes:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    def found_in(self, columns: list[pa.Array]) -> tuple[list[np.ndarray], dict[tuple[int, int], tuple[np.ndarray, set]]]:
+        """The numbers of words of all texts, and for (column, row) with hits the maximal hit
+        spans, first and last-plus-one word of each, and the ids of the items."""
+        n_words = [np.zeros(len(c), np.int64) for c in columns]
+        spans: dict[tuple[int, int], list[np.ndarray]] = {}
+        items: dict[tuple[int, int], set] = {}
+        for m in self.matchers():
+            for c, column in enumerate(columns):
+                for words in textbytes.pieces(column, textbytes.NOT_ALNUM, fold=True):
+                    row, of = words.first_row, words.text_of()
+                    n_words[c][row : row + words.texts] = words.counts()
+                    hit = np.zeros(len(of) + 1, np.int64)
+                    for a, b, found in m.find(words):
+                        hit[a] += 1
+                        hit[b] -= 1
+                        items.setdefault((c, row + int(of[a])), set()).update(m.automaton.ids[k] for k in found)
+                    covered = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+                    text, place = of[covered], covered - words.first[of[covered]]
+                    cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(place) != 1)) + 1
+                    for part in np.split(np.arange(len(covered)), cuts) if len(covered) else ():
+                        span = (place[part[0]], place[part[-1]] + 1)
+                        spans.setdefault((c, row + int(text[part[0]])), []).append(span)
+        return n_words, {k: (join(v), items[k]) for k, v in spans.items()}
+
+
+def join(spans: list[tuple[int, int]]) -> np.ndarray:
+    """Spans as maximal ones, in order."""
+    x = np.array(sorted(spans), np.int64)
+    end = np.maximum.accumulate(x[:, 1])
+    new = np.flatnonzero(np.append(True, x[1:, 0] > end[:-1]))
+    return np.stack([x[new, 0], np.append(end[new[1:] - 1], end[-1])], axis=1)
 
 
 def spans(
@@ -186,68 +254,31 @@ def spans(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_words: int = 200_000,
-    most_words: int = 5_000_000,
+    block_words: int = BLOCK_WORDS,
+    held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
-    """For each document: doc_id, n_words, hit (arrays of first and last-plus-one word of
-    maximal hit spans), items (ids, sorted)."""
-    spark = docs.sparkSession
-    shared = [
-        spark.sparkContext.broadcast(x) for x in blocks(benchmark, item_id_col, item_text_col, block_words, most_words)
-    ]
-    kept: dict[int, Matcher] = {}
-
-    def matchers() -> Iterator[Matcher]:
-        for k, block in enumerate(shared):
-            if k in kept:
-                yield kept[k]
-            else:
-                found = Matcher(block.value, window)
-                if len(shared) == 1:
-                    kept[k] = found
-                yield found
+    """For each document: doc_id, n_words, starts and ends (first and last-plus-one word of
+    maximal hit spans), items (ids, sorted, null last)."""
+    shared = Items(benchmark, item_id_col, item_text_col, window, block_words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            n_words = np.zeros(n, np.int64)
-            starts: list[list[int]] = [[] for _ in range(n)]
-            ends: list[list[int]] = [[] for _ in range(n)]
-            items: list[set[str]] = [set() for _ in range(n)]
-            for words in textbytes.pieces(batch.column("text"), textbytes.NOT_ALNUM, fold=True):
-                row, hashes, of = words.first_row, words.hashes(), words.text_of()
-                n_words[row : row + words.texts] = words.counts()
-                hit = np.zeros(len(hashes) + 1, np.int64)
-                for m in matchers():
-                    for a, b, found in m.find(words, hashes):
-                        hit[a] += 1
-                        hit[b] -= 1
-                        items[row + of[a]].update(m.automaton.ids[k] for k in found)
-                covered = np.cumsum(hit[:-1]) > 0
-                where = np.flatnonzero(covered)
-                for i in where.tolist():
-                    r = row + int(of[i])
-                    k = i - int(words.first[of[i]])
-                    if ends[r] and ends[r][-1] == k:
-                        ends[r][-1] = k + 1
-                    else:
-                        starts[r].append(k)
-                        ends[r].append(k + 1)
-            yield pa.RecordBatch.from_arrays(
-                [
+        for held in shared.in_turns(batches, held_bytes):
+            n_words, found = shared.found_in([b.column("text") for b in held])
+            for c, batch in enumerate(held):
+                hits = [found.get((c, i), (np.zeros((0, 2), np.int64), set())) for i in range(batch.num_rows)]
+                columns = [
                     batch.column("doc_id"),
-                    pa.array(n_words),
-                    pa.array(starts, pa.list_(pa.int64())),
-                    pa.array(ends, pa.list_(pa.int64())),
-                    pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string())),
-                ],
-                ["doc_id", "n_words", "starts", "ends", "items"],
-            )
+                    pa.array(n_words[c]),
+                    pa.array([x[:, 0] for x, _ in hits], pa.list_(pa.int64())),
+                    pa.array([x[:, 1] for x, _ in hits], pa.list_(pa.int64())),
+                    pa.array([sorted(x, key=lambda i: (i is None, i or "")) for _, x in hits], pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "starts", "ends", "items"])
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
     return read.mapInArrow(
-        lean(scan), f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
+        lean(scan, shared.kept), f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
     )
 
 
@@ -265,63 +296,44 @@ def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     )
 
 
+def without(text: str, spans: np.ndarray) -> str:
+    """A text without the words of spans."""
+    (words,) = textbytes.pieces(pa.array([text]), textbytes.NOT_ALNUM, fold=True)
+    raw, out, at = text.encode(), [], 0
+    for a, b in spans.tolist():
+        out.append(raw[at : words.start[a]])
+        at = int(words.end[b - 1])
+    return b"".join([*out, raw[at:]]).decode()
+
+
 def remove_spans(
     docs: DataFrame,
     benchmark: DataFrame,
     text_col: str = "text",
-    window: int = WINDOW,
-    most_coverage: float = 0.5,
-    block_words: int = 200_000,
-    most_words: int = 5_000_000,
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    window: int = WINDOW,
+    most_coverage: float = 0.5,
+    block_words: int = BLOCK_WORDS,
+    held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """docs, all columns, with hit words cut out of the text. A document of which more than
     `most_coverage` is hit goes. A text without hits stays as it is, to the byte."""
-    spark = docs.sparkSession
-    shared = [
-        spark.sparkContext.broadcast(x) for x in blocks(benchmark, item_id_col, item_text_col, block_words, most_words)
-    ]
-    schema = docs.schema
+    shared = Items(benchmark, item_id_col, item_text_col, window, block_words)
+    place = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = [Matcher(x.value, window) for x in shared] if len(shared) == 1 else None
-        for batch in batches:
-            place = batch.schema.get_field_index(text_col)
-            texts = batch.column(place)
-            new: dict[int, str | None] = {}
-            for words in textbytes.pieces(texts, textbytes.NOT_ALNUM, fold=True):
-                hashes, of = words.hashes(), words.text_of()
-                hit = np.zeros(len(hashes) + 1, np.int64)
-                for m in matchers or (Matcher(x.value, window) for x in shared):
-                    for a, b, _ in m.find(words, hashes):
-                        hit[a] += 1
-                        hit[b] -= 1
-                covered = np.cumsum(hit[:-1]) > 0
-                for t in np.unique(of[covered]).tolist():
-                    a, b = words.first[t], words.first[t + 1]
-                    row = words.first_row + t
-                    if covered[a:b].mean() > most_coverage:
-                        new[row] = None
-                        continue
-                    raw = texts[row].as_py().encode()
-                    start, end = words.start[a:b], words.end[a:b]
-                    base = int(words.offsets[t])
-                    out, at = [], 0
-                    inside = covered[a:b]
-                    for k in np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]])).tolist():
-                        stop = k
-                        while stop + 1 < b - a and inside[stop + 1]:
-                            stop += 1
-                        out.append(raw[at : start[k] - base])
-                        at = int(end[stop]) - base
-                    out.append(raw[at:])
-                    new[row] = b"".join(out).decode()
-            if new:
-                values = [new.get(i, x) if i in new else x for i, x in enumerate(texts.to_pylist())]
-                keep = pa.array([not (i in new and new[i] is None) for i in range(batch.num_rows)])
-                columns = [pa.array(values, c.type) if i == place else c for i, c in enumerate(batch.columns)]
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
-            yield batch
-
-    return docs.mapInArrow(lean(cut), schema)
+        for held in shared.in_turns(batches, held_bytes):
+            n_words, found = shared.found_in([b.column(place) for b in held])
+            for c, batch in enumerate(held):
+                mine = {i: x for (k, i), (x, _) in found.items() if k == c}
+                if mine:
+                    gone = {i for i, x in mine.items() if (x[:, 1] - x[:, 0]).sum() > most_coverage * n_words[c][i]}
+                    texts = batch.column(place).to_pylist()
+                    values = [without(t, mine[i]) if i in mine and i not in gone else t for i, t in enumerate(texts)]
+                    columns = [pa.array(values, x.type) if i == place else x for i, x in enumerate(batch.columns)]
+                    keep = pa.array([i not in gone for i in range(batch.num_rows)])
+                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+                yield batch
+
+    return docs.mapInArrow(lean(cut, shared.kept), docs.schema)

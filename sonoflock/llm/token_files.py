@@ -34,7 +34,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoflock.llm import textbytes
-from sonoflock.llm.common import lean, materialise, scratch_path, worker_keeps
+from sonoflock.llm.common import filesystem, lean, materialise, scratch_path, worker_keeps
 
 END_ID = 2
 #: A frame takes one more document as long as it stays within so many ids; 0: a frame for each.
@@ -59,10 +58,6 @@ BLANKS = b" \t\n\v\f\r"
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
-
-
 class Writer:
     """Writes one file, frame by frame; nothing but the tables is held in memory."""
 
