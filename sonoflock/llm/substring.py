@@ -5,17 +5,20 @@ smaller id, judged on the texts as they come. What is cut is found by suffix aut
 automaton of a document's reference passages is built, the document is streamed through it,
 and all words of matches of at least `width` words are marked. This is exact, word by word.
 
-To send every document through automata of the whole corpus would take work that grows with
-the square of it. So each document gets the passages that it can match, and no others:
+To send every document through automata of the whole corpus takes work that grows with the
+square of it. So each document gets the passages that it can match, and no others:
 
 1. Each task hashes the windows of its documents. Of equal windows within a batch all but
    those of the smallest id are known to be repeats at once; the rest go, packed, to the owner
-   of their hash, so that a window with a third of all rows is one entry for each batch.
+   of their hash, so that a window with a third of all rows is one entry for each batch. A
+   message holds the documents whose windows it carries, and there is none without a window.
 2. The owner of a range of hashes finds the smallest id for each and names it to the others.
 3. What a document is told is put together: runs of windows with one origin are one passage.
-4. The origin's passages are cut from its text and sent to the documents that were told so.
-   Equal hashes of different windows thus can't remove anything; such a clash could only hide
-   a repeat (48 bits and the owner's number are compared).
+4. Each different passage is cut once from its origin's text, however many documents were told
+   of it, and sent to them; Spark splits a passage that very many want (adaptive execution).
+   Windows are matched by 96 bits of hashes; equal hashes of different windows can't remove
+   anything, they could only hide a repeat: among 10**13 windows the chance that any two of
+   different words agree is below 0.001.
 
 Defined results: null text has no words; rows of null id stay whole and no other is cut for
 their sake; rows of equal id aren't smaller than one another; repeated windows within one
@@ -41,13 +44,13 @@ from sonoflock.llm.packing import pack, small, unpack
 WIDTH = 13
 BATCH_WORDS = 1_000_000
 SHARD_BYTES = 12_000_000
-KEY_BITS = np.uint64((1 << 48) - 1)
-SENT = "to int, ids binary, first binary, keys binary, place binary, origin binary, origin_place binary"
-RUNS = "d long, o long, at array<int>, n array<int>"
+SENT = "to int, ids binary, doc binary, keys binary, checks binary, place binary, origin binary, origin_place binary"
+CUT = "o long, at int, n int, passage string"
+RUNS = "d long, o long, at int, n int"
 
 
 def table_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     named = [x.split() for x in schema.split(", ")]
     columns = zip(*rows, strict=True) if rows else [[]] * len(named)
     return pa.RecordBatch.from_arrays(
@@ -66,13 +69,12 @@ def messages(d: np.ndarray, place: np.ndarray, o: np.ndarray, o_place: np.ndarra
         s = slice(cuts[k], cuts[k + 1])
         if s.start < s.stop:
             empty = pack(np.zeros(0, np.int64))
-            out.append((k, pack(d[s]), empty, empty, pack(small(place[s])), pack(o[s]), pack(small(o_place[s]))))
+            out.append((k, pack(d[s]), empty, empty, empty, pack(small(place[s])), pack(o[s]), pack(small(o_place[s]))))
     return out
 
 
 def passages(docs: DataFrame, width: int, batch_words: int, shard_bytes: int) -> DataFrame:
-    """(d, o, at, n): document d holds the n windows of document o from its at-th word on, for
-    each place in the arrays."""
+    """(d, o, at, n): document d holds the n windows of document o from its at-th word on."""
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
 
@@ -81,41 +83,42 @@ def passages(docs: DataFrame, width: int, batch_words: int, shard_bytes: int) ->
         n_docs = n_words = 0
 
         def flush() -> pa.RecordBatch:
-            ids, first, h, place, of = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, first, h, check, place, of = (np.concatenate(x) for x in zip(*held, strict=True))
+            place -= first[of]
             d = ids[of]
-            order = np.lexsort((place, d, h))
-            h, d, place, of = h[order], d[order], place[order], of[order]
+            order = np.lexsort((place, d, check, h))
+            h, check, d, place, of = (x[order] for x in (h, check, d, place, of))
             new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
+            new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
             head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
             repeat = d > d[head]
             k, src = np.flatnonzero(repeat), head[repeat]
             rows = [
                 (shards + r[0], *r[1:])
-                for r in messages(d[k], place[k] - first[of[k]], d[src], place[src] - first[of[src]], shards)
+                for r in messages(d[k], place[k], d[src], place[src], shards)
             ]
             keep = ~repeat
-            h, place = h[keep], place[keep]
-            to = ((h >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
-            cuts = np.searchsorted(to, np.arange(shards + 1))  # h is sorted, so are the owners
-            all_ids, all_first = pack(np.diff(ids, prepend=0)), pack(np.diff(first, prepend=0))
+            h, check, place, of = h[keep], check[keep], place[keep], of[keep]
+            to = ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
             empty = pack(np.zeros(0, np.int64))
-            for s in range(shards):
-                part = slice(cuts[s], cuts[s + 1])
-                if part.start < part.stop:
-                    keys, places = pack(h[part] & KEY_BITS), pack(place[part].astype(np.uint32))
-                    rows.append((s, all_ids, all_first, keys, places, empty, empty))
+            some, cuts = np.unique(to, return_index=True)  # h is sorted, so are the owners
+            for s, a, b in zip(some.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=True):
+                here, doc = np.unique(of[a:b], return_inverse=True)
+                ids_here = pack(np.diff(ids[here], prepend=0))
+                rows.append((s, ids_here, pack(small(doc)), pack(h[a:b]), pack(check[a:b]), pack(small(place[a:b])), empty, empty))
             return table_of(rows, SENT)
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for words in textbytes.pieces(batch.column("text"), textbytes.BLANK):
                 whole = textbytes.whole_windows(words, width)
-                h = textbytes.windows(words.hashes(), width)[whole]
+                names = words.hashes()
+                h = textbytes.windows(names, width)[whole]
+                check = (textbytes.windows(textbytes.mix(names), width)[whole] >> np.uint64(32)).astype(np.uint32)
                 of = words.text_of()[: len(whole)][whole]
                 rows = slice(words.first_row, words.first_row + words.texts)
                 place = np.flatnonzero(whole) + n_words
-                held.append((doc_ids[rows].astype(np.int64), words.first[:-1] + n_words, h, place, of + n_docs))
+                held.append((doc_ids[rows].astype(np.int64), words.first[:-1] + n_words, h, check, place, of + n_docs))
                 n_docs += words.texts
                 n_words += len(words.start)
                 if n_words >= batch_words:
@@ -128,18 +131,17 @@ def passages(docs: DataFrame, width: int, batch_words: int, shard_bytes: int) ->
         to = int(key[0].as_py())
         if to >= shards:  # known already: pass on
             return rows.set_column(0, "to", pa.array(np.full(rows.num_rows, to - shards, np.int32)))
-        h, d, place = [], [], []
+        h, check, d, place = [], [], [], []
         for r in rows.to_pylist():
-            ids, first, at = np.cumsum(unpack(r["ids"])), np.cumsum(unpack(r["first"])), unpack(r["place"]).astype(np.int64)
-            of = np.searchsorted(first, at, side="right") - 1
             h.append(unpack(r["keys"]))
-            d.append(ids[of])
-            place.append(at - first[of])
-        h, d, place = np.concatenate(h), np.concatenate(d), np.concatenate(place)
-        order = np.lexsort((place, d, h))
-        h, d, place = h[order], d[order], place[order]
+            check.append(unpack(r["checks"]))
+            d.append(np.cumsum(unpack(r["ids"]))[unpack(r["doc"])])
+            place.append(unpack(r["place"]).astype(np.int64))
+        h, check, d, place = (np.concatenate(x) for x in (h, check, d, place))
+        order = np.lexsort((place, d, check, h))
+        h, check, d, place = (x[order] for x in (h, check, d, place))
         new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         k = np.flatnonzero(d > d[head])
         return pa.Table.from_batches([table_of(messages(d[k], place[k], d[head[k]], place[head[k]], shards), SENT)])
@@ -156,18 +158,8 @@ def passages(docs: DataFrame, width: int, batch_words: int, shard_bytes: int) ->
         at = np.flatnonzero(new)
         n = np.maximum.reduceat(o_place, at) - o_place[at] + 1
         d, o, start = d[at], o[at], o_place[at]
-        pair = np.ones(len(d), bool)
-        pair[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1])
-        cuts = np.append(np.flatnonzero(pair), len(d)).astype(np.int32)
-        return pa.table(
-            [
-                pa.array(d[cuts[:-1]]),
-                pa.array(o[cuts[:-1]]),
-                pa.ListArray.from_arrays(cuts, pa.array(start.astype(np.int32))),
-                pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32))),
-            ],
-            ["d", "o", "at", "n"],
-        )
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table([pa.array(x.astype(np.int64), pa.int64()).cast(t) for x, t in zip((d, o, start, n), kinds, strict=True)], ["d", "o", "at", "n"])
 
     told = docs.mapInArrow(lean(send), SENT).groupBy("to").applyInArrow(lean(own), SENT)
     return told.groupBy("to").applyInArrow(lean(put_together), RUNS)
@@ -201,22 +193,19 @@ def kept_words(
 
     def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_d, out_p = [], []
-            last, words = None, []
-            columns = [batch.column(c) for c in ("d", "doc_id", "at", "n")]
-            for k, (d, o, at, n) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
-                text = batch.column("text")[k]
-                if o != last or not words:
-                    last, words = None, (text.as_py() or "").encode().split()
-                for a, m in zip(at, n, strict=True):
-                    if a + m + width - 1 <= len(words):
-                        out_d.append(d)
-                        out_p.append(b" ".join(words[a : a + m + width - 1]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_p, pa.string())], ["d", "passage"])
-
-    origins = named.join(told.hint("merge"), F.col("doc_id") == F.col("o"))
-    cut = origins.select("d", "doc_id", "at", "n", "text").mapInArrow(lean(cut_passages), "d long, passage string")
-    references = cut.groupBy("d").agg(F.collect_set("passage").alias("references"))
+            rows = []
+            texts, cuts = batch.column("text"), batch.column("cuts").to_pylist()
+            for k, (o, some) in enumerate(zip(batch.column("o").to_pylist(), cuts, strict=True)):
+                words = (texts[k].as_py() or "").encode().split()
+                # of rows that share the id o each has passages of its own
+                ends = [(c["at"], c["n"], c["at"] + c["n"] + width - 1) for c in some]
+                rows += [(o, at, n, b" ".join(words[at:end]).decode()) for at, n, end in ends if end <= len(words)]
+            yield table_of(rows, CUT)
+
+    wanted = told.groupBy("o").agg(F.collect_set(F.struct("at", "n")).alias("cuts"))
+    origins = named.join(wanted.hint("merge"), F.col("doc_id") == F.col("o")).select("o", "cuts", "text")
+    cut = origins.mapInArrow(lean(cut_passages), CUT)
+    references = told.join(cut.hint("merge"), ["o", "at", "n"]).groupBy("d").agg(F.collect_set("passage").alias("references"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

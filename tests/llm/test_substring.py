@@ -5,6 +5,7 @@ import re
 import pytest
 
 from sonoflock.llm import substring
+from tests.llm.test_textbytes import thue_morse
 
 
 def words_of(text):
@@ -42,6 +43,8 @@ def test_matches_brute_force(spark, batch_words, shard_bytes):
             text += rng.choice([rng.choice(passages), [word() for _ in range(rng.randint(1, 30))]])
         docs.append((d, rng.choice([" ", "\n", "\t "]).join(text)))
     docs += [(2000, docs[3][1]), (2001, docs[3][1]), (2001, docs[3][1]), (2002, None), (2003, ""), (None, docs[3][1])]
+    tm = thue_morse(1024)
+    docs += [(2007, f"{tm[0]} " + "q " * 12), (2008, f"{tm[1]} " + "q " * 12), (2009, f"{tm[1]} " + "q " * 12)]
     docs += [(2004, "x " * 60), (2005, "x " * 13), (2006, " ".join(passages[4] * 3)), (-5, " ".join(passages[4]))]
     df = spark.createDataFrame([(*x, "o") for x in docs], "doc_id long, text string, o string").repartition(3)
     got = substring.report(df, batch_words=batch_words, shard_bytes=shard_bytes)
