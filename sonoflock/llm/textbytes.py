@@ -113,6 +113,17 @@ def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.nd
     return same
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in order, the place of one of each, and for each place the index of
+    its value: np.unique by the quicker sort, as it doesn't matter which place is named."""
+    order = np.argsort(a)
+    new = np.ones(len(a), bool)
+    new[1:] = a[order[1:]] != a[order[:-1]]
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return a[order[new]], order[new], which
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -235,7 +235,7 @@ class Encoder:
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(data))
         first = np.searchsorted(starts, offsets)  # of each text, its first chunk
-        _, index, which = np.unique(textbytes.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        _, index, which = textbytes.distinct(textbytes.span_hashes(data, starts, ends))
         clash = np.flatnonzero(~textbytes.same_spans(data, starts, ends, index[which]))
         if len(clash):  # chunks of equal hash and other bytes stand for themselves
             which[clash] = len(index) + np.arange(len(clash))
