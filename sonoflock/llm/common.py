@@ -52,6 +52,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _kept: dict[str, object] = {}
+_at_work = [""]
 
 
 def tidy() -> None:
@@ -73,11 +74,16 @@ def worker_keeps(name: str, make: Callable[[], object]) -> object:
 
 def lean(f: Callable, keeps: str | None = None) -> Callable:
     """f, a function for mapInArrow or applyInArrow, that drops what other operators kept in the
-    worker process when it starts and gives memory back when it is done."""
+    worker process when it starts, and gives back memory at the end of a stream, or where another
+    function was at work before."""
+    name = f"{f.__module__}.{f.__qualname__}"
 
     def before() -> None:
         if keeps not in _kept:
             _kept.clear()
+        if _at_work[0] != name:
+            _at_work[0] = name
+            tidy()
 
     if inspect.isgeneratorfunction(f):
 
@@ -91,9 +97,7 @@ def lean(f: Callable, keeps: str | None = None) -> Callable:
 
     def whole(*args):
         before()
-        out = f(*args)
-        tidy()
-        return out
+        return f(*args)
 
     # Spark tells by the number of arguments whether the key, or a second table, is wanted
     takes = len(inspect.signature(f).parameters)
