@@ -97,9 +97,11 @@ def mirrored(labels: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def submitted(log: DataFrame, labels: DataFrame, new: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Feedback on known predictions is logged; ACCEPT and MODIFY with labels replace
-    the user's labels of the snippet, REJECT is only logged."""
+    """Feedback on known predictions, and feedback without a checkpoint, as there is
+    before any model, is logged; ACCEPT and MODIFY with labels replace the user's labels of the
+    snippet, REJECT is only logged."""
     valid = new.join(predictions.select("model_checkpoint_id", "snippet_id").distinct(), ["model_checkpoint_id", "snippet_id"], "left_semi")
+    valid = valid.select(*new.columns).unionByName(new.where("model_checkpoint_id is null"))
     out = log.unionByName(valid.select(*log.columns))
     writes = valid.where("action in ('ACCEPT', 'MODIFY') and label is not null")
     mine = writes.select("snippet_id", "user_id").distinct()
@@ -127,6 +129,8 @@ def registered(checkpoints: DataFrame, states: DataFrame, new: DataFrame) -> tup
     """Trained checkpoints by dataset, family and version, and the families that now
     use them; of several versions of a family the latest."""
     keys = ["dataset_id", "family"]
+    later = F.row_number().over(Window.partitionBy(*keys, "version").orderBy(F.desc("created_at"), F.desc("id")))
+    new = new.withColumn("r", later).where("r = 1").drop("r")  # a version given twice in one batch
     latest = new.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("id")))).where("r = 1")
     active = latest.select(*keys, F.col("id").alias("active_model_checkpoint_id"))
     return upsert.upsert(checkpoints, new, [*keys, "version"]), upsert.upsert(states, active, keys)

@@ -15,7 +15,8 @@ CAPS = {"pca": None, "umap": 100_000, "tsne": 50_000, "isomap": 15_000}
 
 
 def available(n: int) -> list[tuple[str, bool | None]]:
-    """P10: whether each capped method is out of reach for n points."""
+    """P10: the platform's limits of size: whether each capped method is out of reach for n points.
+    Of these pca and isomap are given here."""
     return [(m, None if cap is None else n > cap) for m, cap in CAPS.items()]
 
 

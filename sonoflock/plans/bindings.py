@@ -24,7 +24,8 @@ VIEWS = {
         "l_linenumber * 3.0E0 AS start_time, l_linenumber * 3.0E0 + 3.0E0 AS end_time FROM lineitem"
     ),
     "annotations": (
-        "SELECT l_orderkey * 10 + l_linenumber AS snippet_id, CAST(l_suppkey % 17 AS BIGINT) AS user_id, concat('gbif:', CAST(l_partkey % 40 AS STRING)) "
+        "SELECT l_orderkey * 100 + l_linenumber AS id, concat('Species ', CAST(l_partkey % 40 AS STRING)) AS resolved_name_snapshot, "
+        "l_orderkey * 10 + l_linenumber AS snippet_id, CAST(l_suppkey % 17 AS BIGINT) AS user_id, concat('gbif:', CAST(l_partkey % 40 AS STRING)) "
         "AS taxon_id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount * 10 END AS confidence, l_shipdate AS created_at FROM lineitem WHERE l_quantity > 30"
     ),
     "feedback": (

@@ -305,7 +305,8 @@ def coloured_points(spark, sf):
 
 
 @query(
-    "SELECT a.snippet_id, s.recording_id, r.dataset_id, r.file_name, s.start_time, s.end_time, a.taxon_id, a.user_id, round(a.confidence, 6) AS confidence, strftime(a.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at "
+    "SELECT a.id AS annotation_id, a.snippet_id, s.recording_id, r.dataset_id, r.file_path AS recording_file_path, s.start_time, s.end_time, "
+    "s.end_time - s.start_time AS snippet_duration, a.taxon_id, a.resolved_name_snapshot, a.user_id, round(a.confidence, 6) AS confidence, strftime(a.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at "
     "FROM annotations a JOIN snippets s ON a.snippet_id = s.id JOIN recordings r ON s.recording_id = r.id WHERE a.created_at >= TIMESTAMP '1995-01-01' AND a.created_at <= TIMESTAMP '1995-12-31' AND a.user_id = 3",
     "annotations", "snippets", "recordings",
 )

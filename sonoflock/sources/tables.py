@@ -57,15 +57,20 @@ def species_of_config(spark: SparkSession, path: str) -> list[str]:
 
 
 def annotation_export(annotations: DataFrame, snippets: DataFrame, recordings: DataFrame, taxon_id: str | None = None, user_id: int | None = None, after: str | None = None, before: str | None = None) -> DataFrame:
-    """Annotations with where they are; bounds of time are inclusive."""
+    """Annotations with where they are, in 13 columns; bounds of time are inclusive."""
     rows = annotations
     rows = rows if taxon_id is None else rows.where(F.col("taxon_id") == taxon_id)
     rows = rows if user_id is None else rows.where(F.col("user_id") == user_id)
     rows = rows if after is None else rows.where(F.col("created_at") >= F.lit(after).cast("timestamp"))
     rows = rows if before is None else rows.where(F.col("created_at") <= F.lit(before).cast("timestamp"))
     placed = rows.join(snippets.select(F.col("id").alias("snippet_id"), "recording_id", "start_time", "end_time"), "snippet_id")
-    whole = placed.join(recordings.select(F.col("id").alias("recording_id"), "file_name", "dataset_id"), "recording_id")
-    return whole.select("snippet_id", "recording_id", "dataset_id", "file_name", "start_time", "end_time", "taxon_id", "user_id", "confidence", T.iso(F.col("created_at")).alias("created_at"))
+    where = recordings.select(F.col("id").alias("recording_id"), F.col("file_path").alias("recording_file_path"), "dataset_id")
+    whole = placed.join(where, "recording_id")
+    return whole.select(
+        F.col("id").alias("annotation_id"), "snippet_id", "recording_id", "dataset_id", "recording_file_path", "start_time", "end_time",
+        (F.col("end_time") - F.col("start_time")).alias("snippet_duration"), "taxon_id", "resolved_name_snapshot", "user_id", "confidence",
+        T.iso(F.col("created_at")).alias("created_at"),
+    )
 
 
 def write_export(rows: DataFrame, path: str, kind: str = "csv") -> None:

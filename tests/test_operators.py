@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonoflock.functions import labels as L
 from sonoflock.functions import vectors as V
-from sonoflock.operators import acquisition, feeds, reduce, search, segment, stats, taxonomy, training, upsert
+from sonoflock.operators import acquisition, feeds, platform, reduce, search, segment, stats, taxonomy, training, upsert
 from sonoflock.plans.shared import shared_folder
 from sonoflock.sources import media, tables
 from sonoflock.streaming import feedback as stream
@@ -263,3 +263,34 @@ def test_streams_reach_the_state_of_the_batch(spark, tmp_path):
     q = stream.counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in spark.sql("select n from counts").collect()) == 60
+
+
+def test_segments_of_many_recordings_are_running_sums(spark):
+    rows = [(k, d) for k, d in enumerate([0.0, 0.5, 1.0, 7.3, None, float("nan"), 100.0, 33.3])]
+    df = spark.createDataFrame(rows, "id long, duration double").coalesce(1)
+    want = []
+    for k, d in rows:
+        t = 0.0
+        while d is not None and t + 0.5 <= d:
+            want.append((k, t, t + 0.5))
+            t += 0.1
+    for most in (7, 1_000_000):
+        assert sorted(map(tuple, segment.segment(df, 0.5, 0.1, most=most).collect())) == want
+
+
+def test_feedback_before_any_model_is_kept(spark):
+    kinds = "model_checkpoint_id long, snippet_id long, user_id long, action string, label string"
+    new = spark.createDataFrame([(None, 1, 7, "ACCEPT", "a"), (3, 2, 7, "ACCEPT", "b"), (4, 2, 7, "ACCEPT", "c")], kinds)
+    labels = spark.createDataFrame([], "snippet_id long, label string, source string, user_id long")
+    known = spark.createDataFrame([(3, 2)], "model_checkpoint_id long, snippet_id long")
+    log, kept = platform.submitted(new.limit(0), labels, new, known)
+    assert sorted((r.model_checkpoint_id or 0, r.label) for r in log.collect()) == [(0, "a"), (3, "b")]
+    assert sorted(r.label for r in kept.collect()) == ["a", "b"]
+
+
+def test_a_version_given_twice_is_registered_once(spark):
+    kinds = "id long, dataset_id long, family string, version int, created_at int"
+    new = spark.createDataFrame([(1, 5, "f", 1, 10), (2, 5, "f", 1, 11), (3, 5, "f", 2, 9)], kinds)
+    states = spark.createDataFrame([], "dataset_id long, family string, active_model_checkpoint_id long")
+    out, active = platform.registered(new.limit(0), states, new)
+    assert sorted(r.id for r in out.collect()) == [2, 3] and [r.active_model_checkpoint_id for r in active.collect()] == [2]
