@@ -1,10 +1,24 @@
-"""The queries of this subpackage, op1 to op10, and their SQL where SQL can express them."""
+"""The queries of this subpackage, op1 to op13, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonoflock.llm import decontam, exact_dedup, hpylm, html_text, jaccard, langid, mixing, substring, token_files, toxicity
+from sonoflock.llm import (
+    binpack,
+    decontam,
+    divergence,
+    exact_dedup,
+    hpylm,
+    html_text,
+    jaccard,
+    langid,
+    mixing,
+    runs,
+    substring,
+    token_files,
+    toxicity,
+)
 from sonoflock.llm.common import LOWER, UPPER, table
 
 
@@ -50,6 +64,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"), planted=True)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_texts(table(spark, sf_dir, "documents"), binpack.default_tokenizer())
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_files": op2_token_files,
@@ -61,6 +87,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_source_mix": op9_source_mix,
     "op10_main_text": op10_main_text,
+    "op11_word_runs": op11_word_runs,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_packed_sequences": op13_packed_sequences,
 }
 
 ORACLE_SQL = {
@@ -98,4 +127,5 @@ y AS (
 SELECT doc_id, size, source_size, target,
        size * least((floor(i * rate + {mixing.offset(9)}) - floor((i - 1) * rate + {mixing.offset(9)}))::BIGINT, 3) AS taken
 FROM y""",
+    "op12_source_divergence": divergence.SQL.replace("{0}", UPPER).replace("{1}", LOWER),
 }
