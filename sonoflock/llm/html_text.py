@@ -11,14 +11,23 @@ important. A node on one page only has importance 1. Plain text elements (paragr
 lists, tables and the like that carry no class or id) stand side by side in one place, so each
 content of theirs counts by itself, and is noise if half of the host's pages have it.
 
-On hosts with `enough` different pages the tree decides: what remains of the body once branches
-of importance below `least_importance` are cut is the text. A branch that its tag or class
-names as layout (nav, header, footer, sidebar, notice ...) must be nearly as different as the
-pages themselves to stay (`named_importance`). On hosts with fewer pages the entropies say
-little: there the names decide, with the tree for what is the same nearly everywhere
-(`sure_importance`), and the article or main element is the text if there is one. What the text
-must not hold however different it is from page to page (forms, adverts, comments, hidden
-parts, scripts) goes by its name everywhere.
+From `enough` different pages on the tree decides: what remains of the body once branches of low
+importance are cut is the text. What is low follows from the number m of pages that have the
+branch: contents that are each on `shared` pages have the entropy 1 - log(shared) / log(m), and
+branches below it go. A branch that its tag or class names as layout (nav, header, footer,
+sidebar, notice ...) must be nearly as different as the pages themselves to stay
+(`named_shared`), not be mostly links, and be on `overruling` pages: fewer of them may well be all
+different by chance if there are a thousand variants of a footer. Of fewer pages than that (five) entropies say nothing: there the names decide,
+and the article or main element is the text if there is one. What the text must not hold however
+different it is from page to page (forms, adverts, comments, hidden parts, scripts) goes by its
+name everywhere.
+
+A name is telling if one of its words joined by hyphens is made of such words alone (`comments`,
+`ad-box`), and none of them has other uses (`discussion`, `related`, `search`). Any other name
+with such a word (`related-work`) counts as layout outside of article and main elements; within
+them it counts if the branch is mostly links or holds form controls, else the tree alone decides.
+A header within an article is part of it. Attributes are read whole: only `hidden` itself, and a
+style that hides, hide an element. Body and html never go.
 
 Each different page of a host counts once: pages of one text (without what names cut) are copies,
 and say nothing about what is the same on all pages. On hosts with fewer than five different
@@ -43,6 +52,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -57,12 +67,13 @@ from pyspark.sql import functions as F
 
 from sonoflock.llm.common import lean, materialise
 
-LEAST_PAGES, ENOUGH, GAMMA = 5, 50, 0.9
-LEAST_IMPORTANCE, NAMED_IMPORTANCE, SURE_IMPORTANCE = 0.9, 0.98, 0.2
+LEAST_PAGES, ENOUGH, OVERRULING, GAMMA = 5, 5, 50, 0.9
+#: Branches whose contents are each on so many pages, by entropy, go; named ones sooner.
+SHARED, NAMED_SHARED, SURE_IMPORTANCE = 1.5, 1.1, 0.2
 
 # The kinds of elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template svg iframe object math canvas audio video xmp noframes".split())
+RAW = set("script style textarea title noscript template iframe object canvas audio video xmp noframes".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -76,6 +87,16 @@ LAYOUT_WORDS = set(
     " cookie cookies consent gdpr share sharing social pagination pager toolbar copyright legal skip".split()
 )
 NEVER = set("form head dialog button select label fieldset input".split())
+CONTROLS = set("input select textarea button".split())
+#: Within these a button or label is part of a sentence.
+SENTENCE = set("p h1 h2 h3 h4 h5 h6 dd dt blockquote b i em strong span a u q cite code mark small sub sup kbd".split())
+#: Words that say nothing, and words of layout that articles use as well.
+GENERIC = set(
+    "list area section box wrapper wrap container block item items inner outer content bar panel group row col column title heading"
+    " link links post posts article articles page site user users reader readers widget slot unit top bottom left right main global"
+    " primary secondary mobile desktop thread message form button text big small js".split()
+)
+AMBIGUOUS = set("discussion related recommended alert legal foot search form notice notices share social skip reply replies header side banner hidden".split())
 NEVER_ROLES = set("search form dialog alert alertdialog".split())
 NEVER_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion popup modal overlay alert"
@@ -88,7 +109,8 @@ TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL,
 )
-ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
+ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 DIGITS = re.compile(r"\d+")
 WORDS = re.compile(r"[a-z]+")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
@@ -101,6 +123,7 @@ class Node:
     plain: bool  # no class, no id
     layout: bool = False  # by its name part of the layout
     cut: bool = False  # goes; at first if its name says that it is never text
+    hint: bool = False  # within an article, of a name that what it holds must confirm
     children: list = field(default_factory=list)  # nodes and strings
     content: int = 0  # a hash of what is in it, 0 if nothing
     rich: bool = False  # holds plain text elements
@@ -114,32 +137,83 @@ def hash64(x: bytes) -> int:
     return xxhash.xxh3_64_intdigest(x)
 
 
-def element(tag: str, attrs: str, parent: Node) -> Node:
-    mark, layout, never = "", tag in LAYOUT, tag in NEVER
+def names(value: str) -> tuple[bool, bool, bool]:
+    """What a class or id says: never text, layout, or perhaps one of them."""
+    never = layout = perhaps = False
+    for token in value.split():
+        words = WORDS.findall(token)
+        found = [w for w in words if w in NEVER_WORDS or w in LAYOUT_WORDS]
+        if not found:
+            continue
+        if AMBIGUOUS.isdisjoint(words) and all(w in GENERIC for w in words if w not in found):
+            never |= not NEVER_WORDS.isdisjoint(words)
+            layout = True
+        else:
+            perhaps = True
+    return never, layout, perhaps
+
+
+def element(tag: str, attrs: str, parent: Node, inside: bool) -> Node:
+    """inside: whether it stands in an article or main element."""
+    mark, hint = "", False
+    layout, never = tag in LAYOUT and not (inside and tag == "header"), tag in NEVER
+    if never and tag in ("button", "label") and parent.tag in SENTENCE:
+        never = False
     if attrs:
         for name, *values in ATTR.findall(attrs):
-            value = "".join(values).lower()
-            if name.lower() == "hidden":
+            name, value = name.lower(), "".join(values).lower()
+            if name == "hidden" or (name == "style" and HIDES.search(value)):
                 never = True
-            elif name.lower() == "role":
+            elif name == "role" and tag not in ROOTS:
                 layout |= value in LAYOUT_ROLES
                 never |= value in NEVER_ROLES
-            else:
+            elif name in ("class", "id"):
                 if tag not in ROOTS:
-                    words = WORDS.findall(value)
-                    layout |= not LAYOUT_WORDS.isdisjoint(words)
-                    never |= not NEVER_WORDS.isdisjoint(words)
+                    cut, named_so, perhaps = names(value)
+                    never |= cut
+                    layout |= named_so or (perhaps and not inside)
+                    hint |= perhaps and inside
                 mark += "." + DIGITS.sub("0", value)
     place = hash64(parent.place.to_bytes(8, "little") + f"{tag}{mark}".encode(errors="replace"))
-    return Node(tag, place, not mark, layout, never)
+    return Node(tag, place, not mark, layout, never and tag not in ("body", "html"), hint)
+
+
+def menus(root: Node) -> tuple[set[int], set[int]]:
+    """The elements that are mostly links, and those that hold form controls, by id()."""
+    linked, controls = set(), set()
+    held: dict[int, tuple[int, int, bool]] = {}  # characters, those in links, controls
+    for x in reversed(list(walk(root))):  # children before their parents
+        size = in_links = 0
+        has = x.tag in CONTROLS
+        for c in x.children:
+            if isinstance(c, str):
+                size += len(c.strip())
+            else:
+                n, m, controlled = held.pop(id(c))
+                size, in_links, has = size + n, in_links + m, has or controlled
+        in_links = size if x.tag == "a" else in_links
+        if 2 * in_links > size:
+            linked.add(id(x))
+        if has:
+            controls.add(id(x))
+        held[id(x)] = (0, 0, has) if x.tag in RAW else (size, in_links, has)
+    return linked, controls
+
+
+def confirm(root: Node) -> None:
+    """Cut branches of a hinting name that are mostly links or hold form controls."""
+    linked, controls = menus(root)
+    for x in walk(root):
+        if x.hint and (id(x) in linked or id(x) in controls):
+            x.cut = True
 
 
 def parse(html: str) -> Node:
-    """The tree of a page. Tags that HTML lets out are closed where they must end; a tag without
+    """The tree of a page, with what names cut. Tags that HTML lets out are closed where they must end; a tag without
     its end lasts as long as its parent; stray end tags count for nothing."""
     root = Node("", 0, True)
     stack, open_tags = [root], Counter()
-    at, n = 0, len(html)
+    at, n, hints = 0, len(html), False
 
     def leave(k: int) -> None:
         for x in stack[k:]:
@@ -189,7 +263,8 @@ def parse(html: str) -> Node:
             continue
         elif tag == "body":
             close({"head"}, {"html"})
-        node = element(tag, m["attrs"], stack[-1])
+        node = element(tag, m["attrs"], stack[-1], open_tags["article"] + open_tags["main"] > 0)
+        hints |= node.hint
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.IGNORECASE).search(html, at)
@@ -197,6 +272,8 @@ def parse(html: str) -> Node:
         elif tag not in VOID and not m["attrs"].endswith("/"):
             stack.append(node)
             open_tags[tag] += 1
+    if hints:
+        confirm(root)
     return root
 
 
@@ -322,10 +399,17 @@ def main_text(html: str | None, host: Host) -> str:
     if host.weak:
         cut_asides(root, set(host.weak))
 
+    linked: list[set[int]] = []
+
+    def menu(x: Node) -> bool:
+        if not linked:
+            linked.append(menus(root)[0])
+        return id(x) in linked[0]
+
     def out_of(x: Node) -> bool:
         if x.tag in ROOTS or x.cut:
             return x.cut
-        if x.place in host.low or (x.layout and not (host.enough and x.place in host.kept)):
+        if x.place in host.low or (x.layout and not (host.enough and x.place in host.kept and not menu(x))):
             return True
         return bool(host.repeated) and x.plain and x.tag in PLAIN and x.leaf() in host.repeated
 
@@ -446,8 +530,9 @@ def extract(
     html_col: str = "html",
     least_pages: int = LEAST_PAGES,
     enough: int = ENOUGH,
-    least_importance: float = LEAST_IMPORTANCE,
-    named_importance: float = NAMED_IMPORTANCE,
+    overruling: int = OVERRULING,
+    shared: float = SHARED,
+    named_shared: float = NAMED_SHARED,
     sure_importance: float = SURE_IMPORTANCE,
 ) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages."""
@@ -459,8 +544,12 @@ def extract(
     hosts = materialise(different.groupBy("host").agg(F.count(F.lit(1)).alias("m")), "hosts")
     values = materialise(seen_places(different), "seen-places")
     known, sure = F.col("n_pages") >= enough, F.col("importance") < sure_importance
-    low = (known & (F.col("importance") < least_importance)) | ((F.col("n_pages") >= least_pages) & sure)
-    kept = known & (F.col("importance") >= named_importance)
+
+    def entropy_of(pages_each: float):
+        return 1 - F.lit(math.log(pages_each)) / F.log("n_pages")
+
+    low = (known & (F.col("importance") < entropy_of(shared))) | ((F.col("n_pages") >= least_pages) & sure)
+    kept = (F.col("n_pages") >= overruling) & (F.col("importance") >= entropy_of(named_shared))
     weak = (F.col("m") < least_pages) & (F.col("n_rows") >= least_pages) & (F.col("row_importance") < sure_importance)
     branches = trees_of(values).join(hosts, "host").where(low | kept | weak)
     leaves = values.where(F.col("kind") == LEAF).where(F.col("c") >= least_pages).join(hosts, "host").where(F.col("c") * 2 >= F.col("m"))

@@ -1,3 +1,5 @@
+import pytest
+
 from sonoflock.llm import html_text
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head>
@@ -64,6 +66,93 @@ def test_large_hosts_are_decided_by_the_tree(spark):
     assert all("Home" in r.text and "Story" not in r.text for r in got)
 
 
+def test_one_rule_at_every_size(spark):
+    """Menus of links that differ on every page, and bare branches that are shared, go on hosts of
+    any size from five different pages on."""
+    html = (
+        "<body><nav><a>N{k}</a> <a>M{k}</a></nav><div class='k1'><div>Home {m}</div></div>"
+        "<div class='k7'><h1>Story {k}</h1><p>Text <a>{k}</a></p></div><div class='zz'>Club {m}</div></body>"
+    )
+    rows = [(100 * n + k, f"https://h{n}.example.com/p", html.format(k=k, m=k // 3)) for n in (6, 9, 20, 60) for k in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {r[0]: f"Story {r[0] % 100}\n\nText {r[0] % 100}" for r in rows}
+
+
+def test_importance_equals_that_of_its_definition(spark):
+    """The whole chain from pages to importance, for branches with class, against a plain count."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    parts = [("a", 2), ("b", 7), ("c", 1000)]
+    pages = [{c: (rng.randrange(3), rng.randrange(n)) for c, n in parts} for _ in range(40)]
+
+    def made(k, page):
+        return f"<body><p>{k}</p>" + "".join(f"<div class='{c}'>" + "<i>t</i>" * shape + f"{x}</div>" for c, (shape, x) in page.items()) + "</body>"
+
+    rows = [("h", made(k, page)) for k, page in enumerate(pages)]
+    tree = html_text.style_trees(spark.createDataFrame(rows, "host string, html string")).collect()
+
+    def entropy(values):
+        return -sum(n / 40 * math.log(n / 40, 40) for n in Counter(values).values())
+
+    want = []
+    for c, _ in parts:
+        shapes, contents = entropy(p[c][0] for p in pages), entropy(p[c] for p in pages)
+        weight = 0.9 ** len({p[c][0] for p in pages})
+        want.append(max(contents, (1 - weight) * shapes + weight * contents))
+    assert sorted(round(r.importance, 9) for r in tree) == sorted(round(x, 9) for x in want)
+
+
+ARTICLE = "<h1>Head {k}</h1><p>Text {k}</p>"
+KEPT = [
+    ("<body style='overflow:hidden'><article>{}</article></body>", ""),
+    ("<body class='modal-open hidden'><article style='overflow: hidden' hidden-x>{}</article></body>", ""),
+    ("<body><article aria-hidden='false'>{}<p data-hidden='x' title='A hidden gem'>Part {k}</p></article></body>", "Part {k}"),
+    ("<body><article>{}<div data-role='dialog' data-id='form-1'>Part {k}</div></article></body>", "Part {k}"),
+    ("<body><article>{}<section id='discussion'><p>Part {k} is discussed</p></section></article></body>", "Part {k} is discussed"),
+    ("<body><article>{}<section id='related-work'><p>Others {k}</p></section></article></body>", "Others {k}"),
+    ("<body><main>{}<h2 id='comment-on-method'>Method {k}</h2></main></body>", "Method {k}"),
+    ("<body><main>{}<p class='search-term'>Term {k}</p><p class='lead alert-level'>Lead {k}</p></main></body>", "Term {k}\n\nLead {k}"),
+    ("<body><article>{}<div id='legal-history'>Law {k}</div><div class='foot'>Foot {k}</div></article></body>", "Law {k}\n\nFoot {k}"),
+    ("<body><article><header>{}</header><p>More {k}</p></article></body>", "More {k}"),
+    ("<body><article>{}<p>Let <math><mi>x{k}</mi></math> be <button>odd</button> or <svg><text>even</text></svg></p></article></body>", "Let x{k} be odd or even"),
+]
+GONE = [
+    "<div style='color:red; display: none'>Part {k}</div>",
+    "<div hidden>Part {k}</div>",
+    "<div class='related'><a href='/'>Other story {k}</a></div>",
+    "<div id='search-box'>Search <input> {k}</div>",
+    "<section class='comments'><p>First {k}</p></section>",
+    "<div class='ad-box'>Buy {k}</div>",
+    "<div class='comment-list'>Reader {k}</div>",
+    "<div><button>Share {k}</button></div>",
+    "<form>Mail {k}</form>",
+]
+
+
+@pytest.mark.parametrize("n", [1, 8, 80])
+def test_names_are_read_whole_and_backed_by_what_they_hold(spark, n):
+    pages = [(html.replace("{}", ARTICLE), more) for html, more in KEPT]
+    pages += [(f"<body><article>{ARTICLE}{gone}</article></body>", "") for gone in GONE]
+    rows, want = [], {}
+    for h, (html, more) in enumerate(pages):
+        for k in range(n):
+            rows.append((1000 * h + k, f"http://h{h}.example.com/{k}", html.replace("{k}", str(k))))
+            want[1000 * h + k] = f"Head {k}\n\nText {k}" + (f"\n\n{more}".replace("{k}", str(k)) if more else "")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert {k: t for k, t in got.items() if t != want[k]} == {}
+
+
+def test_a_very_long_page(spark):
+    html = "<article>" + "".join(f"<p>Word {k} of it</p>" for k in range(200_000)) + "</article>"
+    df = spark.createDataFrame([(1, "http://a.example.com", html)], "page_id long, url string, html string")
+    (r,) = html_text.extract(df).collect()
+    assert r.text.count("\n\n") == 199_999 and r.text.endswith("Word 199999 of it")
+
+
 def test_deep_and_broken_pages_take_linear_time(spark):
     import time
 
