@@ -29,6 +29,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +48,9 @@ END_ID = 1
 CHUNKS_KEPT = 400_000
 #: Examples that wait to be packed; half of them are packed when so many wait.
 POOL = 2048
+#: Chunks of one kind: letters (those of U+00C0 to U+00FF as well), digits, signs without apostrophe.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
+DIGITS = b"0123456789"
 
 
 @dataclass(frozen=True)
@@ -109,43 +113,41 @@ class Packer:
     def pack(self, leave: int = 0) -> Iterator[Piece]:
         """Pack until at most so many examples wait."""
         pool = self.pool
-        demand = np.array([(len(x), 1, x.bearing()) for x in pool], float).reshape(-1, 3)
-        here = np.ones(len(pool), bool)
-        while (waiting := int(here.sum())) > leave:
-            weight = demand[here].mean(0) / self.cap / self.cap**2  # of demand and of room as shares
-            taken = self._fill(pool, demand, here, weight)
-            yield from self._close(pool, demand, here, taken)
+        tokens, loss = np.array([len(x) for x in pool], float), np.array([x.bearing() for x in pool], float)
+        while (waiting := np.count_nonzero(tokens)) > leave:
+            # demand and room count as shares of the limits
+            weight = np.array([tokens.sum(), waiting, loss.sum()]) / waiting / self.cap**3
+            taken = self._fill(pool, tokens, loss, weight)
+            yield from self._close(pool, tokens, loss, taken)
             if waiting < len(pool) // 2:
-                pool, demand = [x for x, h in zip(pool, here.tolist(), strict=True) if h], demand[here]
-                here = np.ones(len(pool), bool)
-        self.pool = [x for x, h in zip(pool, here.tolist(), strict=True) if h]
+                stay = np.flatnonzero(tokens)
+                pool, tokens, loss = [pool[k] for k in stay.tolist()], tokens[stay], loss[stay]
+        self.pool = [pool[k] for k in np.flatnonzero(tokens).tolist()]
 
-    def _fill(self, pool: list[Example], demand: np.ndarray, here: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
+    def _fill(self, pool: list[Example], tokens: np.ndarray, loss: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
         """(index in pool, length) of the pieces of one sequence; what they take is gone from
-        the pool."""
+        the pool. An example of which nothing is left has no tokens."""
         left, taken = self.cap.copy(), []
-        while left.min() >= 1 and here.any():
-            value = demand @ (weight * left)
-            fits = here & (demand <= left).all(1)
-            if fits.any():
-                k = int(np.argmax(np.where(fits, value, -1)))
-                n = len(pool[k])
-            else:  # a piece of the best of the others
-                k = int(np.argmax(np.where(here, value, -1)))
+        while left.min() >= 1:
+            w = weight * left
+            value = np.where(tokens > 0, w[0] * tokens + w[1] + w[2] * loss, -1)
+            k = int(np.argmax(np.where((tokens <= left[0]) & (loss <= left[2]), value, -1)))
+            n = int(tokens[k])
+            if not n or n > left[0] or loss[k] > left[2]:  # none fits: a piece of the best of the others
+                k = int(np.argmax(value))
                 n = pool[k].most(int(left[0]), int(left[2]))
                 if not n:
                     break
             left -= (n, 1, pool[k].bearing(n))
             taken.append((k, n))
-            self._take(pool, demand, here, k, n)
+            self._take(pool, tokens, loss, k, n)
         return taken
 
-    def _take(self, pool: list[Example], demand: np.ndarray, here: np.ndarray, k: int, n: int) -> None:
+    def _take(self, pool: list[Example], tokens: np.ndarray, loss: np.ndarray, k: int, n: int) -> None:
         pool[k].start += n
-        here[k] = len(pool[k]) > 0
-        demand[k] = len(pool[k]), 1, pool[k].bearing()
+        tokens[k], loss[k] = len(pool[k]), pool[k].bearing()
 
-    def _close(self, pool: list[Example], demand: np.ndarray, here: np.ndarray, taken: list[tuple[int, int]]) -> Iterator[Piece]:
+    def _close(self, pool: list[Example], tokens: np.ndarray, loss: np.ndarray, taken: list[tuple[int, int]]) -> Iterator[Piece]:
         """The pieces of a sequence; ids beyond the last power of two go back."""
         total = sum(n for _, n in taken)
         room = total if total == self.limits.tokens else 1 << total.bit_length() - 1
@@ -158,10 +160,10 @@ class Packer:
             m = min(n, room - offset)
             if m:
                 yield pool[k], start, m, self.sequences, offset
-                self._take(pool, demand, here, k, m)
+                self._take(pool, tokens, loss, k, m)
                 offset += m
             else:
-                self._take(pool, demand, here, k, 0)
+                self._take(pool, tokens, loss, k, 0)
         self.sequences += 1
 
 
@@ -176,6 +178,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # what repeats is kept below
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[list(vocabulary.values())] = [x.endswith("</w>") for x in vocabulary]
         self.end = np.array([] if end_id is None else [end_id], np.uint32)
         # chunks met of late and before: the older half goes when the newer one is full
         self.known: dict[bytes, bytes] = {}
@@ -185,6 +190,15 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32).tobytes() for x in found]
 
+    def _joined(self, chunks: list[bytes]) -> Iterator[bytes]:
+        """The ids of chunks of one kind each, encoded in a row: letters and signs are a word for
+        the tokenizer, of digits each is one, and the last token of a word shows that it is."""
+        ids = np.frombuffer(self._encode([b" ".join(chunks).decode()])[0], np.uint32)
+        words = np.cumsum([len(x) if x[0] in DIGITS else 1 for x in chunks])
+        cuts = (4 * (np.searchsorted(np.cumsum(self.ends_word[ids]), words) + 1)).tolist()
+        flat = ids.tobytes()
+        return (flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
+
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
         found = list(map(self.known.get, chunks))
         missing = []
@@ -194,10 +208,14 @@ class Encoder:
                 missing.append(k)
             else:
                 self.known[chunks[k]] = x
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for k, x in zip(some, self._encode([chunks[k].decode() for k in some]), strict=True):
+        plain = [k for k in missing if PLAIN.fullmatch(chunks[k])]
+        for i in range(0, len(plain), 2048):
+            some = plain[i : i + 2048]
+            for k, x in zip(some, self._joined([chunks[k] for k in some]), strict=True):
                 found[k] = self.known[chunks[k]] = x
+        odd = [k for k in missing if found[k] is None]
+        for k, x in zip(odd, self._encode([chunks[k].decode() for k in odd]), strict=True):
+            found[k] = self.known[chunks[k]] = x
         if len(self.known) > CHUNKS_KEPT // 2:
             self.before, self.known = self.known, {}
         return found
