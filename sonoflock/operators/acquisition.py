@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonoflock.functions import labels as L
 from sonoflock.functions.vectors import clamp, composite, noisy_or, uncertainty
+from sonoflock.operators import cells
 from sonoflock.operators.search import nearest
 
 WEIGHTS = (0.5, 0.25, 0.25)
@@ -18,10 +19,15 @@ def uncertainty_scores(predictions: DataFrame) -> DataFrame:
     return predictions.select("snippet_id", uncertainty(F.map_values("probs")).alias("uncertainty"))
 
 
-def diversity_scores(unlabelled: DataFrame, labelled: DataFrame) -> DataFrame:
+def diversity_scores(unlabelled: DataFrame, labelled: DataFrame, approximate_from: int | None = None, probes: int = cells.PROBES) -> DataFrame:
     """V5: (snippet_id, nearest, diversity), the distance to the nearest labelled vector and
-    the same within 0 to 1; 0 where nothing is labelled."""
-    found = nearest(unlabelled, labelled, 1).select(F.col("query_id").alias("snippet_id"), F.col("distance").alias("nearest"))
+    the same within 0 to 1; 0 where nothing is labelled. From `approximate_from` labelled vectors
+    on (None: never) only the nearest cells of an inverted file are searched."""
+    if approximate_from is not None and len(labelled.select("snippet_id").head(approximate_from)) == approximate_from:
+        near = cells.approximate(unlabelled, cells.index(labelled), 1, probes)
+    else:
+        near = nearest(unlabelled, labelled, 1)
+    found = near.select(F.col("query_id").alias("snippet_id"), F.col("distance").alias("nearest"))
     whole = unlabelled.select("snippet_id").join(found, "snippet_id", "left")
     return whole.withColumn("diversity", F.coalesce(clamp(F.col("nearest")), F.lit(0.0)))
 
@@ -76,9 +82,12 @@ def error_report(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     a = exact.where("rank = 1").select("query_id", F.col("snippet_id").alias("x"), F.col("distance").alias("dx"))
     b = approximate.where("rank = 1").select("query_id", F.col("snippet_id").alias("y"), F.col("distance").alias("dy"))
     error = F.abs(F.col("dx") - F.col("dy"))
+    # an approximate distance can't be below the exact one
+    least = F.min(F.col("dy") - F.col("dx"))
     return a.join(b, "query_id").agg(
         F.avg((F.col("x") == F.col("y")).cast("double")).alias("recall_at_1"),
         F.avg(error).alias("mean_error"),
         F.max(error).alias("max_error"),
+        least.alias("least_error"),
         F.count(F.lit(1)).alias("n"),
     )

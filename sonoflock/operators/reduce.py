@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from sonoflock.operators.search import nearest
 
+LEAST_EXPLAINED = 0.95
 CAPS = {"pca": None, "umap": 100_000, "tsne": 50_000, "isomap": 15_000}
 
 
 def available(n: int) -> list[tuple[str, bool | None]]:
-    """P10: the platform's limits of size: whether each capped method is out of reach for n points.
-    Of these pca and isomap are given here."""
+    """P10: the platform's limits of size: whether each capped method is out of reach for n points."""
     return [(m, None if cap is None else n > cap) for m, cap in CAPS.items()]
 
 
@@ -60,12 +61,14 @@ def pca(vectors: DataFrame, dim: int, n_components: int = 50) -> tuple[DataFrame
                 yield pd.DataFrame({"snippet_id": batch["snippet_id"], "vector": list(x)})
 
     explained = float(values[:k].sum() / max(values.sum(), 1e-300))
+    if explained < LEAST_EXPLAINED:
+        warnings.warn(f"{k} of {dim} directions explain {explained:.1%} of the variance", stacklevel=2)
     return vectors.select("snippet_id", "vector").mapInPandas(run, "snippet_id long, vector array<double>"), explained
 
 
-def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
+def knn_graph(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """Each vector with itself (distance 0) and its k - 1 nearest others."""
-    return nearest(vectors, vectors, k)
+    return nearest(vectors, vectors, k, metric=metric)
 
 
 def geodesics(graph: DataFrame, landmarks: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -74,14 +77,14 @@ def geodesics(graph: DataFrame, landmarks: DataFrame, most_rounds: int = 200) ->
     both = graph.select(F.col("query_id").alias("a"), F.col("snippet_id").alias("b"), "distance")
     edges = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).where("a != b")
     edges = edges.groupBy("a", "b").agg(F.min("distance").alias("w")).persist()
-    known = landmarks.select(F.col("snippet_id").alias("landmark"), "snippet_id", F.lit(0.0).alias("d"))
-    for k in range(most_rounds):
-        step = known.join(edges, known["snippet_id"] == edges["a"]).select("landmark", F.col("b").alias("snippet_id"), (F.col("d") + F.col("w")).alias("d"))
-        new = known.unionByName(step).groupBy("landmark", "snippet_id").agg(F.min("d").alias("d")).checkpoint()
-        changed = new.join(known.withColumnRenamed("d", "old"), ["landmark", "snippet_id"], "left").where("old is null or d < old - 1e-12")
-        done = changed.isEmpty()
-        known = new
-        if done:
+    known = frontier = landmarks.select(F.col("snippet_id").alias("landmark"), "snippet_id", F.lit(0.0).alias("d"))
+    for _ in range(most_rounds):
+        met = frontier.join(edges, frontier["snippet_id"] == edges["a"]).groupBy("landmark", F.col("b").alias("snippet_id")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
+        both = known.join(met, ["landmark", "snippet_id"], "full")
+        shorter = F.col("new").isNotNull() & (F.col("d").isNull() | (F.col("new") < F.col("d") - 1e-12))
+        step = both.select("landmark", "snippet_id", F.when(shorter, F.col("new")).otherwise(F.col("d")).alias("d"), shorter.alias("changed")).checkpoint()
+        known, frontier = step.drop("changed"), step.where("changed").drop("changed")
+        if frontier.isEmpty():
             break
     else:
         edges.unpersist()
@@ -90,14 +93,14 @@ def geodesics(graph: DataFrame, landmarks: DataFrame, most_rounds: int = 200) ->
     return known
 
 
-def landmark_isomap(vectors: DataFrame, n_neighbors: int = 15, n_landmarks: int = 100, n_components: int = 2, seed: int = 42) -> DataFrame:
+def landmark_isomap(vectors: DataFrame, n_neighbors: int = 15, n_landmarks: int = 100, n_components: int = 2, seed: int = 42, graph: DataFrame | None = None) -> DataFrame:
     """(snippet_id, coordinates): geodesic distances to landmarks, classical scaling of the
     landmarks, and every vector placed by its distances to them. A vector that can't be reached
     from a landmark counts as twice the largest distance away. n_landmarks bounds what the
     driver sees: the table of distances between landmarks."""
     order = F.md5(F.concat_ws(":", F.col("snippet_id").cast("string"), F.lit(str(seed))))
     landmarks = vectors.select("snippet_id").orderBy(order, "snippet_id").limit(n_landmarks).checkpoint()
-    d = geodesics(knn_graph(vectors, n_neighbors), landmarks)
+    d = geodesics(knn_graph(vectors, n_neighbors) if graph is None else graph, landmarks)
     names = sorted(r.snippet_id for r in landmarks.collect())
     at = {x: i for i, x in enumerate(names)}
     square = np.full((len(names), len(names)), np.nan)

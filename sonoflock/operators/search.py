@@ -1,8 +1,7 @@
 """Vector search: exact top-k, similarity feeds, nearest-neighbour joins.
 
-Joins of vectors with vectors run blocks against blocks: one side is cut into blocks of a
-bounded number of rows, each block is a row of packed numbers, and every block of queries
-meets every block of the table once in numpy; only the best k of each are kept at each step.
+A join of vectors with vectors broadcasts a table of at most one block of rows; a larger one is
+indexed by cells (see cells.py), and bounds tell which cells each query must visit.
 """
 
 from __future__ import annotations
@@ -15,8 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoflock.functions.vectors import cosine
-
-BLOCK = 4096
+from sonoflock.operators import cells
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, exclude: int | None = None, offset: int = 0) -> DataFrame:
@@ -35,41 +33,24 @@ def similar_to(vectors: DataFrame, snippet_id: int, k: int, offset: int = 0) ->
     return rows.select("snippet_id", sim.alias("similarity")).orderBy(F.desc("similarity"), "snippet_id").offset(offset).limit(k)
 
 
-def as_blocks(vectors: DataFrame, n_blocks: int, name: str) -> DataFrame:
-    """(name, ids, data): rows of a hash slice each, numbers packed as float64."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["snippet_id"].to_numpy(np.int64)
-        data = np.stack(group["vector"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({name: [group["b"].iloc[0]], "ids": [ids.tobytes()], "data": [data.tobytes()]})
-
-    sliced = vectors.withColumn("b", F.pmod(F.xxhash64("snippet_id"), F.lit(n_blocks)).cast("int"))
-    return sliced.groupBy("b").applyInPandas(pack, f"{name} int, ids binary, data binary")
-
-
-def nearest(queries: DataFrame, table: DataFrame, k: int, block: int = BLOCK, skip_self: bool = False) -> DataFrame:
-    """(query_id, snippet_id, distance, rank) by Euclidean distance of unit vectors,
-    ties by id. A stated set of queries against all rows, in blocks."""
-    n_q, n_t = (max(1, -(-x.count() // block)) for x in (queries, table))
-    left = as_blocks(queries, n_q, "q").select("q", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    right = as_blocks(table, n_t, "t").select("t", "ids", "data")
-    pairs = left.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)))).join(right, "t")
+def nearest(queries: DataFrame, table: DataFrame, k: int, block: int = cells.BLOCK, skip_self: bool = False, metric: str = "cosine") -> DataFrame:
+    """(query_id, snippet_id, distance, rank) by Euclidean distance of unit vectors (or
+    of vectors as they are, by the metric "euclidean"), ties by id. A table of one block is compared with all queries; of a larger one only the cells
+    that can hold a nearer row. Both give the same rows."""
+    if len(table.select("snippet_id").head(block + 1)) > block:
+        found, _ = cells.exact(queries, cells.index(table, block=block, metric=metric), k, block=block, skip_self=skip_self)
+        return found
+    held = sorted((r.snippet_id, r.vector) for r in table.select("snippet_id", "vector").collect())  # a block at most
+    ids = np.array([x for x, _ in held], np.int64)
+    rows = queries.sparkSession.sparkContext.broadcast((ids, cells.prepared(pd.Series([np.array(v) for _, v in held]), metric) if held else None))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, t = rows.value
         for batch in batches:
-            for r in batch.itertuples():
-                qi, ti = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, t = (np.frombuffer(x, np.float64).reshape(len(i), -1) for x, i in ((r.q_data, qi), (r.data, ti)))
-                q, t = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (q, t))
-                d = np.round(np.sqrt(np.maximum(2 - 2 * (q @ t.T), 0)), 9)
-                if skip_self:
-                    d[qi[:, None] == ti[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(ti, d.shape), d), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(qi)), order.shape[1])
-                flat = order.ravel()
-                good = np.isfinite(d[rows, flat])
-                yield pd.DataFrame({"query_id": qi[rows][good], "snippet_id": ti[flat][good], "distance": d[rows, flat][good]})
+            for at in range(0, len(batch) if len(ids) else 0, 1024):
+                part = batch.iloc[at : at + 1024]
+                yield cells.ranked(part["snippet_id"].to_numpy(np.int64), cells.prepared(part["vector"], metric), ids, t, k, skip_self, metric)
 
-    found = pairs.select("q_ids", "q_data", "ids", "data").mapInPandas(best, "query_id long, snippet_id long, distance double")
+    found = queries.select("snippet_id", "vector").mapInPandas(best, cells.FOUND)
     by_query = Window.partitionBy("query_id").orderBy("distance", "snippet_id")
-    return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by_query))

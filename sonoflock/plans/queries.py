@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sonoflock.functions import labels as L
 from sonoflock.functions import text as T
 from sonoflock.functions import vectors as V
-from sonoflock.operators import acquisition, feeds, label_state, platform, reduce, search, segment, stats, taxonomy, training, upsert
+from sonoflock.operators import acquisition, cells, feeds, label_state, layout, platform, reduce, search, segment, stats, taxonomy, training, upsert
 from sonoflock.plans.bindings import PREDICTIONS_SQL, predictions, read, vectors, view, with_views
 from sonoflock.plans.shared import shared_folder
 from sonoflock.sources import tables
@@ -83,6 +83,41 @@ def diversity(spark, sf):
     return found.select("snippet_id", r6(F.col("nearest"), "nearest"), r6(F.col("diversity"), "diversity"))
 
 
+@query()
+def approximate_diversity(spark, sf):
+    """The nearest labelled vector among eight probed cells, as from 100 labelled vectors on."""
+    rows = vectors(spark, sf)
+    found = acquisition.diversity_scores(rows.where("snippet_id % 5 != 0"), rows.where("snippet_id % 5 = 0"), 100, 8)
+    return found.select("snippet_id", r6(F.col("nearest"), "nearest"), r6(F.col("diversity"), "diversity"))
+
+
+@query(f"SELECT count(*)::BIGINT AS n, round(avg(round(d, 9)), 6) AS exact_mean, true AS recalls, true AS never_nearer FROM ({NEAREST})")
+def approximation_report(spark, sf):
+    """What is lost when eight cells are probed: recall at 1 must be 0.9 at least, and no
+    distance may be below the true one."""
+    rows = vectors(spark, sf)
+    queries, table = rows.where("snippet_id % 5 != 0"), rows.where("snippet_id % 5 = 0")
+    index = cells.index(table)
+    exact, _ = cells.exact(queries, index, 1)
+    report = acquisition.error_report(exact, cells.approximate(queries, index, 1, 8))
+    means = exact.agg(F.round(F.avg("distance"), 6).alias("exact_mean"))
+    recalls, never = (F.col("recall_at_1") >= 0.9).alias("recalls"), (F.col("least_error") >= 0).alias("never_nearer")
+    return report.crossJoin(means).select("n", "exact_mean", recalls, never)
+
+
+@query(
+    """SELECT query_id, snippet_id, round(distance, 6) AS distance, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, snippet_id)::INTEGER AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS snippet_id, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 9) AS distance
+    FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 5"""
+)
+def bounded_neighbours(spark, sf):
+    """The five nearest of each vector, exact, by cells and bounds instead of all pairs."""
+    rows = vectors(spark, sf)
+    found, _ = cells.exact(rows, cells.index(rows), 5, skip_self=True)
+    return found.select("query_id", "snippet_id", r6(F.col("distance"), "distance"), "rank")
+
+
 DENSITY = """
 raw AS (
   SELECT a.vec_id AS snippet_id, sqrt(greatest(0, 2 - 2 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS d, b.vec_id AS other
@@ -207,6 +242,85 @@ def isomap_projection(spark, sf):
     return out.select("snippet_id", *[r6(F.element_at("coordinates", i + 1), f"x{i}") for i in range(2)])
 
 
+@query(
+    """WITH m AS (SELECT i, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY i)
+SELECT vec_id AS snippet_id, round(sum((embedding[i]::DOUBLE - mean) ** 2), 6) AS square FROM embeddings, m GROUP BY vec_id"""
+)
+def pca_lengths(spark, sf):
+    """All directions together keep the lengths of centred vectors."""
+    out, _ = reduce.pca(vectors(spark, sf), 64, 64)
+    return out.select("snippet_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"))
+
+
+#: The nearest others of each vector as lists, for bisections by a recursive query.
+OTHERS = """nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM (
+  SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 9) AS d
+  FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE r <= {0}),
+g AS (SELECT a, list(d ORDER BY r) AS ds, coalesce(min(d) FILTER (d > 0), 0) AS apart FROM nn GROUP BY a),
+s AS (
+  SELECT a, ds, apart, 0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1::DOUBLE AS mid, 0 AS step FROM g
+  UNION ALL
+  SELECT a, ds, apart, CASE WHEN much THEN lo ELSE mid END, CASE WHEN much THEN mid ELSE hi END,
+         CASE WHEN much THEN (lo + mid) / 2 WHEN isinf(hi) THEN 2 * mid ELSE (mid + hi) / 2 END, step + 1
+  FROM (SELECT *, {1} AS much FROM s WHERE step < 64))"""
+MEMBER = "list_sum(list_transform(ds, lambda x: exp(-greatest(x - apart, 0) / mid))) > log2(10)"
+#: ln(sum e) + sum(e q) / sum(e) / mid > ln(10), where q = d^2 - the least d^2 and e = exp(-q / mid).
+CROWD = (
+    "ln(list_sum(list_transform(ds, lambda x: exp(-(x * x - ds[1] * ds[1]) / mid)))) + "
+    "list_sum(list_transform(ds, lambda x: (x * x - ds[1] * ds[1]) * exp(-(x * x - ds[1] * ds[1]) / mid))) / "
+    "list_sum(list_transform(ds, lambda x: exp(-(x * x - ds[1] * ds[1]) / mid))) / mid > ln(10)"
+)
+
+
+@query(
+    f"""WITH RECURSIVE {OTHERS.format(9, MEMBER)},
+f AS (SELECT a, apart, greatest(mid, 1e-3 * list_sum(ds) / 10) AS scale FROM s WHERE step = 64),
+w AS (SELECT nn.a, nn.b, exp(-greatest(nn.d - apart, 0) / scale) AS w FROM nn JOIN f USING (a))
+SELECT a AS from_id, b AS to_id, round(1 - product(1 - w), 6) AS weight FROM (SELECT a, b, w FROM w UNION ALL SELECT b, a, w FROM w) GROUP BY ALL"""
+)
+def umap_memberships(spark, sf):
+    rows = vectors(spark, sf)
+    graph = search.nearest(rows, rows, 9, skip_self=True)
+    return layout.memberships(graph, 10).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), r6(F.col("w"), "weight"))
+
+
+@query(
+    f"""WITH RECURSIVE {OTHERS.format(30, CROWD)},
+f AS (SELECT a, ds[1] AS least, mid FROM s WHERE step = 64),
+e AS (SELECT nn.a, nn.b, exp(-(d * d - least * least) / mid) AS e FROM nn JOIN f USING (a)),
+p AS (SELECT a, b, e / sum(e) OVER (PARTITION BY a) AS p FROM e)
+SELECT a AS from_id, b AS to_id, round(1000 * sum(p) / (2 * (SELECT count(*) FROM f)), 6) AS per_mille
+FROM (SELECT a, b, p FROM p UNION ALL SELECT b, a, p FROM p) GROUP BY ALL"""
+)
+def tsne_affinities(spark, sf):
+    rows = vectors(spark, sf)
+    graph = search.nearest(rows, rows, 30, skip_self=True)
+    weighed = layout.affinities(graph, 10)
+    return weighed.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), r6(1000 * F.col("w"), "per_mille"))
+
+
+@query()
+def umap_projection(spark, sf):
+    out = layout.umap(vectors(spark, sf), 64, 15, rounds=40, metric="cosine")
+    return out.select("snippet_id", *[r6(F.element_at("coordinates", i + 1), f"x{i}") for i in range(2)])
+
+
+@query()
+def tsne_projection(spark, sf):
+    out = layout.tsne(vectors(spark, sf), 64, rounds=60)
+    return out.select("snippet_id", *[r6(F.element_at("coordinates", i + 1), f"x{i}") for i in range(2)])
+
+
+@query("SELECT vec_id AS snippet_id, 8::BIGINT AS numbers FROM embeddings")
+def projection_set(spark, sf):
+    """All four methods over one graph, in two dimensions: x and y of each, none missing."""
+    few = {"umap": {"rounds": 10}, "tsne": {"rounds": 10}, "isomap": {"n_landmarks": 20}}
+    coordinates = layout.projections(vectors(spark, sf), 64, n_neighbors=15, **few)
+    wide = layout.points(coordinates)
+    there = sum(F.when(F.col(c).isNotNull() & ~F.isnan(c), 1).otherwise(0) for c in wide.columns[1:])
+    return wide.select("snippet_id", there.cast("long").alias("numbers"))
+
+
 @query("SELECT * FROM (VALUES ('pca', CAST(NULL AS BOOLEAN)), ('umap', false), ('tsne', false), ('isomap', false)) t(method, unavailable)")
 def projection_methods(spark, sf):
     return spark.createDataFrame(reduce.available(vectors(spark, sf).count()), "method string, unavailable boolean")

@@ -3,18 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether the session says that driver and executors are one process. Where it doesn't show
+    its master, or starts executors of their own (local-cluster), it counts as a cluster."""
+    master = spark.conf.get("spark.master", "")
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, made the folder of checkpoints; where the session names none (a local
-    test), one is made."""
+    test), one is made and named for the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not on_one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sonoflock-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return base
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and what is
+    read later doesn't change when an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

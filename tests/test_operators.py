@@ -54,7 +54,7 @@ def test_scores_of_no_and_few_vectors(spark):
     same = frame(spark, [[1, 0]] * 4)
     assert {r.density for r in acquisition.density_scores(same).collect()} == {0.0}
     report = acquisition.error_report(search.nearest(x, x, 1), search.nearest(x, x, 1)).first()
-    assert tuple(report) == (1.0, 0.0, 0.0, 10)
+    assert tuple(report) == (1.0, 0.0, 0.0, 0.0, 10)
 
 
 def test_scalar_scores(spark):
