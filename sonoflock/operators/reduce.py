@@ -21,6 +21,13 @@ def available(n: int) -> list[tuple[str, bool | None]]:
     return [(m, None if cap is None else n > cap) for m, cap in CAPS.items()]
 
 
+def availability(counts: DataFrame) -> DataFrame:
+    """P10 for a table of counts n: one row more for each method, and whether it is out of reach."""
+    kinds = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(cap).cast("long").alias("cap")) for m, cap in CAPS.items()])
+    each = counts.select("*", F.explode(kinds).alias("m"))
+    return each.select(*counts.columns, "m.method", (F.col("n") > F.col("m.cap")).alias("unavailable"))
+
+
 def moments(vectors: DataFrame, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, sum and sum of outer products; each task adds up its rows."""
 

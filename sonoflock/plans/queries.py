@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoflock.functions import labels as L
 from sonoflock.functions import text as T
 from sonoflock.functions import vectors as V
-from sonoflock.operators import acquisition, cells, feeds, label_state, layout, platform, reduce, search, segment, stats, taxonomy, training, upsert
+from sonoflock.operators import acquisition, cells, feeds, label_state, layout, networks, platform, reduce, search, segment, stats, taxonomy, training, upsert
 from sonoflock.plans.bindings import PREDICTIONS_SQL, predictions, read, vectors, view, with_views
 from sonoflock.plans.shared import shared_folder
 from sonoflock.sources import tables
@@ -321,9 +322,15 @@ def projection_set(spark, sf):
     return wide.select("snippet_id", there.cast("long").alias("numbers"))
 
 
-@query("SELECT * FROM (VALUES ('pca', CAST(NULL AS BOOLEAN)), ('umap', false), ('tsne', false), ('isomap', false)) t(method, unavailable)")
+@query(
+    """SELECT snippet_set_id, method, n, CASE WHEN most > 0 THEN n > most END AS unavailable
+FROM (SELECT snippet_set_id, count(*) AS n FROM snippets GROUP BY 1), (VALUES ('pca', 0), ('umap', 100000), ('tsne', 50000), ('isomap', 15000)) t(method, most)""",
+    "snippets",
+)
 def projection_methods(spark, sf):
-    return spark.createDataFrame(reduce.available(vectors(spark, sf).count()), "method string, unavailable boolean")
+    """P10: for each snippet set the methods that its number of snippets rules out."""
+    counts = view(spark, sf, "snippets").groupBy("snippet_set_id").agg(F.count(F.lit(1)).alias("n"))
+    return reduce.availability(counts)
 
 
 # --- listings and filters ------------------------------------------------------------------
@@ -476,11 +483,12 @@ def class_support(spark, sf):
 
 @query(
     f"""SELECT label AS bag, round(max(p), 6) AS p_max, round(avg(p), 6) AS p_avg, round(sum(p * exp(p)) / sum(exp(p)), 6) AS p_exp, round(sum(p * p) / (sum(p) + 1e-8), 6) AS p_lin,
-round(ln(avg(p) / (1 - avg(p))), 6) AS logit_avg FROM ({PREDICTIONS_SQL}) GROUP BY label"""
+round(ln(avg(p) / (1 - avg(p))), 6) AS logit_avg, round(ln(max(p) / (1 - max(p))), 6) AS logit_max,
+round(-ln(sum(exp(p)) / sum(p * exp(p)) - 1), 6) AS logit_exp, round(-ln((sum(p) + 1e-8) / sum(p * p) - 1), 6) AS logit_lin FROM ({PREDICTIONS_SQL}) GROUP BY label"""
 )
 def mil_pooling(spark, sf):
     rows = predictions(spark, sf).select(F.explode("probs").alias("bag", "p"))
-    return stats.mil_pool(rows, "bag", "p").select("bag", *[r6(F.col(c), c) for c in ("p_max", "p_avg", "p_exp", "p_lin", "logit_avg")])
+    return stats.mil_pool(rows, "bag", "p").select("bag", *[r6(F.col(c), c) for c in ("p_max", "p_avg", "p_exp", "p_lin", "logit_avg", "logit_max", "logit_exp", "logit_lin")])
 
 
 @query(
@@ -630,6 +638,64 @@ def trained_probabilities(spark, sf):
     return training.apply_model(rows, model).select("snippet_id", r6(F.array_max(F.map_values("probs")), "top"))
 
 
+#: A linear model of fixed weights: x_d weighs (d % 7 - 3) / 4, the bias is -0.1.
+LOGIT = "list_sum(list_transform(range(64), lambda d: embedding[d + 1]::DOUBLE * ((d % 7 - 3) / 4.0::DOUBLE))) - 0.1"
+
+
+def fixed_weights():
+    return np.array([(d % 7 - 3) / 4 for d in range(64)]), -0.1
+
+
+@query(f"SELECT vec_id AS snippet_id, round(1 / (1 + exp(-({LOGIT}))), 6) AS p, round(1 / (1 + exp(-(1 - ({LOGIT})))), 6) AS other FROM embeddings")
+def applied_model(spark, sf):
+    """M8: a model of given weights over all vectors, two labels."""
+    w, b = fixed_weights()
+    model = networks.Network(["p", "other"], [(np.column_stack([w, -w]), np.array([b, 1 - b]))])
+    return training.apply_model(vectors(spark, sf), model).select("snippet_id", *[r6(F.col("probs")[n], n) for n in ("p", "other")])
+
+
+@query(
+    f"""WITH p AS (SELECT embedding, (label = 1)::DOUBLE AS y, 1 / (1 + exp(-({LOGIT}))) AS p FROM embeddings),
+w AS (SELECT (count(*) - sum(y)) / sum(y) AS w FROM p),
+g AS (SELECT embedding, CASE WHEN y > 0 THEN w * (p - 1) ELSE p END AS g, -(w * y * ln(p + 1e-12) + (1 - y) * ln(1 - p + 1e-12)) AS loss FROM p, w)
+SELECT d::INTEGER AS place, round(avg(g * embedding[d + 1]::DOUBLE), 6) AS slope FROM g, range(64) t(d) GROUP BY d
+UNION ALL SELECT 64, round(avg(g), 6) FROM g UNION ALL SELECT 65, round(avg(loss), 6) FROM g"""
+)
+def model_gradient(spark, sf):
+    """M6: the weighted gradient of one label and the loss, from which a step is taken."""
+    w, b = fixed_weights()
+    model = networks.Network(["sp1"], [(w[:, None], np.array([b]))])
+    rows = vectors(spark, sf).withColumn("labels", F.array("label"))
+    weight = networks.weigh_positives(rows, ["sp1"])
+    data = rows.select("snippet_id", "vector", F.array((F.col("label") == "sp1").cast("double")).alias("y"))
+    total = networks.added(data, lambda batch: networks.gradient(model, batch, weight))
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(total[:-1] / total[-1])], "place int, slope double").select("place", r6(F.col("slope"), "slope"))
+
+
+@query(
+    f"""WITH p AS (SELECT vec_id % 40 AS bag, embedding, 1 / (1 + exp(-({LOGIT}))) AS p FROM embeddings),
+b AS (SELECT bag, sum(p) AS s, sum(p * p) / (sum(p) + 1e-8) AS q, (bag % 4 = 0)::DOUBLE AS y FROM p GROUP BY bag),
+g AS (SELECT embedding, ((1 - y) / (1 - q) - y / q) * (2 * p - q) / (s + 1e-8) * p * (1 - p) AS g FROM p JOIN b USING (bag))
+SELECT d::INTEGER AS place, round(sum(g * embedding[d + 1]::DOUBLE) / (SELECT count(*) FROM b), 6) AS slope FROM g, range(64) t(d) GROUP BY d
+UNION ALL SELECT 64, round(sum(g) / (SELECT count(*) FROM b), 6) FROM g
+UNION ALL SELECT 65, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) FROM b"""
+)
+def bag_gradient(spark, sf):
+    """The gradient through the pooling of bags, each spread over several tasks."""
+    rows = vectors(spark, sf).select((F.col("snippet_id") % 40).alias("bag"), F.col("vector").cast("array<double>").alias("vector"))
+    bags = rows.select("bag").distinct().withColumn("y", (F.col("bag") % 4 == 0).cast("double"))
+    found = networks.bag_gradient(rows, bags, *fixed_weights())
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(found)], "place int, slope double").select("place", r6(F.col("slope"), "slope"))
+
+
+@query()
+def deep_probabilities(spark, sf):
+    """The deep network of three hidden layers, trained for two epochs."""
+    rows = vectors(spark, sf).withColumn("labels", F.array("label"))
+    model = networks.fit(rows, [f"sp{i}" for i in range(10)], 64, epochs=2, batches=3)
+    return training.apply_model(rows, model).select("snippet_id", r6(F.array_max(F.map_values("probs")), "top"))
+
+
 # --- segmentation --------------------------------------------------------------------------
 
 
