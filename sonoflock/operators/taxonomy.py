@@ -2,28 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FLATTEN = """
-WITH RECURSIVE walk(taxonomy_id, node, place) MAX RECURSION LEVEL 64 AS (
-  SELECT t.taxonomy_id, v.value, array(v.pos) FROM {trees} t, LATERAL variant_explode(variant_get(t.tree, '$.nodes', 'variant')) v
-  UNION ALL
-  SELECT w.taxonomy_id, v.value, concat(w.place, array(v.pos)) FROM walk w, LATERAL variant_explode(variant_get(w.node, '$.children', 'variant')) v
-)
-SELECT taxonomy_id, place, node FROM walk
-"""
+from sonoflock.plans.shared import materialise
+
+#: Nodes that one task reads of one subtree in a round; the rest of it waits for the next.
+BUDGET = 20_000
+WALK = "taxonomy_id string, place array<int>, node string, waits boolean"
+
+
+def walked(tree: object, place: list[int], budget: int) -> Iterator[tuple[list[int], str, bool]]:
+    """(place, JSON, waits) of the nodes of a subtree, each without its children; from `budget`
+    nodes on whole subtrees, which wait."""
+    if not place:  # a whole tree
+        nodes = tree.get("nodes") if isinstance(tree, dict) else None
+        todo = [([k], x) for k, x in reversed(list(enumerate(nodes)))] if isinstance(nodes, list) else []
+    else:
+        todo = [(place, tree)]
+    while todo:
+        at, node = todo.pop()
+        if budget <= 0:
+            yield at, json.dumps(node), True
+            continue
+        budget -= 1
+        children = node.get("children") if isinstance(node, dict) else None
+        if isinstance(node, dict):
+            yield at, json.dumps({k: v for k, v in node.items() if k != "children"}), False
+        if isinstance(children, list):
+            todo += [([*at, k], x) for k, x in reversed(list(enumerate(children)))]
 
 
 def text(path: str):
     return F.nullif(F.expr(f"try_variant_get(node, '$.{path}', 'string')"), F.lit(""))
 
 
-def flatten(trees: DataFrame) -> DataFrame:
-    """The nodes of trees (taxonomy_id, tree VARIANT), each with its place as an array of
+def flatten(trees: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The nodes of trees (taxonomy_id, tree: a VARIANT, or a string of JSON, which may be more
+    than the thousand levels deep that a VARIANT may be), each with its place as an array of
     positions: in the order of places a parent stands before its children. Nodes with neither
-    id nor name are left out."""
-    rows = trees.sparkSession.sql(FLATTEN, trees=trees)
+    id nor name are left out. Trees may be of any depth and size: a task walks `budget` nodes of a
+    subtree, and what is below waits for the next round."""
+    whole = F.col("tree") if dict(trees.dtypes)["tree"] == "string" else F.to_json("tree")
+    top = trees.select(F.col("taxonomy_id").cast("string").alias("taxonomy_id"), F.array().cast("array<int>").alias("place"), whole.alias("node")).where("node is not null")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                rows = walked(json.loads(r.node), [int(x) for x in r.place], budget)
+                while part := list(islice(rows, 10_000)):
+                    yield pd.DataFrame({"taxonomy_id": r.taxonomy_id, "place": [x[0] for x in part], "node": [x[1] for x in part], "waits": [x[2] for x in part]})
+
+    # rounds: what a task has left of a large tree goes to many tasks in the next one
+    found = []
+    waiting = top
+    while True:
+        step = materialise(waiting.mapInPandas(walk, WALK), "taxonomy")
+        found.append(step.where("not waits").drop("waits"))
+        waiting = step.where("waits").drop("waits")
+        if waiting.isEmpty():
+            break
+        waiting = waiting.repartition("taxonomy_id", "place")
+    rows = reduce(DataFrame.unionByName, found).withColumn("node", F.parse_json("node"))
     out = rows.select(
         "taxonomy_id",
         "place",
@@ -42,20 +88,20 @@ def find(trees: DataFrame, node_id: str) -> DataFrame:
 
 def labels_page(trees: DataFrame, query: str = "", offset: int = 0, limit: int = 50) -> DataFrame:
     """Nodes whose name holds the query, with how many there are in all."""
-    rows = flatten(trees).where(F.contains(F.lower(F.coalesce("name", F.lit(""))), F.lit(query.lower())))
+    rows = materialise(flatten(trees).where(F.contains(F.lower(F.coalesce("name", F.lit(""))), F.lit(query.lower()))), "labels")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     return rows.orderBy("taxonomy_id", "place").offset(offset).limit(limit).crossJoin(F.broadcast(total)).drop("place")
 
 
 def preview(trees: DataFrame, n: int) -> DataFrame:
     """How many labels each tree has, the first n, and whether there are more."""
-    rows = flatten(trees).groupBy("taxonomy_id").agg(
-        F.count(F.lit(1)).alias("n_labels"), F.array_sort(F.collect_list(F.struct("place", F.coalesce("name", "id").alias("name")))).alias("all")
-    )
-    more = F.col("n_labels") > n if n else F.col("n_labels") > 0
-    return rows.select("taxonomy_id", "n_labels", F.slice(F.col("all.name"), 1, n).alias("preview"), more.alias("has_more")) if n else rows.select(
-        "taxonomy_id", "n_labels", F.array().cast("array<string>").alias("preview"), more.alias("has_more")
-    )
+    rows = materialise(flatten(trees).select("taxonomy_id", "place", F.coalesce("name", "id").alias("name")), "labels")
+    counts = rows.groupBy("taxonomy_id").agg(F.count(F.lit(1)).alias("n_labels"))
+    # n rows of each tree are brought together, not the tree
+    rank = F.row_number().over(Window.partitionBy("taxonomy_id").orderBy("place"))
+    first = rows.withColumn("_r", rank).where(F.col("_r") <= n).groupBy("taxonomy_id").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("all"))
+    out = counts.join(first.select("taxonomy_id", F.col("all.name").alias("preview")), "taxonomy_id", "left")
+    return out.select("taxonomy_id", "n_labels", F.coalesce("preview", F.array().cast("array<string>")).alias("preview"), (F.col("n_labels") > n).alias("has_more"))
 
 
 def search(trees: DataFrame, query: str, limit: int = 20) -> DataFrame:

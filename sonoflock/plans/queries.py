@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoflock.functions import labels as L
+from sonoflock.functions import registered
 from sonoflock.functions import text as T
 from sonoflock.functions import vectors as V
 from sonoflock.operators import acquisition, cells, feeds, label_state, layout, networks, platform, reduce, search, segment, stats, taxonomy, training, upsert
 from sonoflock.plans.bindings import PREDICTIONS_SQL, predictions, read, vectors, view, with_views
-from sonoflock.plans.shared import shared_folder
-from sonoflock.sources import tables
+from sonoflock.plans.shared import materialise, scratch_path, shared_folder
+from sonoflock.sources import tables, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -803,6 +804,32 @@ def trees(spark, sf):
     return rows.select(F.concat(F.lit("r"), "r_regionkey").alias("taxonomy_id"), F.col("r_regionkey").alias("position"), F.lit("active").alias("status"), F.parse_json(F.to_json(F.struct("nodes"))).alias("tree"))
 
 
+PLACED = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS p FROM nation),
+s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY concat('s', s_suppkey)) - 1 AS p FROM supplier)
+SELECT concat('r', n_regionkey) AS taxonomy_id, concat(p) AS place, concat('n', n_nationkey) AS id FROM n
+UNION ALL SELECT concat('r', n_regionkey), concat(n.p, '.', s.p), concat('s', s_suppkey) FROM s JOIN n ON s_nationkey = n_nationkey"""
+
+
+@query(PLACED)
+def taxonomy_places(spark, sf):
+    """The order of nodes, and a walk in rounds: a task reads 20 nodes of a tree at a time."""
+    rows = taxonomy.flatten(trees(spark, sf), 20)
+    return rows.select("taxonomy_id", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"), "id")
+
+
+@query(
+    f"""SELECT taxonomy_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY taxonomy_id ORDER BY string_split(place, '.')[1]::INT, string_split(place, '.')[2]::INT NULLS FIRST) AS r
+FROM ({PLACED}) WHERE id LIKE '%3') WHERE r BETWEEN 3 AND 6"""
+)
+def taxonomy_label_pages(spark, sf):
+    """Labels three to six of each tree, in its order, of those whose id ends with 3."""
+    rows = taxonomy.flatten(trees(spark, sf)).where("id like '%3'")
+    from pyspark.sql import Window
+
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("taxonomy_id").orderBy("place"))).where("r between 3 and 6")
+    return ranked.select("taxonomy_id", "id", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"))
+
+
 NODES = """SELECT concat('r', n_regionkey) AS taxonomy_id, concat('n', n_nationkey) AS id, n_name AS name, CAST(NULL AS VARCHAR) AS rank FROM nation UNION ALL
 SELECT concat('r', n_regionkey), concat('s', s_suppkey), s_name, 'species' FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
@@ -1094,3 +1121,62 @@ def set_embeddings(spark, sf):
     of = snippets.select(F.col("id").alias("snippet_id"), "recording_id").join(vectors(spark, sf).withColumnRenamed("snippet_id", "recording_id"), "recording_id").select("snippet_id", "vector").dropDuplicates(["snippet_id"])
     out = platform.embeddings(snippets, view(spark, sf, "recordings"), of, 1)
     return out.select("snippet_id", "file_name", r6(F.element_at("vector", 1).cast("double"), "first"))
+
+
+# --- functions in SQL ------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT vec_id AS snippet_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 1)), 6) AS similarity,
+u.uncertainty, u.confidence FROM embeddings JOIN (SELECT snippet_id, round(greatest(0, least(1, {ENTROPY})), 6) AS uncertainty, round(1 - product(1 - p), 6) AS confidence FROM ({PREDICTIONS_SQL}) GROUP BY snippet_id) u ON u.snippet_id = vec_id"""
+)
+def sql_functions(spark, sf):
+    registered.register(spark)
+    return spark.sql(
+        """SELECT v.snippet_id, round(cosine_similarity(v.vector, q.vector), 6) AS similarity, round(label_uncertainty(map_values(p.probs)), 6) AS uncertainty,
+        round(any_label(map_values(p.probs)), 6) AS confidence
+        FROM {v} v JOIN {p} p ON v.snippet_id = p.snippet_id CROSS JOIN (SELECT vector FROM {v} WHERE snippet_id = 1) q""",
+        v=vectors(spark, sf), p=predictions(spark, sf),
+    )
+
+
+@query(segments_sql(1.5))
+def sql_segments(spark, sf):
+    registered.register(spark)
+    return spark.sql("SELECT p_partkey AS recording_id, s.start_time, s.end_time FROM {part}, LATERAL segments_of(double(p_size), 3D, 1.5D) s", part=read(spark, sf, "part"))
+
+
+# --- kept tables ------------------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT snippet_id, round(confidence, 6) AS confidence, place, true AS kept FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, snippet_id) - 1 AS place
+FROM (SELECT snippet_id, round(1 - product(1 - p), 9) AS confidence FROM ({PREDICTIONS_SQL}) GROUP BY snippet_id)) WHERE place BETWEEN 150 AND 189"""
+)
+def kept_ranking(spark, sf):
+    """CA3, O14: a page of a ranking by confidence. It is made on the first call; the second finds
+    it by its fingerprint and reads the folders of the page."""
+    rows = predictions(spark, sf).select("snippet_id", F.round(V.noisy_or(F.map_values("probs")), 9).alias("confidence"))
+    fingerprint = stats.fingerprint(vectors(spark, sf)).first().asDict()
+    path = scratch_path(spark, "ranking")
+    for _ in range(2):
+        ranking, hit = versions.kept(spark, path, fingerprint, lambda: versions.ranked(rows, "confidence", "snippet_id", materialise, 100), 86_400, "slab")
+    return versions.page(ranking, 150, 40, 100).select("snippet_id", r6(F.col("confidence"), "confidence"), "place", F.lit(hit).alias("kept"))
+
+
+STORED = "SELECT l_orderkey % 5 AS model_checkpoint_id, l_orderkey * 10 + l_linenumber AS snippet_id, max({0}) AS score, {2} AS age FROM lineitem WHERE {1} GROUP BY 1, 2"
+
+
+@query(
+    f"""SELECT model_checkpoint_id, snippet_id, round(arg_max(score, age), 6) AS score FROM (
+  {STORED.format("l_discount::DOUBLE", "true", 1)} UNION ALL {STORED.format("l_tax::DOUBLE + 1", "l_linenumber = 2", 2)})
+WHERE model_checkpoint_id = 3 GROUP BY ALL"""
+)
+def stored_predictions(spark, sf):
+    """Predictions added twice, brought together, and those of one checkpoint."""
+    path = scratch_path(spark, "predictions")
+    for score, which in (("double(l_discount)", "true"), ("double(l_tax) + 1", "l_linenumber = 2")):
+        rows = read(spark, sf, "lineitem").where(which).selectExpr("l_orderkey % 5 AS model_checkpoint_id", "l_orderkey * 10 + l_linenumber AS snippet_id", f"{score} AS score")
+        versions.append(rows.groupBy("model_checkpoint_id", "snippet_id").agg(F.max("score").alias("score")), path)
+    versions.compact(spark, path)
+    return versions.predictions(spark, path, 3).select("model_checkpoint_id", "snippet_id", r6(F.col("score"), "score"))

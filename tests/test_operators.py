@@ -188,6 +188,20 @@ def test_taxonomies(spark):
     assert [r.id for r in taxonomy.search(rows, "rana").collect()] == [] and taxonomy.search(rows, "ANU").first().id == "a"
 
 
+def test_trees_of_any_depth_and_size(spark):
+    deep = '{"nodes":[' + '{"id":"d","children":[' * 500 + '{"id":"end"}' + "]}" * 500 + "]}"
+    wide = '{"nodes":[' + ",".join('{"id":"w%d","children":[%s]}' % (k, ",".join('{"id":"c%d"}' % j for j in range(50))) for k in range(400)) + "]}"
+    rows = spark.createDataFrame([("deep", deep), ("wide", wide)], "taxonomy_id string, tree string")
+    got = taxonomy.flatten(rows, 100)
+    assert {r.taxonomy_id: r["count"] for r in got.groupBy("taxonomy_id").count().collect()} == {"deep": 501, "wide": 400 * 51}
+    assert len(got.where("id = 'end'").first().place) == 501
+    same = taxonomy.flatten(rows)
+    variant = taxonomy.flatten(rows.where("taxonomy_id = 'wide'").withColumn("tree", F.parse_json("tree")), 7000)
+    assert variant.exceptAll(same).count() == 0 and variant.count() == 400 * 51
+    assert got.exceptAll(same).count() == 0 and same.exceptAll(got).count() == 0
+    assert [r.preview for r in taxonomy.preview(rows, 2).orderBy("taxonomy_id").collect()] == [["d", "d"], ["w0", "c0"]]
+
+
 def test_pages_and_bounds(spark):
     rows = spark.range(20)
     assert [r.id for r in feeds.page(rows, ["id"], 5, 3).collect()] == [5, 6, 7]
