@@ -40,13 +40,25 @@ def replace_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def feedback_counts(feedback: DataFrame, jobs: DataFrame) -> DataFrame:
-    """A5: for each checkpoint the snippets with feedback since its last completed retrain."""
+    """A5: for each checkpoint the snippets with feedback since its last completed retrain.
+    Feedback without a checkpoint is counted by bootstrap_counts."""
+    feedback = feedback.where("model_checkpoint_id is not null")
     done = jobs.where((F.col("status") == "COMPLETED") & F.col("trigger").isin(*RETRAIN_TRIGGERS))
     cutoff = done.groupBy("model_checkpoint_id").agg(F.max("completed_at").alias("cutoff"))
     open_ones = feedback.join(cutoff, "model_checkpoint_id", "left").where("cutoff is null or created_at > cutoff")
     return open_ones.groupBy("model_checkpoint_id").agg(F.countDistinct("snippet_id").alias("n_snippets"))
 
 
+def bootstrap_counts(feedback: DataFrame, jobs: DataFrame, threshold: int = 100) -> DataFrame:
+    """For each dataset the snippets with feedback from before it had a checkpoint, since
+    the last retrain without one, and whether a first model is to be trained."""
+    done = jobs.where((F.col("status") == "COMPLETED") & F.col("trigger").isin(*RETRAIN_TRIGGERS) & F.col("model_checkpoint_id").isNull())
+    cutoff = done.groupBy("dataset_id").agg(F.max("completed_at").alias("cutoff"))
+    open_ones = feedback.where("model_checkpoint_id is null").join(cutoff, "dataset_id", "left").where("cutoff is null or created_at > cutoff")
+    counts = open_ones.groupBy("dataset_id").agg(F.countDistinct("snippet_id").alias("n_snippets"))
+    return counts.withColumn("train", F.col("n_snippets") >= threshold)
+
+
 def retrain_gate(counts: DataFrame, jobs: DataFrame, threshold: int = 100) -> DataFrame:
     """ST1, W5: which checkpoints are to be retrained: enough feedback and no child retrain that
     waits, runs or was the last to fail; the count reads 0 while a child waits or runs."""

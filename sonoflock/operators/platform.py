@@ -96,6 +96,20 @@ def mirrored(labels: DataFrame, annotations: DataFrame) -> DataFrame:
     return upsert.insert_absent(labels, new, ["snippet_id", "label", "source", "user_id"])
 
 
+def bootstrapped(log: DataFrame, labels: DataFrame, new: DataFrame, snippets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feedback from before there is a model, one row for each label of an event. It must name
+    labels and a known snippet; it is logged as MODIFY without a checkpoint, whatever it came as. Of
+    several events of one user for one snippet the last one's labels replace what the user said."""
+    valid = new.where("label is not null and trim(label) != ''").join(snippets.select(F.col("id").alias("snippet_id")).distinct(), "snippet_id", "left_semi")
+    valid = valid.withColumn("action", F.lit("MODIFY")).withColumn("model_checkpoint_id", F.lit(None).cast(log.schema["model_checkpoint_id"].dataType))
+    out = log.unionByName(valid.select(*log.columns))
+    last = valid.groupBy("snippet_id", "user_id").agg(F.max(F.struct("created_at", "id")).alias("_last"))
+    said = valid.alias("v").join(last.alias("l"), (F.col("v.snippet_id") == F.col("l.snippet_id")) & F.col("v.user_id").eqNullSafe(F.col("l.user_id")) & (F.struct("v.created_at", "v.id") == F.col("l._last")))
+    writes = said.select("v.snippet_id", F.trim("v.label").alias("label"), F.lit("user").alias("source"), "v.user_id").distinct()
+    kept = upsert.delete(labels, writes.select("snippet_id", "user_id").distinct(), ["snippet_id", "user_id"])
+    return out, kept.unionByName(writes)
+
+
 def submitted(log: DataFrame, labels: DataFrame, new: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Feedback on known predictions, and feedback without a checkpoint, as there is
     before any model, is logged; ACCEPT and MODIFY with labels replace the user's labels of the

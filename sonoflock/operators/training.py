@@ -36,12 +36,12 @@ def filter_classes(rows: DataFrame, least: int, negatives: bool = True, none: st
     is_negative = rows["labels"] == F.array(F.lit(none))
     positives = rows.where(~is_negative)
     kept = class_support(positives).where(F.col("support") >= least).agg(F.collect_set("label").alias("_kept"))
-    # one row with the vocabulary of labels
-    filtered = positives.crossJoin(F.broadcast(kept)).withColumn("labels", F.array_intersect("labels", "_kept"))
+    # one row with the vocabulary of labels; Spark decides by its size how it is joined
+    filtered = positives.crossJoin(kept).withColumn("labels", F.array_intersect("labels", "_kept"))
     filtered = filtered.where(F.size("labels") > 0).drop("_kept")
     if not negatives:
         return filtered
-    back = rows.where(is_negative).crossJoin(F.broadcast(kept)).where(F.size("_kept") > 0).drop("_kept")
+    back = rows.where(is_negative).crossJoin(kept).where(F.size("_kept") > 0).drop("_kept")
     return filtered.unionByName(back.withColumn("labels", F.array().cast("array<string>")))
 
 

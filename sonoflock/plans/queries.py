@@ -559,6 +559,43 @@ def retrain_jobs(spark, sf):
     return view(spark, sf, "jobs").withColumn("model_checkpoint_id", F.col("model_checkpoint_id") % 4).withColumn("completed_at", F.col("created_at"))
 
 
+EARLY = """, early AS (SELECT id, snippet_id, user_id, action, label, created_at, snippet_id % 9 AS dataset_id, CAST(NULL AS BIGINT) AS model_checkpoint_id FROM feedback WHERE model_checkpoint_id = 0)"""
+
+
+def early_feedback(spark, sf):
+    """Feedback from before any model, in nine datasets."""
+    rows = view(spark, sf, "feedback").where("model_checkpoint_id = 0")
+    return rows.withColumn("dataset_id", F.col("snippet_id") % 9).withColumn("model_checkpoint_id", F.lit(None).cast("long"))
+
+
+@query(
+    EARLY + """, done AS (SELECT o_orderkey % 9 AS d, max(o_orderdate) AS cutoff FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 < 2 AND o_orderkey % 9 < 4 GROUP BY 1)
+SELECT dataset_id, count(DISTINCT snippet_id) AS n_snippets, count(DISTINCT snippet_id) >= 11 AS train FROM early LEFT JOIN done ON dataset_id = d WHERE cutoff IS NULL OR created_at > cutoff GROUP BY 1""",
+    "feedback",
+)
+def bootstrap_counts(spark, sf):
+    jobs = view(spark, sf, "jobs").withColumn("dataset_id", F.col("id") % 9).withColumn("completed_at", F.col("created_at"))
+    jobs = jobs.where("dataset_id < 4").withColumn("model_checkpoint_id", F.lit(None).cast("long"))
+    return label_state.bootstrap_counts(early_feedback(spark, sf), jobs, 11)
+
+
+@query(
+    EARLY + """, v AS (SELECT * FROM early WHERE label IS NOT NULL AND snippet_id IN (SELECT vec_id FROM embeddings)),
+w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY snippet_id, user_id ORDER BY created_at DESC, id DESC) = 1)
+SELECT 'log' AS part, snippet_id, label, 'MODIFY' AS source, user_id FROM v
+UNION ALL SELECT 'label', snippet_id, label, source, user_id FROM al_labels l WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.snippet_id = l.snippet_id AND w.user_id IS NOT DISTINCT FROM l.user_id)
+UNION ALL SELECT 'label', snippet_id, label, 'user', user_id FROM w""",
+    "feedback", "al_labels",
+)
+def bootstrap_feedback(spark, sf):
+    """Both outputs, what is logged and the labels."""
+    new = early_feedback(spark, sf)
+    snippets = vectors(spark, sf).select(F.col("snippet_id").alias("id"))
+    log, labels = platform.bootstrapped(new.limit(0), view(spark, sf, "al_labels"), new, snippets)
+    logged = log.where("model_checkpoint_id is null").select(F.lit("log").alias("part"), "snippet_id", "label", F.col("action").alias("source"), "user_id")
+    return logged.unionByName(labels.select(F.lit("label").alias("part"), "snippet_id", "label", "source", "user_id"))
+
+
 @query(CUTOFF + " SELECT * FROM counts", "feedback", "jobs")
 def feedback_since_retrain(spark, sf):
     return label_state.feedback_counts(view(spark, sf, "feedback"), retrain_jobs(spark, sf))
