@@ -12,15 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoflock.functions.text import AUDIO_SUFFIXES, relative_path
-
-
-def header(content: bytes) -> tuple[float | None, float | None]:
-    """Duration and sample rate of a WAV file; None for what can't be read."""
-    try:
-        with wave.open(io.BytesIO(content)) as f:
-            return f.getnframes() / f.getframerate(), float(f.getframerate())
-    except (wave.Error, EOFError, ZeroDivisionError):
-        return None, None
+from sonoflock.sources import headers
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
@@ -33,7 +25,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 def scan(spark: SparkSession, root: str, known: DataFrame | None = None, dataset_id: int = 1) -> DataFrame:
     """S1, S3, SET4: (dataset_id, file_path, file_name, duration, sample_rate, audio_sha256) of the
     audio files that aren't known yet, in order of paths. Only new files are read. Files whose
-    header can't be read are skipped if they are WAV files."""
+    header can't be read are left out."""
     base = F.lit("file:" + root if root.startswith("/") else root)
     rows = files(spark, root).withColumn("file_path", relative_path(F.regexp_replace("path", "^file:/+", "file:/"), base))
     if known is not None:
@@ -41,13 +33,13 @@ def scan(spark: SparkSession, root: str, known: DataFrame | None = None, dataset
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [header(bytes(c)) for c in batch["content"]]
+            found = [headers.read(p, bytes(c)) for p, c in zip(batch["file_path"], batch["content"], strict=True)]
             batch["duration"], batch["sample_rate"] = ([f[i] for f in found] for i in (0, 1))
             yield batch[["file_path", "duration", "sample_rate", "audio_sha256"]].astype({"duration": float, "sample_rate": float})
 
     content = rows.select("file_path", "content", F.sha2("content", 256).alias("audio_sha256"))
     out = content.mapInPandas(read, "file_path string, duration double, sample_rate double, audio_sha256 string")
-    out = out.where(F.col("duration").isNotNull() & ~F.isnan("duration") | ~F.lower("file_path").endswith(".wav"))
+    out = out.where(F.col("duration").isNotNull() & ~F.isnan("duration"))
     name = F.element_at(F.split("file_path", "/"), -1)
     return out.select(F.lit(dataset_id).cast("long").alias("dataset_id"), "file_path", name.alias("file_name"), "duration", "sample_rate", "audio_sha256").orderBy("file_path")
 
