@@ -94,3 +94,15 @@ def whole_quick_labels(items: Column) -> Column:
 def ordered_union(lists: Column) -> Column:
     """F8: labels of several lists, each once, in order."""
     return normalised(F.flatten(lists))
+
+
+def skipped(items: Column, indexes: Column) -> Column:
+    """How many places asked for picked() leaves out, as out of range or asked for before."""
+    return F.size(indexes) - F.size(picked(items, indexes))
+
+
+def preferred_path(paths: Column, otherwise: Column) -> Column:
+    """The path of the model that is preferred, of the best segment model, of the best model,
+    or another; empty ones don't count."""
+    names = ("preferred", "best_micro_model_segment", "best_micro_model")
+    return F.coalesce(*[F.nullif(F.try_element_at(paths, F.lit(n)), F.lit("")) for n in names], otherwise)

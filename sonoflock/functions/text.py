@@ -100,6 +100,19 @@ def contains_ci(text: Column, needle: str) -> Column:
     return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(needle.lower()))
 
 
+def named_id(*parts: Column | str) -> Column:
+    """F16: an id in the form of a UUID that follows from what it names; it is the same whenever a
+    task runs again, as a random one wouldn't be."""
+    columns = [F.lit(parts[0]), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts[1:]]]
+    return F.regexp_replace(F.md5(F.concat_ws("/", *columns)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def checkpoint_path(folder: str, dataset_id: Column, family: Column, version: Column, checkpoint_id: Column, labels: bool = False) -> Column:
+    """where a checkpoint lies, or the order of its labels."""
+    form = "%s/%s/%s_%s_labels_%s.json" if labels else "%s/%s/%s_%s_ckpt_%s.pt"
+    return F.format_string(form, F.lit(folder), dataset_id.cast("string"), family, version, checkpoint_id.cast("string"))
+
+
 def is_stale(kind: Column, started: Column, created: Column, now: Column) -> Column:
     """retrain jobs after six hours, others after two."""
     since = F.coalesce(started, created)

@@ -100,3 +100,14 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("model_checkpoint_id").agg(
         one("ACCEPT").alias("accepted"), one("REJECT").alias("rejected"), one("MODIFY").alias("modified")
     )
+
+
+def predicted_labels(predictions: DataFrame) -> DataFrame:
+    """F8: the labels of all predictions (id, snippet_id, predicted_labels) of each snippet, in the
+    order of predictions and places, trimmed, each once, none empty. Each label is first brought
+    down to the place where it first stands, so what is gathered is as long as the result."""
+    one = predictions.select("snippet_id", "id", F.posexplode("predicted_labels").alias("pos", "label"))
+    one = one.withColumn("label", F.trim("label")).where("label != ''")
+    first = one.groupBy("snippet_id", "label").agg(F.min(F.struct("id", "pos")).alias("at"))
+    rows = first.groupBy("snippet_id").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("x"))
+    return rows.select("snippet_id", F.col("x.label").alias("labels"))

@@ -77,13 +77,19 @@ def open_suggestions(labels: DataFrame, threshold: float, limit: int) -> DataFra
     return labels.where((F.col("predicted_label") >= threshold) & F.col("user_label").isNull()).orderBy(F.desc("predicted_label"), "snippet_id").limit(limit)
 
 
-def newest(rows: DataFrame, limit: int = 50, most: int = 200) -> DataFrame:
+def newest(rows: DataFrame, limit: int = 50, most: int = 200, dataset_id: int | None = None) -> DataFrame:
     """O15, O17"""
     if not 1 <= limit <= most:
         raise ValueError(f"limit must be within 1 and {most}")
+    rows = rows if dataset_id is None else rows.where(F.col("dataset_id") == dataset_id)
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
+def oldest(rows: DataFrame, dataset_id: int) -> DataFrame:
+    """All snippet sets or jobs of a dataset, in the order they were made."""
+    return rows.where(F.col("dataset_id") == dataset_id).orderBy("created_at", "id")
+
+
 def judged(labels: DataFrame, judgements: DataFrame) -> DataFrame:
     """What users said of predictions, the last judgement of each; unknown ones don't count."""
     last = judgements.groupBy("snippet_id").agg(F.max_by("user_label", F.struct("created_at", "id")).alias("user_label"))
@@ -157,6 +163,108 @@ def invitation_grants(invitations: DataFrame, datasets: DataFrame, user_id: int)
     return teams, met.where("team_id is null").select(F.lit(user_id).cast("long").alias("user_id"), "dataset_id")
 
 
+def redeemed(invitations: DataFrame, invited: DataFrame, uses: DataFrame, datasets: DataFrame, members: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Memberships, grants and invitations after users registered by invitations (uses:
+    invitation_id, user_id). Teams of the invited datasets get them as owners unless they are
+    members; datasets without a team are granted, with the invitation; each use counts."""
+    met = uses.join(invited, "invitation_id").join(datasets.select(F.col("id").alias("dataset_id"), "team_id"), "dataset_id")
+    owners = met.where("team_id is not null").select("user_id", "team_id", F.lit("owner").alias("role"))
+    given = met.where("team_id is null").groupBy("user_id", "dataset_id").agg(F.min("invitation_id").alias("granted_by_invitation_id"))
+    return (
+        upsert.insert_absent(members, owners, ["user_id", "team_id"]),
+        upsert.insert_absent(grants, given, ["user_id", "dataset_id"]),
+        counted_uses(invitations, uses),
+    )
+
+
+def redeemed_team(invitations: DataFrame, uses: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Memberships and invitations after users registered by invitations of teams, which say
+    the role; a use by who is a member already doesn't count."""
+    met = uses.join(invitations.select(F.col("id").alias("invitation_id"), "team_id", F.col("target_role").alias("role")), "invitation_id")
+    first = met.groupBy("user_id", "team_id").agg(F.min(F.struct("invitation_id", "role")).alias("f"))
+    fresh = first.join(members, ["user_id", "team_id"], "left_anti").select("user_id", "team_id", "f.role", "f.invitation_id")
+    return members.unionByName(fresh.drop("invitation_id"), allowMissingColumns=True), counted_uses(invitations, fresh)
+
+
+def counted_uses(invitations: DataFrame, uses: DataFrame) -> DataFrame:
+    n = uses.groupBy(F.col("invitation_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    used = F.coalesce("used_count", F.lit(0)) + F.coalesce("_n", F.lit(0))
+    return invitations.join(n, "id", "left").withColumn("used_count", used).select(*invitations.columns)
+
+
+LIVE = ("PENDING", "RUNNING", "COMPLETED")
+
+
+def enqueued(jobs: DataFrame, training: DataFrame, checkpoints: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Jobs, and training jobs with the inference of their checkpoint (inference_job_id). A
+    training job that has one, or whose checkpoint names no snippet set, is left alone; the latest
+    inference of the checkpoint serves unless it failed; else one is enqueued, once for each
+    checkpoint and dataset. A new job's id is that of the first training job that needs it, above
+    all ids there are: it is the same if a task runs again."""
+    keys = ["model_checkpoint_id", "dataset_id"]
+    ready = checkpoints.where("coalesce(resolved_snippet_set_id, 0) != 0").select(F.col("id").alias("model_checkpoint_id"))
+    todo = training.where("inference_job_id is null").join(ready, "model_checkpoint_id", "left_semi").select(*keys, "id")
+    todo = todo.groupBy(*keys).agg(F.min("id").alias("_first"))
+    last = jobs.where("trigger = 'wssed_inference'").groupBy(*keys).agg(F.max_by(F.struct("id", "status"), F.struct("created_at", "id")).alias("_last"))
+    top = F.broadcast(jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
+    plan = todo.join(last, keys, "left").crossJoin(top)
+    reused = F.when(F.col("_last.status").isin(*LIVE), F.col("_last.id"))
+    plan = plan.select(*keys, reused.alias("_reused"), F.coalesce(reused, F.col("_top") + F.col("_first")).alias("_job"))
+    made = plan.where("_reused is null").select(
+        F.col("_job").alias("id"), *keys, F.lit("wssed_inference").alias("trigger"), F.lit(0).cast("long").alias("feedback_count"), F.lit("PENDING").alias("status"), now.alias("created_at")
+    )
+    linked = training.join(plan.select(*keys, "_job"), keys, "left").withColumn("inference_job_id", F.coalesce("inference_job_id", "_job"))
+    return jobs.unionByName(made, allowMissingColumns=True), linked.select(*training.columns)
+
+
+def changed(taxonomies: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Taxonomies with new names, descriptions or states where a change (id, ...) has any;
+    archiving is the state `archived`. Changes of unknown taxonomies do nothing."""
+    columns = [c for c in ("name", "description", "status") if c in changes.columns]
+    out = upsert.fill_in(taxonomies, changes, "id", columns)
+    touched = changes.select("id", F.lit(True).alias("_touched"))
+    return out.join(touched, "id", "left").withColumn("updated_at", F.when(F.col("_touched"), now).otherwise(F.col("updated_at"))).select(*taxonomies.columns)
+
+
+def team_access(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """For users and teams (user_id, is_admin, team_id) whether they may see and manage it: its
+    members may see it, its owners manage it, admins both."""
+    roles = members.groupBy("user_id", "team_id").agg(F.bool_or(F.col("role") == "owner").alias("_owner"))
+    out = asked.join(roles, ["user_id", "team_id"], "left")
+    return out.withColumns({
+        "may_see": F.col("is_admin") | F.col("_owner").isNotNull(), "may_manage": F.col("is_admin") | F.coalesce("_owner", F.lit(False))
+    }).drop("_owner")
+
+
+def reused_coordinates(points: DataFrame, checkpoints: DataFrame, with_3d: bool) -> DataFrame:
+    """Points after linear checkpoints (id, dataset_id, embedding_model_id) took over those of
+    their dataset and embedding model, which have no checkpoint. Points that a checkpoint has are
+    overwritten; without 3D, their third dimension stays as it was. Checkpoints whose dataset has no
+    points get none."""
+    keys = ["dataset_id", "model_checkpoint_id", "snippet_id"]
+    numbers = [c for c in points.columns if c not in (*keys, "embedding_model_id")]
+    taken = [c for c in numbers if with_3d or "_3d_" not in c]
+    base = points.where("model_checkpoint_id is null").drop("model_checkpoint_id")
+    wanted = checkpoints.select(F.col("id").alias("model_checkpoint_id"), "dataset_id", "embedding_model_id")
+    new = base.join(wanted, ["dataset_id", "embedding_model_id"]).select(*keys, "embedding_model_id", *taken)
+    if len(taken) < len(numbers):
+        old = points.where("model_checkpoint_id is not null").select(*keys, *[c for c in numbers if c not in taken])
+        new = new.join(old, keys, "left")
+    return upsert.upsert(points, new, keys)
+
+
+def columnar(points: DataFrame, slab: int = 10_000) -> DataFrame:
+    """Points as arrays in the order of snippets, one row for each slab of ids, so that no row
+    grows with the dataset; a third dimension that no point has is NULL, else NULL where a point
+    lacks it."""
+    numbers = [c for c in points.columns if c != "snippet_id"]
+    some = F.broadcast(points.agg(*[(F.count(c) > 0).alias(f"_{c}") for c in numbers]))
+    first = (F.floor(F.col("snippet_id") / slab) * slab).alias("first_id")
+    rows = points.groupBy(first).agg(F.array_sort(F.collect_list(F.struct("snippet_id", *numbers))).alias("r")).crossJoin(some)
+    arrays = [F.when(F.col(f"_{c}") | F.lit(not c.endswith("_z")), F.col(f"r.{c}")).alias(c) for c in numbers]
+    return rows.select("first_id", F.col("r.snippet_id").alias("snippet_ids"), *arrays)
+
+
 def merged_status(jobs: DataFrame, remote: DataFrame) -> DataFrame:
     """Remote states, unknown ones as TRAINING; the time of the end for ended jobs."""
     state = F.when(F.col("remote_status").isin(*TERMINAL, "PENDING", "TRAINING"), F.col("remote_status")).otherwise("TRAINING")

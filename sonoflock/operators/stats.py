@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonoflock.functions.numbers import round_half_even
+
 
 def annotation_stats(datasets: DataFrame, recordings: DataFrame, snippets: DataFrame, annotations: DataFrame) -> DataFrame:
     """A1: for each dataset snippets, annotated ones, annotations and the share annotated. Each
@@ -15,7 +19,7 @@ def annotation_stats(datasets: DataFrame, recordings: DataFrame, snippets: DataF
     joined = recordings.join(per_recording, recordings["id"] == F.col("recording_id")).groupBy("dataset_id")
     sums = joined.agg(*[F.sum(c).alias(c) for c in ("total", "annotated", "n")])
     whole = datasets.select(F.col("id").alias("dataset_id")).join(sums, "dataset_id", "left").na.fill(0, ["total", "annotated", "n"])
-    pct = F.when(F.col("total") > 0, F.round(100 * F.col("annotated") / F.col("total"), 2)).otherwise(0.0)
+    pct = F.when(F.col("total") > 0, round_half_even(F.col("annotated") / F.col("total") * 100, 2)).otherwise(0.0)
     return whole.select(
         "dataset_id",
         F.col("total").alias("total_snippets"),
@@ -101,6 +105,24 @@ def focal_count(datasets: DataFrame) -> DataFrame:
     return datasets.where("dataset_type = 'FOCAL_RECORDINGS'").agg(F.count(F.lit(1)).alias("n_focal"))
 
 
+def focal_access(users: DataFrame, datasets: DataFrame, members: DataFrame, grants: DataFrame) -> DataFrame:
+    """For each user (user_id, is_admin) how many focal datasets they can read, by a team or a
+    grant, each once, and whether they may work on them: admins may without any."""
+    focal = datasets.where("dataset_type = 'FOCAL_RECORDINGS'").select(F.col("id").alias("dataset_id"), "team_id")
+    mine = members.join(focal, "team_id").select("user_id", "dataset_id").unionByName(grants.join(focal, "dataset_id", "left_semi").select("user_id", "dataset_id"))
+    counts = mine.distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("_mine"))
+    all_focal = focal.agg(F.count(F.lit(1)).alias("_all"))
+    out = users.join(counts, "user_id", "left").crossJoin(F.broadcast(all_focal))
+    n = F.when(F.col("is_admin"), F.col("_all")).otherwise(F.coalesce("_mine", F.lit(0)))
+    return out.select("user_id", n.alias("n_focal"), (F.col("is_admin") | (n > 0)).alias("enabled"))
+
+
+def scalar_counts(**rows: DataFrame) -> DataFrame:
+    """A4: how many rows each of some tables has, by name."""
+    counted = [frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, frame in rows.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def fingerprint(vectors: DataFrame) -> DataFrame:
     """What tells whether a cached copy is still good."""
     return vectors.agg(

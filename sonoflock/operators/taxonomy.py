@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoflock.operators import feeds
 from sonoflock.plans.shared import materialise
 
 #: Nodes that one task reads of one subtree in a round; the rest of it waits for the next.
@@ -120,3 +121,17 @@ def search(trees: DataFrame, query: str, limit: int = 20) -> DataFrame:
 def merged_hits(remote: DataFrame, custom: DataFrame) -> DataFrame:
     """SET6: hits of both kinds, with the columns of either."""
     return remote.unionByName(custom, allowMissingColumns=True)
+
+
+def suggest(remote: DataFrame, trees: DataFrame, query: str, selected: str | None = None, limit: int = 10) -> DataFrame:
+    """O19, SET6: the first hits of a service (its rank in `position`) and of custom taxonomies, by
+    relevance. A comma list of taxonomies leaves out the service unless it names `gbif`, and custom
+    taxonomies that it doesn't name; an empty list is none."""
+    if not query or not 1 <= limit <= 50:
+        raise ValueError("there must be a query, and limit be within 1 and 50")
+    names = [x.strip() for x in (selected or "").split(",") if x.strip()]
+    hits = remote.orderBy("position", "id").limit(limit).drop("position") if not names or "gbif" in names else remote.limit(0).drop("position")
+    if names:
+        trees = trees.where(F.col("taxonomy_id").isin(*[x for x in names if x.startswith("custom:")]))
+    custom = search(trees, query, limit).withColumnRenamed("name", "canonical_name")
+    return feeds.relevance(merged_hits(hits, custom), query).limit(limit)

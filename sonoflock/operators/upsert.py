@@ -76,3 +76,11 @@ def protected_delete(sets: DataFrame, snippets: DataFrame, annotations: DataFram
     )
     whole = sets.join(held, sets["id"] == F.col("snippet_set_id"), "left").na.fill(0, ["n_snippets", "n_annotations"])
     return whole.select("id", "n_snippets", "n_annotations", (F.col("n_annotations") == 0).alias("may_delete"))
+
+
+def without_repeats(rows: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
+    """Of rows of equal keys, NULL included, the one with the smallest id stays, and of equal
+    ids the one whose other columns are smallest. One aggregate, with no join of the table to itself."""
+    rest = [id_column, *[c for c in rows.columns if c not in (*keys, id_column)]]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first"))
+    return first.select(*keys, "_first.*").select(*rows.columns)

@@ -45,6 +45,36 @@ VIEWS = {
         "CASE WHEN o_orderkey % 3 = 0 THEN 'auto_feedback' WHEN o_orderkey % 3 = 1 THEN 'manual' ELSE 'initial' END AS trigger, o_orderdate AS created_at, "
         "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate ELSE NULL END AS started_at FROM orders"
     ),
+    "confirmed": (
+        "SELECT CAST(floor(event_id / 2) AS BIGINT) AS id, CAST(floor(event_id / 2) AS BIGINT) % 50 + 1 AS dataset_id, CAST(floor(event_id / 2) AS BIGINT) % 97 AS snippet_id, "
+        "CASE WHEN CAST(floor(event_id / 2) AS BIGINT) % 11 = 10 THEN NULL ELSE CAST(floor(event_id / 2) AS BIGINT) % 11 END AS user_id, CASE event_id % 7 "
+        "WHEN 0 THEN concat('gbif:', CAST(event_id % 40 AS STRING)) WHEN 1 THEN concat(' Species ', CAST(event_id % 12 AS STRING), ' ') "
+        "WHEN 2 THEN concat('code', CAST(event_id % 6 AS STRING)) WHEN 3 THEN concat('envo:', CAST(event_id % 3 AS STRING)) WHEN 4 THEN NULL WHEN 5 THEN '  ' "
+        "ELSE concat('odd:', CAST(event_id % 3 AS STRING)) END AS label FROM events"
+    ),
+    "said": (
+        "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 97 AS snippet_id, CAST(l_linenumber AS BIGINT) AS user_id, concat('gbif:', CAST(l_partkey % 40 AS STRING)) AS taxon_id, "
+        "concat('Species ', CAST(l_partkey % 40 AS STRING)) AS resolved_name_snapshot, CASE WHEN l_suppkey % 3 = 0 THEN 'active_learning' WHEN l_suppkey % 3 = 1 THEN 'import' "
+        "ELSE NULL END AS origin FROM lineitem"
+    ),
+    "set_labels": (
+        "SELECT l_orderkey * 10 + l_linenumber AS snippet_id, l_orderkey % 50 AS dataset_id, concat('Species ', CAST(l_partkey % 40 AS STRING)) AS label, "
+        "CASE WHEN l_partkey % 4 = 0 THEN 'ground_truth' ELSE 'user' END AS source, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE l_suppkey % 7 END AS user_id FROM lineitem WHERE l_quantity > 20"
+    ),
+    "team_taxonomies": (
+        "SELECT CAST(n_nationkey AS BIGINT) AS id, concat('custom:', md5(concat('t', CAST(n_nationkey AS STRING)))) AS taxonomy_id, CAST(n_nationkey AS BIGINT) AS team_id, "
+        "concat('code', CAST(n_nationkey % 5 AS STRING)) AS name, n_name AS description, 'active' AS status FROM nation"
+    ),
+    "memberships": (
+        "SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS team_id, s_suppkey % 10 AS user_id, CASE WHEN s_suppkey % 3 = 0 THEN 'owner' ELSE 'member' END AS role FROM supplier"
+    ),
+    "training_jobs": (
+        "SELECT p_partkey AS id, p_partkey % 20 + 1 AS model_checkpoint_id, p_partkey % 3 AS dataset_id, CASE WHEN p_size > 40 THEN p_partkey ELSE NULL END AS inference_job_id FROM part"
+    ),
+    "inferences": (
+        "SELECT o_orderkey AS id, o_custkey % 40 AS model_checkpoint_id, o_orderkey % 3 AS dataset_id, CASE WHEN o_orderkey % 5 = 0 THEN 'manual' ELSE 'wssed_inference' END AS trigger, "
+        "CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'COMPLETED' ELSE 'PENDING' END AS status, o_orderdate AS created_at FROM orders WHERE o_custkey % 2 = 0"
+    ),
 }
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,27 +11,14 @@ from sonoflock.functions import registered
 from sonoflock.functions import text as T
 from sonoflock.functions import vectors as V
 from sonoflock.operators import acquisition, cells, feeds, label_state, layout, networks, platform, reduce, search, segment, stats, taxonomy, training, upsert
-from sonoflock.plans.bindings import PREDICTIONS_SQL, predictions, read, vectors, view, with_views
+from sonoflock.plans.bindings import PREDICTIONS_SQL, predictions, read, vectors, view
+from sonoflock.plans.registry import ORACLE_SQL, QUERIES, query
 from sonoflock.plans.shared import materialise, scratch_path, shared_folder
 from sonoflock.sources import tables, versions
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 NOW = "1996-06-01 00:00:00"
 
 
-def query(sql: str | None = None, *views: str):
-    """Register a query under its function's name, with its SQL if there is any."""
-
-    def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = with_views(sql, *views) if views else sql
-        return f
-
-    return register
-
-
 def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -444,7 +429,7 @@ def annotation_export(spark, sf):
     """, per AS (SELECT snippet_id, count(*) AS n FROM annotations GROUP BY 1),
 sums AS (SELECT r.dataset_id, count(*) AS total, count(p.n) AS annotated, sum(p.n) AS n FROM snippets s JOIN recordings r ON s.recording_id = r.id LEFT JOIN per p ON p.snippet_id = s.id GROUP BY 1)
 SELECT d.id AS dataset_id, coalesce(total, 0)::BIGINT AS total_snippets, coalesce(annotated, 0)::BIGINT AS annotated_snippets, coalesce(n, 0)::BIGINT AS total_annotations,
- coalesce(total - annotated, 0)::BIGINT AS not_annotated, CASE WHEN total > 0 THEN round(100 * annotated / total, 2) ELSE 0 END AS pct FROM datasets d LEFT JOIN sums ON d.id = dataset_id""",
+ coalesce(total - annotated, 0)::BIGINT AS not_annotated, CASE WHEN total > 0 THEN printf('%.2f', annotated::DOUBLE / total::DOUBLE * 100)::DOUBLE ELSE 0 END AS pct FROM datasets d LEFT JOIN sums ON d.id = dataset_id""",
     "datasets", "recordings", "snippets", "annotations",
 )
 def annotation_stats(spark, sf):
@@ -1217,3 +1202,6 @@ def stored_predictions(spark, sf):
         versions.append(rows.groupBy("model_checkpoint_id", "snippet_id").agg(F.max("score").alias("score")), path)
     versions.compact(spark, path)
     return versions.predictions(spark, path, 3).select("model_checkpoint_id", "snippet_id", r6(F.col("score"), "score"))
+
+
+from sonoflock.plans import state_queries  # noqa: E402,F401  registers its queries
