@@ -49,6 +49,16 @@ def feedback_counts(feedback: DataFrame, jobs: DataFrame) -> DataFrame:
     return open_ones.groupBy("model_checkpoint_id").agg(F.countDistinct("snippet_id").alias("n_snippets"))
 
 
+def events_since_retrain(feedback: DataFrame, jobs: DataFrame) -> DataFrame:
+    """For each checkpoint how many events, of every action, have come since its last completed
+    retrain; NULL is the checkpoint of feedback from before there was one."""
+    done = jobs.where((F.col("status") == "COMPLETED") & F.col("trigger").isin(*RETRAIN_TRIGGERS))
+    cutoff = done.groupBy(F.col("model_checkpoint_id").alias("_of")).agg(F.max("completed_at").alias("cutoff"))
+    met = feedback["model_checkpoint_id"].eqNullSafe(cutoff["_of"])
+    open_ones = feedback.join(cutoff, met, "left").where("cutoff is null or created_at > cutoff")
+    return open_ones.groupBy("model_checkpoint_id").agg(F.count(F.lit(1)).alias("n_events"))
+
+
 def bootstrap_counts(feedback: DataFrame, jobs: DataFrame, threshold: int = 100) -> DataFrame:
     """For each dataset the snippets with feedback from before it had a checkpoint, since
     the last retrain without one, and whether a first model is to be trained."""

@@ -50,12 +50,13 @@ def may_read(conversations: DataFrame, memberships: DataFrame, user_id: int, is_
 
 
 def available_taxonomies(taxonomies: DataFrame, teams: DataFrame, is_admin: bool, status: str | None = "active") -> DataFrame:
-    """P18, SET2, SET8: those of the teams and the global ones, each once."""
+    """P18, SET2, SET8: those of the teams and the global ones, each once; newest first where they
+    have a time."""
     rows = taxonomies if status is None else taxonomies.where(F.col("status") == status)
-    if is_admin:
-        return rows
-    own = rows.join(teams.select("team_id").distinct(), "team_id", "left_semi")
-    return own.unionByName(rows.where("is_global").select(*own.columns)).dropDuplicates(["taxonomy_id"])
+    if not is_admin:
+        own = rows.join(teams.select("team_id").distinct(), "team_id", "left_semi")
+        rows = own.unionByName(rows.where("is_global").select(*own.columns)).dropDuplicates(["taxonomy_id"])
+    return rows.orderBy(F.desc("created_at"), F.desc("taxonomy_id")) if "created_at" in rows.columns else rows
 
 
 def resolve_taxa(ids: DataFrame, known: DataFrame) -> DataFrame:
@@ -283,6 +284,30 @@ def projection_points(coordinates: DataFrame, predictions: DataFrame) -> DataFra
     )
 
 
+def embedding_rows(rows: DataFrame, snippets: DataFrame, sets: DataFrame, set_id: int | None = None, dataset_id: int | None = None) -> DataFrame:
+    """Embeddings of a snippet set, a dataset, both or all; a table is joined only if a filter
+    needs it."""
+    if set_id is None and dataset_id is None:
+        return rows
+    members = snippets if set_id is None else snippets.where(F.col("snippet_set_id") == set_id)
+    if dataset_id is not None:
+        of = sets.where(F.col("dataset_id") == dataset_id).select(F.col("id").alias("snippet_set_id"))
+        members = members.join(of, "snippet_set_id", "left_semi")
+    return rows.join(members.select(F.col("id").alias("snippet_id")), "snippet_id", "left_semi")
+
+
+def disjoint_draws(rows: DataFrame, n_pool: int, n_labelled: int, seed: int = 42, key: str = "snippet_id") -> tuple[DataFrame, DataFrame]:
+    """SET7: ids of a pool and of a labelled set for a benchmark, drawn by a seeded hash. The
+    labelled ones come from outside the pool if there are enough, else from the pool."""
+    by_hash = [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    ids = rows.select(key).distinct()
+    pool = ids.orderBy(*by_hash).limit(n_pool)
+    rest = ids.join(pool, key, "left_anti")
+    outside = ids.count() - n_pool >= n_labelled
+    other = [F.xxhash64(F.lit(seed + 1), F.col(key)), F.col(key)]
+    return pool, (rest if outside else pool).orderBy(*other).limit(n_labelled)
+
+
 def embeddings(snippets: DataFrame, recordings: DataFrame, vectors: DataFrame, set_id: int) -> DataFrame:
     """The vectors of a snippet set with their recordings; all must be of one length."""
     rows = snippets.where(F.col("snippet_set_id") == set_id).select(F.col("id").alias("snippet_id"), "recording_id")

@@ -14,15 +14,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoflock.plans.shared import materialise
+
 
 def align(vectors: DataFrame, truth: DataFrame) -> DataFrame:
-    """Vectors with ground truth by file name, else by path; labels of several
-    events of a file are joined."""
-    events = truth.where(F.size("labels") > 0).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
-    by_name = events.select(F.col("key").alias("file_name"), F.col("labels").alias("_by_name"))
-    by_path = events.select(F.col("key").alias("file_path"), F.col("labels").alias("_by_path"))
+    """Vectors with the labels of all events of their file by name, else by path, in
+    order. Truth has a row (key, labels) for each event: an event without labels makes its file a
+    negative, with no labels; NULL stands for a file without events, which is no match, and as its
+    name is there, its path isn't looked up. Files that nothing matches are left out."""
+    each = truth.select("key", F.col("labels").isNotNull().alias("_event"), F.explode_outer("labels").alias("_label"))
+    # labels are made distinct before they are gathered
+    files = each.groupBy("key").agg(F.bool_or("_event").alias("_any"), F.array_sort(F.collect_set("_label")).alias("_all"))
+    files = files.select("key", F.when(F.col("_any"), F.col("_all")).alias("labels"), F.lit(True).alias("_there"))
+    by_name = files.select(F.col("key").alias("file_name"), F.col("labels").alias("_by_name"), "_there")
+    by_path = files.select(F.col("key").alias("file_path"), F.col("labels").alias("_by_path"))
     out = vectors.join(by_name, "file_name", "left").join(by_path, "file_path", "left")
-    return out.withColumn("labels", F.coalesce("_by_name", "_by_path")).drop("_by_name", "_by_path").where("labels is not null")
+    labels = F.when(F.col("_there"), F.col("_by_name")).otherwise(F.col("_by_path"))
+    return out.withColumn("labels", labels).drop("_by_name", "_by_path", "_there").where("labels is not null")
+
+
+def training_rows(vectors: DataFrame, truth: DataFrame) -> DataFrame:
+    """M3: align(), as a table; it is an error if nothing matches."""
+    out = materialise(align(vectors, truth), "aligned")
+    if out.isEmpty():
+        raise ValueError("no vector has a file that the ground truth names")
+    return out
 
 
 def class_support(rows: DataFrame) -> DataFrame:

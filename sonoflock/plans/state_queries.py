@@ -8,7 +8,7 @@ from sonoflock.functions import labels as L
 from sonoflock.functions import text as T
 from sonoflock.functions import vectors as V
 from sonoflock.functions.numbers import round_half_even
-from sonoflock.operators import canonical, label_state, platform, stats, taxonomy, upsert
+from sonoflock.operators import canonical, feeds, label_state, platform, segment, stats, taxonomy, training, upsert
 from sonoflock.plans.bindings import read, vectors, view
 from sonoflock.plans.queries import r6, trees
 from sonoflock.plans.registry import query
@@ -299,6 +299,90 @@ def suggested_taxa(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 1 THEN p_size ELSE 5 END::DOUBLE AS window, p_retailprice AS step, CASE WHEN p_size % 3 = 1 THEN 0.25 ELSE 0.5 END::DOUBLE AS overlap FROM part"""
+)
+def snippet_set_parameters(spark, sf):
+    """A window is asked for, a step of 0 counts as not asked for, and so does no overlap."""
+    n = F.col("p_size")
+    models = read(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), n.cast("double").alias("window_size"), F.col("p_retailprice").alias("step_size"), F.when(n % 3 == 1, 0.25).otherwise(0.5).alias("overlap"),
+        (n % 2).alias("requires_fixed_window"), F.lit(0).alias("requires_fixed_step"), (n % 2).alias("requires_fixed_overlap"),
+    )
+    return segment.resolved_parameters(models, 5.0, 0.0, None)
+
+
+@query(
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('gbif:', c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN concat(',gbif:', c_nationkey) ELSE '' END) END AS labels FROM customer"""
+)
+def quick_labels(spark, sf):
+    """Quick labels that lack a field go."""
+    k = F.col("c_custkey")
+    one = F.struct(F.when(k % 3 != 0, F.concat(F.lit("gbif:"), k.cast("string"))).alias("taxon_id"), F.col("c_name").alias("display_name"))
+    two = F.struct(F.concat(F.lit("gbif:"), F.col("c_nationkey").cast("string")).alias("taxon_id"), F.when((k % 5 != 0) & (k % 3 != 0), F.col("c_name")).alias("display_name"))
+    return read(spark, sf, "customer").select(k.alias("id"), F.array_join(F.transform(L.whole_quick_labels(F.array(one, two)), lambda x: x["taxon_id"]), ",").alias("labels"))
+
+
+@query(
+    """, done AS (SELECT model_checkpoint_id % 4 AS c, max(created_at) AS cutoff FROM jobs WHERE status = 'COMPLETED' AND trigger IN ('manual', 'auto_feedback') AND model_checkpoint_id % 9 > 5 GROUP BY 1),
+f AS (SELECT CASE WHEN id % 5 = 0 THEN NULL ELSE model_checkpoint_id END AS c, created_at FROM feedback)
+SELECT f.c AS model_checkpoint_id, count(*) AS n_events FROM f LEFT JOIN done ON f.c = done.c WHERE cutoff IS NULL OR f.created_at > cutoff GROUP BY 1""",
+    "feedback", "jobs",
+)
+def feedback_events(spark, sf):
+    """Events of every action since the last retrain, those without a checkpoint included."""
+    jobs = view(spark, sf, "jobs").where("model_checkpoint_id % 9 > 5").withColumn("model_checkpoint_id", F.col("model_checkpoint_id") % 4).withColumn("completed_at", F.col("created_at"))
+    rows = view(spark, sf, "feedback").withColumn("model_checkpoint_id", F.when(F.col("id") % 5 != 0, F.col("model_checkpoint_id")))
+    return label_state.events_since_retrain(rows, jobs)
+
+
+@query(
+    """, scored AS (SELECT vec_id AS snippet_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 200)
+SELECT rank, snippet_id, label FROM scored JOIN al_labels USING (snippet_id)""",
+    "al_labels",
+)
+def ranked_labels(spark, sf):
+    """Labels in the order of a ranking of two hundred snippets."""
+    best = vectors(spark, sf).orderBy(F.desc(F.element_at("vector", 1)), "snippet_id").limit(200).select("snippet_id", F.element_at("vector", 1).alias("score"))
+    from pyspark.sql import Window
+
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "snippet_id")))
+    return feeds.in_order(ranked, view(spark, sf, "al_labels")).select(F.col("rank").cast("long").alias("rank"), "snippet_id", "label")
+
+
+@query(
+    """, e AS (SELECT l_orderkey * 10 + l_linenumber AS snippet_id FROM lineitem), s AS (SELECT DISTINCT id, snippet_set_id FROM snippets)
+SELECT 'set' AS asked, count(*) AS n FROM e WHERE snippet_id IN (SELECT id FROM s WHERE snippet_set_id = 1) UNION ALL SELECT 'dataset', count(*) FROM e WHERE snippet_id IN (SELECT id FROM s WHERE snippet_set_id IN (0, 2))
+UNION ALL SELECT 'both', count(*) FROM e WHERE snippet_id IN (SELECT id FROM s WHERE snippet_set_id = 2) UNION ALL SELECT 'all', count(*) FROM e""",
+    "snippets",
+)
+def filtered_embeddings(spark, sf):
+    """Tables are joined only for the filters that are given."""
+    snippets = view(spark, sf, "snippets")
+    rows = snippets.select(F.col("id").alias("snippet_id"))
+    r = F.col("r_regionkey").cast("long")
+    sets = read(spark, sf, "region").select(r.alias("id"), (r % 2).alias("dataset_id"))
+    asked = {"set": {"set_id": 1}, "dataset": {"dataset_id": 0}, "both": {"set_id": 2, "dataset_id": 0}, "all": {}}
+    return stats.scalar_counts(**{k: platform.embedding_rows(rows, snippets, sets, **v) for k, v in asked.items()}).withColumnRenamed("name", "asked")
+
+
+@query(
+    """, t AS (SELECT concat('f', l_orderkey % 500) AS key, CASE WHEN l_linenumber = 1 AND l_orderkey % 4 = 0 THEN [] ELSE [concat('sp', l_partkey % 6)] END AS labels, false AS path FROM lineitem WHERE l_orderkey % 3 = 0
+UNION ALL SELECT concat('p', l_orderkey % 500), [concat('sp', l_partkey % 5)], true FROM lineitem WHERE l_orderkey % 3 <> 0),
+k AS (SELECT key, list_sort(list_distinct(flatten(list(labels)))) AS labels FROM t GROUP BY 1)
+SELECT vec_id AS snippet_id, array_to_string(coalesce(n.labels, p.labels), ',') AS labels FROM embeddings LEFT JOIN k n ON n.key = concat('f', vec_id) LEFT JOIN k p ON p.key = concat('p', vec_id) WHERE n.key IS NOT NULL OR p.key IS NOT NULL""",
+    "jobs",
+)
+def aligned_rows(spark, sf):
+    """Vectors with ground truth by file name, else by path; events without labels make negatives."""
+    l, k = read(spark, sf, "lineitem"), F.col("l_orderkey")
+    label = F.concat(F.lit("sp"), (F.col("l_partkey") % F.when(k % 3 == 0, 6).otherwise(5)).cast("string"))
+    none = (k % 3 == 0) & (F.col("l_linenumber") == 1) & (k % 4 == 0)
+    truth = l.select(F.concat(F.when(k % 3 == 0, "f").otherwise("p"), (k % 500).cast("string")).alias("key"), F.when(none, F.array().cast("array<string>")).otherwise(F.array(label)).alias("labels"))
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("snippet_id"), F.concat(F.lit("f"), "vec_id").alias("file_name"), F.concat(F.lit("p"), "vec_id").alias("file_path"))
+    return training.training_rows(rows, truth).select("snippet_id", F.array_join("labels", ",").alias("labels"))
+
+
 # --- projections ---------------------------------------------------------------------------
 
 

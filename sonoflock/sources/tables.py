@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +23,29 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ground_truth(rows: DataFrame, species: list[str], subsets: list[str] | None = None) -> DataFrame:
-    """(key, labels) from a table with a column for each species, or one named species."""
+    """(key, labels), one row for each event, from a table with a column for each species, or
+    one named species or label. Rows without a file name are left out; those without a label of
+    `species` have an empty list, as negatives."""
     if subsets and "subset" in rows.columns:
         rows = rows.where(F.lower("subset").isin(*[s.lower() for s in subsets]))
     key: Column
     if {"fname", "min_t", "max_t"} <= set(rows.columns):
         times = [T.plain_number(F.col(c).cast("double")) for c in ("min_t", "max_t")]
-        key = F.concat_ws("_", F.col("fname"), times[0], F.concat(times[1], F.lit(".wav")))
+        rows = rows.where(F.trim("fname") != "")
+        key = F.concat_ws("_", F.trim("fname"), times[0], F.concat(times[1], F.lit(".wav")))
     else:
-        key = F.col(next(c for c in FILE_COLUMNS if c in rows.columns))
+        key = F.trim(F.col(next(c for c in FILE_COLUMNS if c in rows.columns)))
     there = [s for s in species if s in rows.columns]
     if there:
         labels = F.filter(
             F.array(*[F.when(F.lower(F.trim(F.col(f"`{s}`").cast("string"))).isin(*TRUE), F.lit(s)) for s in there]), lambda x: x.isNotNull()
         )
     else:
-        labels = F.filter(F.array(F.trim("species")), lambda x: x.isin(*species))
-    return rows.select(key.alias("key"), labels.alias("labels"))
+        named = next((c for c in ("species", "label") if c in rows.columns), None)
+        if named is None:
+            raise ValueError("there must be a column for each species, or one named species or label")
+        labels = F.filter(F.array(F.trim(named)), lambda x: x.isin(*species))
+    return rows.select(key.alias("key"), labels.alias("labels")).where("key != ''")
 
 
 def codes(rows: DataFrame, column: str = "Code", ignore: str = "IGNORE") -> DataFrame:
@@ -82,6 +89,20 @@ def write_export(rows: DataFrame, path: str, kind: str = "csv") -> None:
         raise ValueError(f"no such format: {kind}")
 
 
+def append_measurements(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Measurements added to a folder of CSV files. The first ones settle the columns; later
+    ones have these columns, others are left out and missing ones empty. Each file has its header,
+    so that any number of tasks can add files."""
+    spark = rows.sparkSession
+    try:
+        columns = spark.read.csv(path, header=True).columns or columns
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    known = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    rows.select(*known).write.mode("append").csv(path, header=True)
+
+
 def save_model(spark: SparkSession, model, path: str) -> None:
     """A model as one Parquet row: its labels in order and its parts as arrays."""
     parts = {k: v for k, v in vars(model).items() if hasattr(v, "shape")}

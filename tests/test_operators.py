@@ -117,9 +117,16 @@ def test_capped_classes_equal_a_greedy_scan(spark):
 
 
 def test_alignment_falls_back_to_paths(spark):
-    v = spark.createDataFrame([(1, "a.wav", "x/a.wav"), (2, "b.wav", "x/b.wav"), (3, "c.wav", "x/c.wav")], "snippet_id long, file_name string, file_path string")
-    truth = spark.createDataFrame([("a.wav", ["s"]), ("a.wav", ["t", "s"]), ("x/b.wav", ["u"]), ("c.wav", [])], "key string, labels array<string>")
-    assert {r.snippet_id: r.labels for r in training.align(v, truth).collect()} == {1: ["s", "t"], 2: ["u"]}
+    names = [(i, f"{c}.wav", f"x/{c}.wav") for i, c in enumerate("abcdef", 1)]
+    v = spark.createDataFrame(names, "snippet_id long, file_name string, file_path string")
+    # c: a file without events; d: an event without labels, which makes a negative; e: both, by name
+    events = [("a.wav", ["s"]), ("a.wav", ["t", "s"]), ("x/b.wav", ["u"]), ("c.wav", None), ("x/c.wav", ["u"]), ("d.wav", []), ("x/d.wav", ["u"]), ("e.wav", []), ("e.wav", ["s"])]
+    truth = spark.createDataFrame(events, "key string, labels array<string>")
+    want = {1: ["s", "t"], 2: ["u"], 4: [], 5: ["s"]}
+    assert {r.snippet_id: r.labels for r in training.align(v, truth).collect()} == want
+    assert {r.snippet_id: r.labels for r in training.training_rows(v, truth).collect()} == want
+    with pytest.raises(ValueError):
+        training.training_rows(v, truth.where("key = 'z'"))
 
 
 def test_models_learn_separable_data(spark, tmp_path):

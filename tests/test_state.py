@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sonoflock.functions import labels as L
 from sonoflock.functions.numbers import round_half_even
 from sonoflock.operators import canonical, label_state, platform, stats, taxonomy, upsert
+from sonoflock.sources import tables
 
 NOW = "2024-05-01 00:00:00"
 
@@ -197,3 +198,32 @@ def test_paths_and_picks(spark):
     items = F.array(F.lit("a"), F.lit("b"))
     one = spark.range(1).select(L.picked(items, F.array(F.lit(2), F.lit(2), F.lit(0), F.lit(3))).alias("p"), L.skipped(items, F.array(F.lit(2), F.lit(2), F.lit(0), F.lit(3))).alias("s")).first()
     assert one.p == ["b"] and one.s == 3
+
+
+def test_measurements_keep_their_first_columns(spark, tmp_path):
+    path = f"file://{tmp_path}/measured"
+    tables.append_measurements(spark.createDataFrame([("a", 1.5, "x")], "stage string, seconds double, extra string"), path, ["stage", "seconds"])
+    tables.append_measurements(spark.createDataFrame([("b", 7)], "stage string, other long"), path, ["other"])
+    back = spark.read.csv(path, header=True)
+    assert back.columns == ["stage", "seconds"] and rows(back) == [("a", "1.5"), ("b", None)]
+
+
+def test_ground_truth_without_names_or_labels(spark):
+    df = spark.createDataFrame([(" a.wav ", "s"), ("", "s"), (None, "s"), ("b.wav", "zzz"), ("c.wav", None)], "file_name string, label string")
+    assert rows(tables.ground_truth(df, ["s", "t"])) == [("a.wav", ["s"]), ("b.wav", []), ("c.wav", [])]
+    with pytest.raises(ValueError):
+        tables.ground_truth(df.drop("label"), ["s"])
+
+
+def test_draws_are_disjoint(spark):
+    ids = spark.range(100).select(F.col("id").alias("snippet_id"))
+    pool, labelled = [{r[0] for r in x.collect()} for x in platform.disjoint_draws(ids, 70, 30)]
+    assert len(pool) == 70 and len(labelled) == 30 and not pool & labelled
+    pool, labelled = [{r[0] for r in x.collect()} for x in platform.disjoint_draws(ids, 90, 30)]
+    assert len(labelled) == 30 and labelled <= pool
+
+
+def test_events_are_counted_since_the_retrain(spark):
+    feedback = spark.createDataFrame([(1, 1, "2024-01-01"), (2, 1, "2024-03-01"), (3, None, "2024-01-01"), (4, None, "2024-03-01"), (5, 2, "2024-01-01")], "id long, model_checkpoint_id long, created_at string")
+    jobs = spark.createDataFrame([(1, "COMPLETED", "manual", "2024-02-01"), (None, "COMPLETED", "manual", "2024-01-01"), (2, "FAILED", "manual", "2024-02-01")], "model_checkpoint_id long, status string, trigger string, completed_at string")
+    assert rows(label_state.events_since_retrain(feedback, jobs)) == [(1, 1), (2, 1), (None, 1)]
