@@ -45,41 +45,45 @@ class Versions:
     def swap(self, change: Callable[[dict | None], dict]) -> dict:
         """Make change(the manifest there is) the manifest."""
         while True:
-            now = self.read()
+            # one listing says both what to change and the next number: who comes between takes it
+            numbers = self._numbers()
+            now = next((x for x in map(self._load, numbers) if x), None)
             new = change(now)
-            number = max([now["number"] if now else 0, *self._numbers()[:1]]) + 1
-            if self._create(f"{self.path}/manifests/{number:012d}", json.dumps(new).encode()) and self._follows(number, now):
+            number = (numbers[0] if numbers else 0) + 1
+            if self._create(f"{self.path}/manifests/{number:012d}", json.dumps(new).encode()):
                 return new | {"number": number}
 
-    def _follows(self, number: int, now: dict | None) -> bool:
-        """Whether nothing readable has come between what was read and manifest `number`; if so,
-        that one is taken back and made again."""
-        between = [n for n in self._numbers() if (now["number"] if now else 0) < n < number]
-        if any(self._load(n) for n in between):
-            self.fs.delete(self._at(f"{self.path}/manifests/{number:012d}"), False)
-            return False
-        return True
-
     def _create(self, path: str, content: bytes) -> bool:
-        """Make a file that isn't there yet; False if it is."""
-        if self.fs.getUri().getScheme() == "file":  # Hadoop's local files know no exclusive creation
-            plain = self._at(path).toUri().getPath()
+        """Make a file that isn't there yet; False if it is. It is written under another name first,
+        so that whoever sees it sees all of it; the file system must not rename over a file."""
+        folder, name = path.rsplit("/", 1)
+        draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        if self.fs.getUri().getScheme() == "file":  # Hadoop's local files would be renamed over
+            plain, hidden = (self._at(x).toUri().getPath() for x in (path, draft))
             os.makedirs(os.path.dirname(plain), exist_ok=True)
+            with open(hidden, "xb") as f:
+                f.write(content)
             try:
-                with open(plain, "xb") as f:
-                    f.write(content)
+                os.link(hidden, plain)
             except FileExistsError:
                 return False
+            finally:
+                os.unlink(hidden)
             return True
+        stream = self.fs.create(self._at(draft), False)
+        stream.write(bytearray(content))
+        stream.close()
         try:
-            stream = self.fs.create(self._at(path), False)
+            made = self.fs.rename(self._at(draft), self._at(path))
         except Py4JJavaError as e:
             if "exist" not in str(e):
                 raise
-            return False
-        stream.write(bytearray(content))
-        stream.close()
-        return True
+            made = False
+        if not made:
+            self.fs.delete(self._at(draft), False)
+            if not self.fs.exists(self._at(path)):
+                raise OSError(f"{path} could not be made")
+        return made
 
     def _load(self, number: int) -> dict | None:
         stream = self.fs.open(self._at(f"{self.path}/manifests/{number:012d}"))
@@ -89,7 +93,7 @@ class Versions:
             stream.close()
         try:
             return json.loads(text) | {"number": number}
-        except ValueError:  # its writer isn't done, or is gone
+        except ValueError:  # no manifest of ours
             return None
 
     def folder(self) -> str:

@@ -57,6 +57,23 @@ def test_writers_at_the_same_time(spark, tmp_path):
     assert sorted(r.snippet_id for r in V.predictions(spark, path).collect()) == list(range(16))
 
 
+def test_no_change_is_lost(spark, tmp_path):
+    path = f"file://{tmp_path}/n"
+
+    def add(k):
+        for i in range(6):
+            V.Versions(spark, path).swap(lambda old: {"folders": [*(old["folders"] if old else []), f"{k}-{i}"]})  # noqa: B023
+
+    threads = [threading.Thread(target=add, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    last = V.Versions(spark, path).read()
+    assert sorted(last["folders"]) == sorted(f"{k}-{i}" for k in range(6) for i in range(6))
+    assert last["number"] == 36
+
+
 def files(frame):
     scans = frame._jdf.queryExecution().executedPlan().toString()
     return scans, len(frame.inputFiles())
