@@ -237,6 +237,30 @@ def team_access(asked: DataFrame, members: DataFrame) -> DataFrame:
     }).drop("_owner")
 
 
+def created_datasets(datasets: DataFrame, new: DataFrame, teams: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Datasets after some were asked for (id, is_admin, team_id, source_uri, ...), and each
+    request with its error, NULL if there is none, the first of: only admins may leave out the team;
+    the team must exist; so must the path; team and path must not be there already, no team being
+    one as well. Of requests alike that are otherwise right the smallest id is served."""
+    known = teams.select(F.col("id").alias("team_id"), F.lit(True).alias("_team")).distinct()
+    there = paths.select(F.col("path").alias("source_uri"), F.lit(True).alias("_path")).distinct()
+    out = new.join(known, "team_id", "left").join(there, "source_uri", "left")
+    error = (
+        F.when(~F.col("is_admin") & F.col("team_id").isNull(), "team_id_required")
+        .when(F.col("team_id").isNotNull() & F.col("_team").isNull(), "team_not_found")
+        .when(F.col("_path").isNull(), "invalid_source_uri")
+    )
+    out = out.withColumn("error", error).drop("_team", "_path")
+    taken = datasets.select(F.col("team_id").alias("_t"), F.col("source_uri").alias("_u"), F.lit(True).alias("_taken")).distinct()
+    first = out.where("error is null").groupBy(F.col("team_id").alias("_ft"), F.col("source_uri").alias("_fu")).agg(F.min("id").alias("_first"))
+    out = out.join(taken, out["team_id"].eqNullSafe(taken["_t"]) & (out["source_uri"] == taken["_u"]), "left")
+    out = out.join(first, out["team_id"].eqNullSafe(first["_ft"]) & (out["source_uri"] == first["_fu"]), "left")
+    late = F.col("_taken").isNotNull() | (F.col("id") != F.col("_first"))
+    out = out.withColumn("error", F.coalesce("error", F.when(late, "duplicate_dataset"))).select(*new.columns, "error")
+    made = out.where("error is null").select(*[c for c in datasets.columns if c in out.columns])
+    return datasets.unionByName(made, allowMissingColumns=True), out
+
+
 def reused_coordinates(points: DataFrame, checkpoints: DataFrame, with_3d: bool) -> DataFrame:
     """Points after linear checkpoints (id, dataset_id, embedding_model_id) took over those of
     their dataset and embedding model, which have no checkpoint. Points that a checkpoint has are

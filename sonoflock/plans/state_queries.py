@@ -234,6 +234,54 @@ def annotations_without_repeats(spark, sf):
     return upsert.without_repeats(view(spark, sf, "said"), ["snippet_id", "user_id", "taxon_id"]).select("id", "snippet_id", "user_id", "taxon_id")
 
 
+@query(
+    """WITH n AS (SELECT o_orderkey AS id, o_orderkey % 9 = 0 AS is_admin, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey % 30 END AS team_id, concat('d', o_custkey % 40) AS uri FROM orders),
+e AS (SELECT n.*, CASE WHEN NOT is_admin AND team_id IS NULL THEN 'team_id_required' WHEN team_id >= 25 THEN 'team_not_found' WHEN uri NOT IN (SELECT concat('d', p_partkey) FROM part WHERE p_partkey < 35) THEN 'invalid_source_uri' END AS error FROM n)
+SELECT id, coalesce(error, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_nationkey IS NOT DISTINCT FROM team_id AND concat('d', n_nationkey) = uri) OR row_number() OVER (PARTITION BY team_id, uri, error IS NULL ORDER BY id) > 1 THEN 'duplicate_dataset' END) AS error FROM e"""
+)
+def dataset_requests(spark, sf):
+    """What is wrong with each dataset asked for."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    new = read(spark, sf, "orders").select(k.alias("id"), (k % 9 == 0).alias("is_admin"), F.when(k % 4 != 0, c % 30).alias("team_id"), F.concat(F.lit("d"), (c % 40).cast("string")).alias("source_uri"))
+    n = F.col("n_nationkey").cast("long")
+    nations = read(spark, sf, "nation").select(n.alias("id"), n.alias("team_id"), F.concat(F.lit("d"), n.cast("string")).alias("source_uri"))
+    paths = read(spark, sf, "part").where("p_partkey < 35").select(F.concat(F.lit("d"), "p_partkey").alias("path"))
+    return platform.created_datasets(nations, new, nations.select("id"), paths)[1].select("id", "error")
+
+
+@query(
+    """SELECT concat('t', n_regionkey) AS taxonomy_id, array_to_string(list(concat('custom:', left(md5(n_name), 12)) ORDER BY n_nationkey DESC), ',') AS ids, array_to_string(list(n_name ORDER BY n_nationkey DESC), ',') AS names FROM nation GROUP BY 1"""
+)
+def frozen_trees(spark, sf):
+    """Ids and names of a frozen label space, in its order."""
+    labels = read(spark, sf, "nation").select(F.col("n_regionkey").alias("conv_id"), (-F.col("n_nationkey")).alias("place"), F.col("n_name").alias("label"))
+    nodes = F.from_json("tree", "nodes array<struct<id string, name string>>")["nodes"]
+    return platform.frozen(labels, F.concat(F.lit("t"), F.col("conv_id").cast("string"))).select("taxonomy_id", F.array_join(nodes["id"], ",").alias("ids"), F.array_join(nodes["name"], ",").alias("names"))
+
+
+@query(
+    """, n AS (SELECT dataset_id, id % 4 AS version, arg_max(id, (created_at, id)) AS id FROM inferences GROUP BY 1, 2)
+SELECT dataset_id, version, id FROM n UNION ALL SELECT r_regionkey, 3, -r_regionkey FROM region WHERE r_regionkey NOT IN (SELECT dataset_id FROM n WHERE version = 3)""",
+    "inferences",
+)
+def registered_versions(spark, sf):
+    """Checkpoints by dataset, family and version; new ones take the place of old ones."""
+    new = view(spark, sf, "inferences").select("id", "dataset_id", F.lit("f").alias("family"), (F.col("id") % 4).alias("version"), "created_at")
+    r = F.col("r_regionkey").cast("long")
+    old = read(spark, sf, "region").select((-r).alias("id"), r.alias("dataset_id"), F.lit("f").alias("family"), F.lit(3).cast("long").alias("version"), F.lit(None).cast(new.schema["created_at"].dataType).alias("created_at"))
+    states = new.limit(0).select("dataset_id", "family", F.col("id").alias("active_model_checkpoint_id"))
+    return platform.registered(old, states, new)[0].select("dataset_id", "version", "id")
+
+
+@query(
+    """SELECT p_partkey AS id, left(md5(array_to_string(list_sort([p_brand, p_type, p_name]), ',')), 12) AS scope, CASE WHEN p_size % 2 = 0 THEN concat(p_size // 2) ELSE concat(p_size // 2, '.5') END AS t FROM part"""
+)
+def scopes_and_times(spark, sf):
+    """hashes of label scopes whatever their order, and times with and without a fraction."""
+    labels = F.array("p_type", "p_name", "p_brand")
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.scope_hash(labels).alias("scope"), T.plain_number(F.col("p_size") / 2).alias("t"))
+
+
 # --- access, listings, counts --------------------------------------------------------------
 
 

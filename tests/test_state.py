@@ -227,3 +227,16 @@ def test_events_are_counted_since_the_retrain(spark):
     feedback = spark.createDataFrame([(1, 1, "2024-01-01"), (2, 1, "2024-03-01"), (3, None, "2024-01-01"), (4, None, "2024-03-01"), (5, 2, "2024-01-01")], "id long, model_checkpoint_id long, created_at string")
     jobs = spark.createDataFrame([(1, "COMPLETED", "manual", "2024-02-01"), (None, "COMPLETED", "manual", "2024-01-01"), (2, "FAILED", "manual", "2024-02-01")], "model_checkpoint_id long, status string, trigger string, completed_at string")
     assert rows(label_state.events_since_retrain(feedback, jobs)) == [(1, 1), (2, 1), (None, 1)]
+
+
+def test_datasets_that_are_asked_for(spark):
+    old = spark.createDataFrame([(1, 3, "a"), (2, None, "b")], "id long, team_id long, source_uri string")
+    asked = [(10, False, None, "a"), (11, True, None, "b"), (12, True, None, "a"), (13, False, 3, "a"), (14, False, 9, "a"), (15, False, 3, "zz"), (16, False, 3, "b"), (17, True, 3, "b"), (18, False, 3, None)]
+    new = spark.createDataFrame(asked, "id long, is_admin boolean, team_id long, source_uri string")
+    teams, paths = spark.createDataFrame([(3,)], "id long"), spark.createDataFrame([("a",), ("b",)], "path string")
+    after, errors = platform.created_datasets(old, new, teams, paths)
+    d = "duplicate_dataset"
+    assert {r.id: r.error for r in errors.collect()} == {
+        10: "team_id_required", 11: d, 12: None, 13: d, 14: "team_not_found", 15: "invalid_source_uri", 16: None, 17: d, 18: "invalid_source_uri"
+    }
+    assert sorted(r.id for r in after.collect()) == [1, 2, 12, 16]
