@@ -93,6 +93,24 @@ def test_large_tables_are_searched_by_cells(spark):
     assert score.count() == 40 and score.where("diversity < 0 or diversity > 1 or nearest is null").count() == 0
 
 
+def test_visits_are_not_written(spark):
+    """Vectors of many dimensions without clusters visit all cells; what is written and shuffled follows the rows."""
+    t = np.random.default_rng(9).normal(size=(3000, 48))
+    rows = frame(spark, t)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executorList(False)))
+
+    before = shuffled()
+    found, cost = cells.exact(rows, cells.index(rows), 5, skip_self=True)
+    same(got(found), brute(t, t, 5, True))
+    assert cost["compared"] > 0.8 * cost["pairs"]
+    # a vector for each visit would be 50 times the rows, twice
+    assert shuffled() - before < 20 * t.nbytes
+
+
 def test_few_and_no_rows(spark):
     t = frame(spark, [[1, 0], [0, 1]])
     index = cells.index(t, 5)
