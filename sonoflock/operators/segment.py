@@ -43,8 +43,9 @@ def segment(recordings: DataFrame, window: float, step: float, most: int = 1_000
 
 
 def new_snippets(segments: DataFrame, existing: DataFrame) -> DataFrame:
-    """Segments that aren't snippets yet."""
-    return segments.join(existing, ["recording_id", "start_time", "end_time"], "left_anti")
+    """Segments that aren't snippets yet. Spark takes the size of recordings for that of the segments
+    cut from them, so what is there is never broadcast."""
+    return segments.join(existing.hint("merge"), ["recording_id", "start_time", "end_time"], "left_anti")
 
 
 def resolved_parameters(models: DataFrame, window: float | None, step: float | None, overlap: float | None) -> DataFrame:
