@@ -83,9 +83,11 @@ def learned(metadata: Column) -> Column:
 def unlearned(annotations: DataFrame, gone: DataFrame) -> DataFrame:
     """Without the annotations of some (snippet_id, user_id) that came from confirmed labels;
     what a user wrote stays, and no user means nobody's."""
-    g = gone.where("user_id is not null").select(F.col("snippet_id").alias("_s"), F.col("user_id").alias("_u"))
-    met = (annotations["snippet_id"] == g["_s"]) & (annotations["user_id"] == g["_u"]) & learned(annotations["metadata"])
-    return annotations.join(g, met, "left_anti")
+    g = gone.where("user_id is not null").select(F.col("snippet_id").alias("_s"), F.col("user_id").alias("_u")).distinct().withColumn("_yes", F.lit(True))
+    # a row for each key and the origin in the key: no annotation is compared with more than one
+    said = annotations.withColumn("_learned", learned(F.col("metadata")))
+    met = (said["snippet_id"] == g["_s"]) & (said["user_id"] == g["_u"]) & (said["_learned"] == g["_yes"])
+    return said.join(g, met, "left_anti").drop("_learned")
 
 
 def label_removed(labels: DataFrame, annotations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

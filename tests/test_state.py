@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sonoflock.functions import labels as L
 from sonoflock.functions.numbers import round_half_even
-from sonoflock.operators import canonical, label_state, platform, stats, taxonomy, upsert
+from sonoflock.operators import canonical, label_state, platform, segment, stats, taxonomy, upsert
 from sonoflock.sources import tables
 
 NOW = "2024-05-01 00:00:00"
@@ -240,3 +240,39 @@ def test_datasets_that_are_asked_for(spark):
         10: "team_id_required", 11: d, 12: None, 13: d, 14: "team_not_found", 15: "invalid_source_uri", 16: None, 17: d, 18: "invalid_source_uri"
     }
     assert sorted(r.id for r in after.collect()) == [1, 2, 12, 16]
+
+
+def test_repeated_memberships_and_removals_meet_each_row_once(spark):
+    """Joins by few keys that many rows repeat: the rows that a join makes or compares follow the input."""
+    rows = spark.range(3000)
+    gone = rows.selectExpr("id % 3 as snippet_id", "id % 2 as user_id")
+    annotations = rows.selectExpr("id", "id % 3 as snippet_id", "id % 2 as user_id", "case when id % 5 = 0 then '{\"source\": \"active_learning\"}' end as metadata")
+    out = canonical.unlearned(annotations, gone)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_s" in plan and out.count() == 2400 and out.columns == annotations.columns
+    users = spark.range(3).selectExpr("id as user_id", "id = 2 as is_admin")
+    datasets = rows.selectExpr("id", "id % 2 as team_id", "'FOCAL_RECORDINGS' as dataset_type")
+    found = stats.focal_access(users, datasets, rows.selectExpr("id % 2 as user_id", "id % 2 as team_id"), rows.selectExpr("id % 2 as user_id", "id % 4 as dataset_id"))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1500, True), (1, 1500, True), (2, 3000, True)]
+    made = [int(m.value()) for m in joined_rows(found)]
+    assert made and max(made) <= 3000
+
+
+def joined_rows(frame):
+    """The counts of rows that the joins of a collected frame made."""
+    todo, out = [frame._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            out.append(node.metrics().apply("numOutputRows"))
+        inner = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in node.nodeName() else None
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())] + ([inner] if inner is not None else [])
+    return out
+
+
+def test_existing_segments_are_not_broadcast(spark):
+    recordings = spark.range(50).selectExpr("id", "30 as duration")
+    new = segment.new_snippets(segment.segment(recordings, 3.0, 1.5), segment.segment(recordings, 3.0, 3.0))
+    assert new.count() == 50 * 9
+    assert "BroadcastHashJoin" not in new._jdf.queryExecution().executedPlan().toString()
