@@ -109,7 +109,11 @@ def focal_access(users: DataFrame, datasets: DataFrame, members: DataFrame, gran
     """For each user (user_id, is_admin) how many focal datasets they can read, by a team or a
     grant, each once, and whether they may work on them: admins may without any."""
     focal = datasets.where("dataset_type = 'FOCAL_RECORDINGS'").select(F.col("id").alias("dataset_id"), "team_id")
-    mine = members.join(focal, "team_id").select("user_id", "dataset_id").unionByName(grants.join(focal, "dataset_id", "left_semi").select("user_id", "dataset_id"))
+    # each membership and grant once, of the users asked for: else repeats would meet every dataset of a team
+    asked = users.select("user_id").distinct()
+    teams = members.select("user_id", "team_id").distinct().join(asked, "user_id", "left_semi")
+    given = grants.select("user_id", "dataset_id").distinct().join(asked, "user_id", "left_semi")
+    mine = teams.join(focal, "team_id").select("user_id", "dataset_id").unionByName(given.join(focal, "dataset_id", "left_semi").select("user_id", "dataset_id"))
     counts = mine.distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("_mine"))
     all_focal = focal.agg(F.count(F.lit(1)).alias("_all"))
     out = users.join(counts, "user_id", "left").crossJoin(F.broadcast(all_focal))
