@@ -22,9 +22,11 @@ def uncertainty_scores(predictions: DataFrame) -> DataFrame:
 def diversity_scores(unlabelled: DataFrame, labelled: DataFrame, approximate_from: int | None = None, probes: int = cells.PROBES) -> DataFrame:
     """V5: (snippet_id, nearest, diversity), the distance to the nearest labelled vector and
     the same within 0 to 1; 0 where nothing is labelled. From `approximate_from` labelled vectors
-    on (None: never) only the nearest cells of an inverted file are searched."""
+    on (None: never) only the nearest cells of an inverted file are searched: `probes` of them, or more
+    where a sample of the unlabelled needs more to find the nearest (see cells.enough_probes)."""
     if approximate_from is not None and len(labelled.select("snippet_id").head(approximate_from)) == approximate_from:
-        near = cells.approximate(unlabelled, cells.index(labelled), 1, probes)
+        index = cells.index(labelled)
+        near = cells.approximate(unlabelled, index, 1, cells.enough_probes(unlabelled, index, probes))
     else:
         near = nearest(unlabelled, labelled, 1)
     found = near.select(F.col("query_id").alias("snippet_id"), F.col("distance").alias("nearest"))

@@ -111,6 +111,16 @@ def test_visits_are_not_written(spark):
     assert shuffled() - before < 20 * t.nbytes
 
 
+def test_probes_follow_a_sample_of_queries(spark):
+    """Without clusters the nearest row often lies in a cell that few probes miss."""
+    rng = np.random.default_rng(10)
+    q, t = rng.normal(size=(200, 32)), rng.normal(size=(600, 32))
+    score = acquisition.diversity_scores(frame(spark, q), frame(spark, t), 100, 2).collect()
+    want = brute(q, t, 1)
+    assert np.mean([abs(r.nearest - want[r.snippet_id][0][1]) < 1e-8 for r in score]) >= 0.9
+    assert cells.enough_probes(frame(spark, q).limit(0), cells.index(frame(spark, t)), 3) == 3
+
+
 def test_few_and_no_rows(spark):
     t = frame(spark, [[1, 0], [0, 1]])
     index = cells.index(t, 5)
