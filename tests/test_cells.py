@@ -111,6 +111,20 @@ def test_visits_are_not_written(spark):
     assert shuffled() - before < 20 * t.nbytes
 
 
+def test_found_rows_do_not_follow_the_shares(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SHARE", 64)
+    q, t = groups(40, 12, 1, 1.0, 5), groups(700, 12, 1, 1.0, 6)
+    index = cells.index(frame(spark, t), 24, 16)
+    rows, blocks = cells._filed(frame(spark, q), index), cells._compact(index)
+    assert blocks.rdd.getNumPartitions() > 1
+    visitors = cells._visitors(rows, 40, index, 24, 16)
+    monkeypatch.setattr(cells, "TASKS", 1, raising=False)
+    monkeypatch.setattr(cells, "TURNS", 1, raising=False)
+    found = cells._meet(visitors, 40, index, blocks, 4, False)
+    assert found.count() == 40 * 4  # as many for each share of the index before
+    same(got(cells._first(found, 4)), brute(q, t, 4))
+
+
 def test_probes_follow_a_sample_of_queries(spark):
     """Without clusters the nearest row often lies in a cell that few probes miss."""
     rng = np.random.default_rng(10)
