@@ -125,6 +125,35 @@ def test_found_rows_do_not_follow_the_shares(spark, monkeypatch):
     same(got(cells._first(found, 4)), brute(q, t, 4))
 
 
+def test_blocks_of_several_cells_are_read_together(spark):
+    t = groups(700, 12, 8, 0.2, 1)
+    index = cells.index(frame(spark, t), 24, 16)
+    blocks = cells._compact(index)
+    rows = blocks.collect()
+    assert len(rows) < 5 < index.blocks.count()  # a row for each block before
+    ids = np.concatenate([np.frombuffer(r.ids, np.int64) for r in rows])
+    assert sorted(ids) == list(range(700))
+    sizes = np.zeros(len(index.rows), int)
+    for r in rows:
+        np.add.at(sizes, r.cells, np.frombuffer(r.sizes, np.int32))
+    assert (sizes == index.rows).all()
+
+
+@pytest.mark.parametrize("scale, offset", [(1, 0), (1, 1e3), (1e-17, 0), (1e17, 0)])
+def test_single_precision_loses_no_row(spark, scale, offset):
+    """Bounds are as narrow as the vectors are near: far from 0, tiny and huge ones keep all their neighbours."""
+    t = (groups(600, 6, 9, 0.1, 12) + offset) * scale
+    t[300:350] = t[7]
+    rows = frame(spark, t)
+    got_ = got(cells.exact(rows, cells.index(rows, 20, 40, metric="euclidean"), 5, probes=1, block=40)[0])
+    d = np.round(np.sqrt(((t[:, None] - t[None]) ** 2).sum(-1)), 9)
+    for i, row in got_.items():
+        order = sorted(range(len(t)), key=lambda j: (d[i, j], j))[:5]
+        # equal ones are at 0 exactly, so that the smallest ids come first
+        assert [x for x, v in row if v == 0] == [j for j in order if d[i, j] == 0]
+        assert np.allclose([v for _, v in row], d[i, order], rtol=1e-9, atol=2e-9)
+
+
 def test_probes_follow_a_sample_of_queries(spark):
     """Without clusters the nearest row often lies in a cell that few probes miss."""
     rng = np.random.default_rng(10)
